@@ -7,24 +7,6 @@ def code_count(mask: Column, code: int) -> Column:
     return F.size(F.filter(mask, lambda value: value == code))
 
 
-def positions_where(values: Column, test) -> Column:
-    """0-based positions of the elements that pass."""
-    flagged = F.transform(values, lambda value, i: F.when(test(value, i), i))
-    return F.filter(flagged, lambda i: i.isNotNull())
-
-
-def bounding_box(positions: Column, width: int) -> dict[str, Column]:
-    """Box of row-major pixel positions; NULL everywhere for an empty region."""
-    columns = F.transform(positions, lambda i: i % width)
-    top, bottom = F.array_min(positions), F.array_max(positions)
-    return {
-        "x1": F.array_min(columns),
-        "y1": F.floor(top / width).cast("int"),
-        "x2": F.array_max(columns),
-        "y2": F.floor(bottom / width).cast("int"),
-    }
-
-
 def sorted_quantile(ordered: Column, p: float) -> Column:
     """Linear interpolation in an ascending array."""
     at = (F.size(ordered) - 1) * F.lit(p)

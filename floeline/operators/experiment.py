@@ -72,10 +72,17 @@ def latency_summary(
         "inference": "inference_ms",
     }
     out = trials.groupBy("camera_count").agg(F.count(F.lit(1)).alias("processed_measured"))
-    for prefix, column in latencies.items():
-        probs = {f"{prefix}_median_ms": 0.5, f"{prefix}_p95_ms": 0.95}
-        found = exact_quantiles(trials, ["camera_count"], column, probs).drop("n")
-        out = out.join(found, "camera_count", "left")
+    measures = [F.col(column).cast("double").alias(prefix) for prefix, column in latencies.items()]
+    long = trials.select("camera_count", *measures).unpivot("camera_count", list(latencies), "measure", "ms")
+    found = exact_quantiles(long, ["camera_count", "measure"], "ms", {"median": 0.5, "p95": 0.95})
+    wide = found.groupBy("camera_count").agg(
+        *[
+            F.max(F.when(F.col("measure") == prefix, F.col(tag))).alias(f"{prefix}_{tag}_ms")
+            for prefix in latencies
+            for tag in ("median", "p95")
+        ]
+    )
+    out = out.join(wide, "camera_count", "left")
     if published is not None:
         processed, sent = F.col("processed_measured"), F.col("published_measured")
         out = out.join(published, "camera_count", "left").withColumns(

@@ -9,13 +9,13 @@ from floeline.functions.times import event_time
 def parse(df: DataFrame, value: str = "value", grain: str = "micro") -> DataFrame:
     """Binary or text `value` to message columns plus `event_time` and `dt`.
 
-    Broken JSON parses to a struct of NULLs, so the test on `ts` and `cam_id` drops it.
+    Broken JSON parses to a struct of NULLs and empty input to NULL; the test on `ts` and `cam_id`
+    drops both. `inline` rather than `select("m.*")`: filters on its output stay above it, so the
+    text is parsed once and not again for each predicate.
     """
-    message = F.from_json(F.col(value).cast("string"), schemas.MESSAGE).alias("m")
+    message = F.from_json(F.col(value).cast("string"), schemas.MESSAGE)
     return (
-        df.select(message)
-        .where(F.col("m").isNotNull())
-        .select("m.*")
+        df.select(F.inline(F.array(message)))
         .where(F.col("ts").isNotNull() & F.col("cam_id").isNotNull())
         .withColumn("event_time", event_time(F.col("ts"), grain))
         .withColumn("dt", F.to_date("event_time"))

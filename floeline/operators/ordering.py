@@ -29,16 +29,20 @@ def _place(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def _spans(placed: DataFrame, keys: list[str], rows: Column) -> DataFrame:
-    """One row per key and partition: rows there, rows before it, rows of the key in all."""
+    """One row per key and partition: rows there, rows before it, rows of the key in all.
+
+    Staged, so that the planner knows its size and broadcasts it when, and only when, it is small.
+    """
     tally = placed.groupBy(*keys, "_part").agg(rows.alias("_here"), F.min("_row").alias("_first"))
     by_key = Window.partitionBy(*keys)
     earlier = by_key.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    return tally.withColumns(
+    spans = tally.withColumns(
         {
             "_before": F.coalesce(F.sum("_here").over(earlier), F.lit(0)),
             "_total": F.sum("_here").over(by_key),
         }
     )
+    return scratch.stage(spans, "spans")
 
 
 def _join_spans(placed: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
@@ -98,14 +102,36 @@ def windowed(
     )
 
 
+def since_cutoff(df: DataFrame, keys: list[str], time: str, n: int) -> DataFrame:
+    """Rows that can be among the newest `n` of their key: those from the n-th newest row's hour on.
+
+    Hours are counted from two narrow columns by hash aggregation; the rows left over are few, so
+    nothing large is sorted later. Rows without a time count as the oldest.
+    """
+    oldest = F.lit("0001-01-01 00:00:00").cast(df.schema[time].dataType)
+    at = F.coalesce(F.col(time), oldest)
+    hours = df.groupBy(*keys, F.date_trunc("hour", at).alias("_hour")).agg(F.count(F.lit(1)).alias("_n"))
+    newer = Window.partitionBy(*keys).orderBy(F.desc("_hour")).rowsBetween(Window.unboundedPreceding, -1)
+    needed = hours.withColumn("_newer", F.coalesce(F.sum("_n").over(newer), F.lit(0))).where(F.col("_newer") < n)
+    cutoffs = scratch.stage(
+        needed.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.min("_hour").alias("_since")),
+        "cutoffs",
+    )
+    match = at >= F.col("_since")
+    for i, key in enumerate(keys):
+        match = match & F.col(key).eqNullSafe(F.col(f"_k{i}"))
+    return df.join(cutoffs, match).select(*df.columns)
+
+
 def last_n(df: DataFrame, keys: list[str], order: list[str], n: int, salts: int = 64) -> DataFrame:
-    """Newest `n` rows per key, with `rank` 1 for the newest.
+    """Newest `n` rows per key, with `rank` 1 for the newest; `order` starts with the time.
 
-    Two rounds: first within (key, salt), then over at most salts * n survivors per key.
-    Spark trims both rounds before their shuffle.
+    After the cut to recent hours come two rounds, so that a crowded hour is not one task's work:
+    first within (key, salt), then over at most salts * n survivors per key.
     """
     newest = [F.col(c).desc() for c in order]
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
+    recent = since_cutoff(df, keys, order[0], n)
+    salted = recent.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
     first = Window.partitionBy(*keys, "_salt").orderBy(*newest)
     last = Window.partitionBy(*keys).orderBy(*newest)
     return (

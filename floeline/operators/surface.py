@@ -15,23 +15,30 @@ def mask_histogram(df: DataFrame, mask: str = "mask") -> DataFrame:
 
 
 def region_boxes(df: DataFrame, keys: list[str], width: int, mask: str = "mask") -> DataFrame:
-    """Box and pixel count per frame and ice class; a class without pixels gives no row."""
-    names = [n for n in schemas.MASK_CODES if n != "vessel"]
-    classes = F.array(
-        *[F.struct(F.lit(n).alias("class_name"), F.lit(schemas.MASK_CODES[n]).alias("code")) for n in names]
+    """Box and pixel count per frame and ice class; a class without pixels gives no row.
+
+    The pixels of a frame come from one row, so the partial aggregate leaves at most one row per
+    frame and class for the shuffle.
+    """
+    names = {code: name for name, code in schemas.MASK_CODES.items() if name != "vessel"}
+    pixels = df.select(*keys, F.posexplode(mask).alias("_at", "_code")).where(F.col("_code").isin(*names))
+    column = F.col("_at") % width
+    boxed = pixels.groupBy(*keys, "_code").agg(
+        F.min(column).alias("bbox_x1"),
+        F.min("_at").alias("_top"),
+        F.max(column).alias("bbox_x2"),
+        F.max("_at").alias("_bottom"),
+        F.count(F.lit(1)).cast("int").alias("area_pixels"),
     )
-    spread = df.select(*keys, mask, F.explode(classes).alias("c"))
-    found = spread.select(
-        *keys,
-        "c.class_name",
-        masks.positions_where(F.col(mask), lambda value, i: value == F.col("c.code")).alias("_at"),
-    ).where(F.size("_at") > 0)
-    box = masks.bounding_box(F.col("_at"), width)
-    return found.select(
+    class_name = F.coalesce(*[F.when(F.col("_code") == code, name) for code, name in names.items()])
+    return boxed.select(
         *keys,
-        "class_name",
-        *[edge.alias(f"bbox_{name}") for name, edge in box.items()],
-        F.size("_at").alias("area_pixels"),
+        class_name.alias("class_name"),
+        "bbox_x1",
+        F.floor(F.col("_top") / width).cast("int").alias("bbox_y1"),
+        "bbox_x2",
+        F.floor(F.col("_bottom") / width).cast("int").alias("bbox_y2"),
+        "area_pixels",
     )
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from floeline import schemas
 from floeline.functions.numbers import clamp01
-from floeline.operators.ordering import BLOCK_ROWS, last_n, number_rows, windowed
+from floeline.operators.ordering import BLOCK_ROWS, last_n, number_rows, since_cutoff, windowed
 
 
 def _blend(oldest_first: list[Column], alpha: float) -> Column:
@@ -45,10 +45,14 @@ def smooth_array(values: Column, alpha: float = schemas.TREND_ALPHA) -> Column:
 
 
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Newest row per key by a one-pass aggregate."""
+    """Newest row per key; `order` starts with the time and breaks ties with the rest.
+
+    Comparing whole rows makes Spark sort its input, so only rows of the newest hour get that far.
+    """
     rest = [c for c in df.columns if c not in keys]
     newest = F.max_by(F.struct(*rest), F.struct(*order)).alias("_row")
-    return df.groupBy(*keys).agg(newest).select(*keys, "_row.*")
+    recent = since_cutoff(df, keys, order[0], 1)
+    return recent.groupBy(*keys).agg(newest).select(*keys, "_row.*")
 
 
 def trend_card(df: DataFrame, value: str, keys: list[str], order: list[str], points: int = schemas.TREND_POINTS):

@@ -25,14 +25,17 @@ def _camera():
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One frame per event, in three hourly regimes of ice."""
+    """One frame per event, in three hourly regimes of ice.
+
+    `inline` keeps later filters from parsing the JSON again.
+    """
     source = events(spark, sf_dir).select(
         F.col("event_id").alias("frame_id"),
         "ts",
         "event_type",
         "value",
         _camera().alias("cam_id"),
-        F.get_json_object("props", "$.k").cast("bigint").alias("k"),
+        F.inline(F.array(F.from_json("props", "k bigint"))),
     )
     h = (F.col("frame_id") * 7919 + F.col("k") * 104729) % 1000
     regime = (F.dayofmonth("ts") * 24 + F.hour("ts")) % 3
@@ -87,10 +90,14 @@ def _found(index: int, name: str):
     )
 
 
+def _found_array():
+    return F.array(*[_found(i, n) for i, n in enumerate(("ice_field", "broken_ice", "slush_ice"))])
+
+
 def framed_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames with their detections as an array; classes without area are left out."""
-    found = F.array(*[_found(i, n) for i, n in enumerate(("ice_field", "broken_ice", "slush_ice"))])
-    return frames(spark, sf_dir).withColumn("detections", F.filter(found, lambda d: d["area_pixels"] > 0))
+    some = F.filter(_found_array(), lambda d: d["area_pixels"] > 0)
+    return frames(spark, sf_dir).withColumn("detections", some)
 
 
 def detections(spark: SparkSession, sf_dir: str, copies: bool = False) -> DataFrame:
@@ -98,7 +105,7 @@ def detections(spark: SparkSession, sf_dir: str, copies: bool = False) -> DataFr
 
     With `copies`, each detection of a `purchase` frame is there twice.
     """
-    spread = framed_detections(spark, sf_dir).withColumn("d", F.explode("detections"))
+    spread = frames(spark, sf_dir).withColumn("d", F.explode(_found_array())).where("d.area_pixels > 0")
     if copies:
         times = F.when(F.col("event_type") == "purchase", 2).otherwise(1)
         spread = spread.withColumn("_copy", F.explode(F.sequence(F.lit(1), times)))
@@ -200,10 +207,8 @@ def scaling_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
 def masks(spark: SparkSession, sf_dir: str, side: int = 8) -> DataFrame:
     """Class codes 0 to 4 of a small square frame."""
     step = 1 + F.col("k") % 5
-    codes = F.transform(
-        F.sequence(F.lit(0), F.lit(side * side - 1)),
-        lambda i: ((F.col("frame_id") * 7 + i * step) % 5).cast("tinyint"),
-    )
+    steps = F.sequence(F.lit(0).cast("bigint"), step * (side * side - 1), step)
+    codes = F.transform(steps, lambda at: ((F.col("frame_id") * 7 + at) % 5).cast("tinyint"))
     return frames(spark, sf_dir).select("frame_id", "cam_id", codes.alias("mask"))
 
 
