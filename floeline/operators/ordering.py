@@ -108,9 +108,10 @@ def since_cutoff(df: DataFrame, keys: list[str], time: str, n: int) -> DataFrame
     Hours are counted from two narrow columns by hash aggregation; the rows left over are few, so
     nothing large is sorted later. Rows without a time count as the oldest.
     """
-    oldest = F.lit("0001-01-01 00:00:00").cast(df.schema[time].dataType)
-    at = F.coalesce(F.col(time), oldest)
-    hours = df.groupBy(*keys, F.date_trunc("hour", at).alias("_hour")).agg(F.count(F.lit(1)).alias("_n"))
+    kind = df.schema[time].dataType
+    at = F.coalesce(F.col(time), F.lit("0001-01-01 00:00:00").cast(kind))
+    hour = F.date_trunc("hour", at).cast(kind).alias("_hour")
+    hours = df.groupBy(*keys, hour).agg(F.count(F.lit(1)).alias("_n"))
     newer = Window.partitionBy(*keys).orderBy(F.desc("_hour")).rowsBetween(Window.unboundedPreceding, -1)
     needed = hours.withColumn("_newer", F.coalesce(F.sum("_n").over(newer), F.lit(0))).where(F.col("_newer") < n)
     cutoffs = scratch.stage(

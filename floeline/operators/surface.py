@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from floeline import schemas
 from floeline.functions import masks
+from floeline.functions.geometry import inside
 
 
 def mask_histogram(df: DataFrame, mask: str = "mask") -> DataFrame:
@@ -50,19 +51,26 @@ def median_split(
     pixels: str = "pixels",
     cam_id: str = "cam_id",
     least_pixels: int = 800,
+    edges: DataFrame | None = None,
 ) -> DataFrame:
     """Split the candidate pixels of each frame into an ice and a slush class.
 
     `pixels` is a row-major array of (value, saturation, b). Candidates are bright, weakly
     saturated and within the middle rows. They are cut at the median score; when a side gets too
-    few, at the 40th and 60th percentile; when both still do, by column.
+    few, at the 40th and 60th percentile; when both still do, by column. `edges` (see `zones`) keeps
+    pixels out whose centre lies in the zone of the camera.
     """
+    if edges is not None:
+        df = df.join(edges.withColumnRenamed("cam_id", cam_id), cam_id, "left")
     top, bottom = int(height * 0.18), int(height * 0.97)
     enough = max(least_pixels, int(height * width * 0.01)) // 4
 
     def candidate(p, i):
         row = F.floor(i / width)
-        return (p["value"] > 72) & (p["saturation"] < 190) & (row >= top) & (row < bottom)
+        passed = (row >= top) & (row < bottom) & (p["value"] > 72) & (p["saturation"] < 190)
+        if edges is None:
+            return passed
+        return passed & ~inside((i % width + 0.5) / width, (row + 0.5) / height, F.col("edges"))
 
     kept = F.transform(
         F.col(pixels),

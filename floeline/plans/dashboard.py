@@ -23,10 +23,11 @@ def frame_loads(frames: DataFrame, as_of: Column, block_rows: int = BLOCK_ROWS)
     )
 
 
-def camera_cards(frames: DataFrame, as_of: Column) -> DataFrame:
+def camera_cards(frames: DataFrame, as_of: Column, cameras: DataFrame | None = None) -> DataFrame:
     """State of every camera from its newest points.
 
-    Only the last `TREND_WINDOW` frames of a camera are gathered, so the arrays stay short.
+    Only the last `TREND_WINDOW` frames of a camera are gathered, so the arrays stay short. A camera
+    of the list without frames shows open water, zeros and full freshness.
     """
     narrow = frames.select(
         "cam_id", "ts", "frame_id", "ice_field", "broken_ice", "slush_ice", "vessel", "total_pixels", "vessel_present"
@@ -61,6 +62,10 @@ def camera_cards(frames: DataFrame, as_of: Column) -> DataFrame:
         )
         .join(counts, "cam_id")
     )
+    if cameras is not None:
+        zeros = [n for n, t in card.dtypes if t in ("double", "int", "bigint") and n not in ("age_sec", "freshness")]
+        card = cameras.join(card, "cam_id", "left").fillna(0, zeros).fillna(1.0, ["freshness"])
+        card = card.withColumn("vessel_present", F.coalesce("vessel_present", F.lit(False)))
     kind = levels.scene_kind(F.col("ice_pixels"), F.col("field_cover"), F.col("scene_pressure"), F.col("loose_share"))
     largest = levels.largest_class(F.col("ice_field"), F.col("broken_ice"), F.col("slush_ice"))
     return card.withColumns(

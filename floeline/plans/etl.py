@@ -9,6 +9,8 @@ from floeline import schemas
 from floeline.operators import cleaning, reports
 from floeline.sources import readers, scratch, tables
 
+PRUNE_DATES = 1000
+
 
 @dataclass
 class EtlRun:
@@ -50,27 +52,39 @@ def load(
     return EtlRun(ran=True, wrote_detections=has_detections)
 
 
+def _only(df: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    right = keys.select(F.col("dt").alias("_dt"), F.col("cam_id").alias("_cam"))
+    match = F.col("dt").eqNullSafe(F.col("_dt")) & F.col("cam_id").eqNullSafe(F.col("_cam"))
+    return df.join(right, match, how)
+
+
+def _prune(df: DataFrame, keys: DataFrame, most_dates: int = PRUNE_DATES) -> DataFrame:
+    """Limit a raw scan to the dates of `keys` when they are few enough to write out."""
+    dates = [row["dt"] for row in keys.select("dt").distinct().limit(most_dates + 1).collect()]
+    if len(dates) > most_dates:
+        return df
+    wanted = F.col("dt").isin([d for d in dates if d is not None])
+    return df.where(wanted | F.col("dt").isNull() if None in dates else wanted)
+
+
 def refresh(
     spark: SparkSession, touched: DataFrame, frames_path: str, detections_path: str, database: str, threshold: float = 0.3
 ) -> None:
     """Rewrite the (dt, cam_id) partitions in `touched`, and only their hours in the summary.
 
-    The semi joins prune the raw scan to those partitions when the keys are few. Hours of other
-    partitions are carried over from the summary itself, so the frame table is not read again.
+    The raw scans read the touched dates only. Hours of other partitions are carried over from the
+    summary itself, so the frame table is not read again. The keys are staged, which gives the
+    planner their size.
     """
-    keys = touched.select("dt", "cam_id").distinct()
-    frames = readers.raw_frames(spark, frames_path).join(keys, ["dt", "cam_id"], "left_semi")
-    detections = readers.raw_detections(spark, detections_path).join(keys, ["dt", "cam_id"], "left_semi")
+    keys = scratch.stage(touched.select("dt", "cam_id").distinct(), "touched")
+    frames = _only(_prune(readers.raw_frames(spark, frames_path), keys), keys, "left_semi")
+    detections = _only(_prune(readers.raw_detections(spark, detections_path), keys), keys, "left_semi")
     tables.overwrite_partitions(cleaning.clean_detections(detections, threshold), f"{database}.detections")
     tables.overwrite_partitions(cleaning.clean_frames(frames), f"{database}.frames")
 
     summary = f"{database}.hourly_summary"
-    kept = (
-        spark.table(summary)
-        .withColumn("dt", F.to_date("hour"))
-        .join(keys, ["dt", "cam_id"], "left_anti")
-        .drop("dt")
-    )
+    dated = spark.table(summary).withColumn("dt", F.to_date("hour"))
+    kept = _only(dated, keys, "left_anti").drop("dt")
     renewed = reports.hourly_summary(cleaning.clean_frames(frames))
     # a table cannot be overwritten while it is read
     tables.overwrite_table(scratch.stage(kept.unionByName(renewed), "hourly"), summary)

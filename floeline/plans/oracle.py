@@ -2,6 +2,14 @@
 
 from floeline import schemas
 
+def _zone_rows(zones: dict = schemas.SCORING_ZONES) -> str:
+    rows = []
+    for cam, points in zones.items():
+        for (x1, y1), (x2, y2) in zip(points, [*points[1:], points[0]]):
+            rows.append(f"('{cam}', {x1}::DOUBLE, {y1}::DOUBLE, {x2}::DOUBLE, {y2}::DOUBLE)")
+    return ", ".join(rows)
+
+
 _CTES = {
     "ev": """
         SELECT event_id AS frame_id, ts, event_type, value, user_id, props,
@@ -105,7 +113,9 @@ _CTES = {
                CASE WHEN field_cover >= 0.35 OR display_load >= 0.45 THEN 'danger'
                     WHEN field_cover >= 0.16 OR display_load >= 0.20 THEN 'caution' ELSE 'ok' END AS scene_level,
                CASE WHEN scene_kind = 'dense_field' THEN 'ice_field' ELSE dominant_class END AS label_class
-        FROM kinds WHERE age_rank = 1""",
+        FROM kinds WHERE age_rank = 1
+        UNION ALL
+        SELECT 'cam_c', NULL, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, NULL, 1, 0, 0, 'open_water', 'ok', 'open_water'""",
     "result_stream": "SELECT * FROM frames WHERE event_type <> 'click'",
     "stored": "SELECT * FROM result_stream WHERE event_type <> 'view'",
     "cams": "SELECT * FROM (VALUES ('cam_a'), ('cam_b'), ('cam_c')) v(cam_id)",
@@ -135,10 +145,18 @@ _CTES = {
                generate_subscripts(embedding, 1) - 1 AS i,
                floor((unnest(embedding)::DOUBLE + 1.0) * 1000000)::BIGINT AS l
         FROM embeddings""",
+    "blocked": f"""
+        SELECT c.cam_id, p.i
+        FROM (SELECT unnest(range(64)) AS i) p
+        JOIN (VALUES {_zone_rows(schemas.DISPLAY_ZONES)}) c(cam_id, x1, y1, x2, y2)
+          ON (c.y1 > (p.i // 8 + 0.5) / 8) <> (c.y2 > (p.i // 8 + 0.5) / 8)
+         AND (p.i % 8 + 0.5) / 8 < (c.x2 - c.x1) * ((p.i // 8 + 0.5) / 8 - c.y1) / nullif(c.y2 - c.y1, 0) + c.x1
+        GROUP BY 1, 2 HAVING count(*) % 2 = 1""",
     "candidates": """
         SELECT vec_id, cam_id, i % 8 AS x, l // 7 % 256 - 0.18 * (l // 256 % 256)::DOUBLE AS score
-        FROM elements
-        WHERE l % 256 > 72 AND l // 256 % 256 < 190 AND i // 8 >= 1 AND i // 8 < 7""",
+        FROM elements e
+        WHERE l % 256 > 72 AND l // 256 % 256 < 190 AND i // 8 >= 1 AND i // 8 < 7
+          AND NOT EXISTS (FROM blocked b WHERE b.cam_id = e.cam_id AND b.i = e.i)""",
     "cuts": """
         SELECT vec_id, quantile_cont(score, 0.5) AS split, quantile_cont(score, 0.4) AS low,
                quantile_cont(score, 0.6) AS high
@@ -152,8 +170,8 @@ _CTES = {
         LEFT JOIN candidates c ON c.vec_id = e.vec_id LEFT JOIN cuts k ON k.vec_id = e.vec_id
         GROUP BY 1""",
     "ruled": """
-        SELECT *, CASE WHEN candidates = 0 THEN 'none' WHEN m_ice >= 11 AND m_slush >= 11 THEN 'median'
-                       WHEN t_ice >= 11 OR t_slush >= 11 THEN 'tails' ELSE 'columns' END AS rule
+        SELECT *, CASE WHEN candidates = 0 THEN 'none' WHEN m_ice >= 10 AND m_slush >= 10 THEN 'median'
+                       WHEN t_ice >= 10 OR t_slush >= 10 THEN 'tails' ELSE 'columns' END AS rule
         FROM sides""",
     "centres": """
         SELECT frame_id, ts, cam_id, class_name, (bbox_x1 + bbox_x2) / 2560.0 AS x, (bbox_y1 + bbox_y2) / 1440.0 AS y
@@ -175,14 +193,6 @@ _CTES = {
 }
 
 
-def _zone_rows() -> str:
-    rows = []
-    for cam, points in schemas.SCORING_ZONES.items():
-        for (x1, y1), (x2, y2) in zip(points, [*points[1:], points[0]]):
-            rows.append(f"('{cam}', {x1}::DOUBLE, {y1}::DOUBLE, {x2}::DOUBLE, {y2}::DOUBLE)")
-    return ", ".join(rows)
-
-
 def _case(column: str, texts: dict[str, str]) -> str:
     return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in texts.items()) + " END"
 

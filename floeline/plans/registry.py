@@ -48,7 +48,7 @@ def _metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 def _cards(spark: SparkSession, sf: str) -> DataFrame:
     frames = derived.frames(spark, sf)
-    return dashboard.camera_cards(frames, live.newest(frames))
+    return dashboard.camera_cards(frames, live.newest(frames), _cameras(spark))
 
 
 # --- reports ------------------------------------------------------------------
@@ -330,7 +330,8 @@ def region_bbox(spark, sf):
 
 def median_split(spark, sf):
     side = derived.EMBEDDING_SIDE
-    split = surface.median_split(derived.pixel_frames(spark, sf), ["vec_id"], side, side, least_pixels=44)
+    frames, edges = derived.pixel_frames(spark, sf), zones.zone_edges(spark, schemas.DISPLAY_ZONES)
+    split = surface.median_split(frames, ["vec_id"], side, side, least_pixels=40, edges=edges)
     return snapped(split, "split", "low", "high")
 
 

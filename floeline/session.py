@@ -27,6 +27,17 @@ def session(app: str = "floeline", master: str | None = None, **extra: str) -> S
     return builder.getOrCreate()
 
 
+def shuffle_width(input_bytes: int, target: int = 128 * 1024**2) -> int:
+    """Starting number of shuffle partitions for an input; adaptive execution merges small ones."""
+    return min(max(200, -(-input_bytes // target)), 100_000)
+
+
+def cluster_session(app: str = "floeline", input_bytes: int = 0, **extra: str) -> SparkSession:
+    """Session for a cluster; the master comes from the submit command."""
+    width = {"spark__sql__shuffle__partitions": str(shuffle_width(input_bytes))} if input_bytes else {}
+    return session(app, None, **{**width, **extra})
+
+
 def local_session(app: str = "floeline", cpus: int | None = None, **extra: str) -> SparkSession:
     """One-machine session for tests and the bench."""
     cpus = cpus or os.cpu_count() or 1

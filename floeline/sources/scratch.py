@@ -32,7 +32,10 @@ def root(spark: SparkSession) -> str:
 def folder(spark: SparkSession, label: str) -> str:
     """A fresh, not yet existing path under the shared folder."""
     path = f"{root(spark)}/floeline/{label}-{uuid.uuid4().hex}"
-    _used.setdefault(spark.sparkContext.applicationId, []).append(path)
+    app = spark.sparkContext.applicationId
+    if app not in _used:
+        atexit.register(_release_if_alive, spark)
+    _used.setdefault(app, []).append(path)
     return path
 
 
@@ -52,3 +55,8 @@ def release(spark: SparkSession) -> int:
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(conf).delete(target, True)
     return len(paths)
+
+
+def _release_if_alive(spark: SparkSession) -> None:
+    if spark.sparkContext._jsc is not None:
+        release(spark)
