@@ -74,9 +74,12 @@ def refresh(
 
     The raw scans read the touched dates only. Hours of other partitions are carried over from the
     summary itself, so the frame table is not read again. The keys are staged, which gives the
-    planner their size.
+    planner their size, and read back in `spark`: a streaming batch lives in a cloned session, and
+    tables overwritten from there would leave stale file lists in the session of the caller.
     """
-    keys = scratch.stage(touched.select("dt", "cam_id").distinct(), "touched")
+    path = scratch.folder(spark, "touched")
+    touched.select("dt", "cam_id").distinct().write.parquet(path)
+    keys = spark.read.schema("dt date, cam_id string").parquet(path)
     frames = _only(_prune(readers.raw_frames(spark, frames_path), keys), keys, "left_semi")
     detections = _only(_prune(readers.raw_detections(spark, detections_path), keys), keys, "left_semi")
     tables.overwrite_partitions(cleaning.clean_detections(detections, threshold), f"{database}.detections")
@@ -108,7 +111,7 @@ def start_incremental(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         if not batch.isEmpty():
-            refresh(batch.sparkSession, batch, frames_path, detections_path, database)
+            refresh(spark, batch, frames_path, detections_path, database)
 
     stream = spark.readStream.schema(schemas.RAW_FRAMES).parquet(frames_path).select("dt", "cam_id")
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
