@@ -470,9 +470,9 @@ def training_rows(spark, sf):
 
 
 def training_frames(spark, sf):
-    """The frame branch, taken when there are too few hours."""
+    """The frame branch, taken while the hourly table is empty."""
     hourly, frames = _model_tables(spark, sf)
-    rows, _, source = model.choose_rows(hourly, frames, least_hours=10**12)
+    rows, _, source = model.choose_rows(hourly.limit(0), frames)
     return rows.withColumn("source_table", F.lit(source))
 
 

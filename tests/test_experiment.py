@@ -96,7 +96,7 @@ def test_model_sources_and_sweep(spark, small):
     hourly = reports.hourly_summary(derived.frames(spark, small))
     frames = cleaning.clean_frames(derived.raw_frames(spark, small))
     assert model.choose_rows(hourly, frames)[2] == "hourly_summary"
-    rows, features, source = model.choose_rows(hourly, frames, least_hours=10**9)
+    rows, features, source = model.choose_rows(hourly.limit(9), frames)
     assert source == "frames" and features == model.FRAME_FEATURES
     assert model.choose_rows(hourly.limit(5), frames.limit(5)) is None
     result = model.sweep(rows, features, source, fractions=(0.001, 0.5)).collect()
