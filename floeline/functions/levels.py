@@ -78,8 +78,8 @@ def note_code(field_cover: Column, loose_share: Column) -> Column:
     )
 
 
-def text(code: Column, labels: dict[str, str]) -> Column:
-    """Display text of a code."""
+def text(code: Column, labels: dict) -> Column:
+    """Fixed value of a code, such as its display text."""
     pairs = [F.lit(part) for item in labels.items() for part in item]
     return F.create_map(*pairs)[code]
 

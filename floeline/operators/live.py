@@ -13,7 +13,9 @@ def camera_list(spark: SparkSession, cameras=schemas.CAMERAS) -> DataFrame:
 def history(metrics: DataFrame, cam_id: str, limit: int = 200, cameras=schemas.CAMERAS) -> DataFrame:
     """Newest rows of one known camera; an unknown one gives no rows."""
     known = metrics.where((F.col("cam_id") == cam_id) & F.col("cam_id").isin(*cameras))
-    return known.select("ts", "ice_conc", "ice_severity").orderBy(F.desc("ts")).limit(limit)
+    return known.select("ts", "ice_conc", "ice_severity").orderBy(
+        F.desc("ts"), "ice_conc", "ice_severity"
+    ).limit(limit)
 
 
 def newest(df: DataFrame, ts: str = "ts") -> Column:
@@ -85,7 +87,7 @@ def service_health(checks: DataFrame) -> DataFrame:
 
 
 def recent_logs(logs: DataFrame, limit: int = 100) -> DataFrame:
-    return logs.orderBy(F.desc("ts")).limit(limit)
+    return logs.orderBy(F.desc("ts"), "source", "message").limit(limit)
 
 
 def system_snapshot(

@@ -4,7 +4,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from floeline import schemas
 from floeline.functions import masks
-from floeline.functions.geometry import inside
+from floeline.functions.geometry import inside, rescale_area, rescale_edge
+from floeline.functions.levels import text
 
 
 def mask_histogram(df: DataFrame, mask: str = "mask") -> DataFrame:
@@ -43,6 +44,22 @@ def region_boxes(df: DataFrame, keys: list[str], width: int, mask: str = "mask")
     )
 
 
+def mask_detections(
+    df: DataFrame, keys: list[str], width: int, height: int, full_width: int, full_height: int, mask: str = "mask"
+) -> DataFrame:
+    """One detection per ice class of a mask, in the full resolution, with the fixed confidences."""
+    small = [F.lit(width), F.lit(height)]
+    full = [F.lit(full_width), F.lit(full_height)]
+    sides = {"bbox_x1": 0, "bbox_y1": 1, "bbox_x2": 0, "bbox_y2": 1}
+    return region_boxes(df, keys, width, mask).select(
+        *keys,
+        "class_name",
+        text(F.col("class_name"), schemas.MASK_CONFIDENCE).alias("confidence"),
+        rescale_area(F.col("area_pixels"), *small, *full).alias("area_pixels"),
+        *[rescale_edge(F.col(name), small[i], full[i]).alias(name) for name, i in sides.items()],
+    )
+
+
 def median_split(
     df: DataFrame,
     keys: list[str],

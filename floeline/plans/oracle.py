@@ -115,7 +115,7 @@ _CTES = {
                CASE WHEN scene_kind = 'dense_field' THEN 'ice_field' ELSE dominant_class END AS label_class
         FROM kinds WHERE age_rank = 1
         UNION ALL
-        SELECT 'cam_c', NULL, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, NULL, 1, 0, 0, 'open_water', 'ok', 'open_water'""",
+        SELECT 'cam_c', NULL, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, NULL, 1, 0, 0, 'open_water', 'ok', 'open_water' AS label_class""",
     "result_stream": "SELECT * FROM frames WHERE event_type <> 'click'",
     "stored": "SELECT * FROM result_stream WHERE event_type <> 'view'",
     "cams": "SELECT * FROM (VALUES ('cam_a'), ('cam_b'), ('cam_c')) v(cam_id)",
@@ -400,6 +400,15 @@ _SELECTS = {
                min(i % 8)::INTEGER AS bbox_x1, min(i // 8)::INTEGER AS bbox_y1,
                max(i % 8)::INTEGER AS bbox_x2, max(i // 8)::INTEGER AS bbox_y2, count(*)::INTEGER AS area_pixels
         FROM mask_pixels WHERE code BETWEEN 1 AND 3 GROUP BY 1, 2""",
+    "mask_detections": """
+        SELECT frame_id, CASE code WHEN 1 THEN 'ice_field' WHEN 2 THEN 'broken_ice' ELSE 'slush_ice' END AS class_name,
+               CASE code WHEN 1 THEN 0.35::DOUBLE ELSE 0.28::DOUBLE END AS confidence,
+               round_even(count(*) * (701 * 1001 / 64::DOUBLE), 0)::INTEGER AS area_pixels,
+               round_even(min(i % 8) * (1001 / 8::DOUBLE), 0)::INTEGER AS bbox_x1,
+               round_even(min(i // 8) * (701 / 8::DOUBLE), 0)::INTEGER AS bbox_y1,
+               round_even(max(i % 8) * (1001 / 8::DOUBLE), 0)::INTEGER AS bbox_x2,
+               round_even(max(i // 8) * (701 / 8::DOUBLE), 0)::INTEGER AS bbox_y2
+        FROM mask_pixels WHERE code BETWEEN 1 AND 3 GROUP BY frame_id, code""",
     "median_split": f"""
         SELECT vec_id, candidates::INTEGER AS candidates, rule, {_snap("split")}, {_snap("low")}, {_snap("high")},
                (CASE rule WHEN 'median' THEN m_ice WHEN 'tails' THEN t_ice ELSE c_ice END)::INTEGER AS ice_pixels,

@@ -328,6 +328,10 @@ def region_bbox(spark, sf):
     return surface.region_boxes(derived.masks(spark, sf), ["frame_id"], 8)
 
 
+def mask_detections(spark, sf):
+    return surface.mask_detections(derived.masks(spark, sf), ["frame_id"], 8, 8, 1001, 701)
+
+
 def median_split(spark, sf):
     side = derived.EMBEDDING_SIDE
     frames, edges = derived.pixel_frames(spark, sf), zones.zone_edges(spark, schemas.DISPLAY_ZONES)
@@ -616,7 +620,7 @@ QUERIES = {
         scene_kpis, scene_labels, frame_levels, metric_levels, queue_lag, parsed_times,
         field_trend, display_load, camera_cards, fleet_rollup, worst_camera, summary_note,
         latest_per_camera, last_n_points, trend_card, skip_repeats, frame_milestones,
-        mask_histogram, region_bbox, median_split, zone_filter, box_rescale, box_mirror,
+        mask_histogram, region_bbox, mask_detections, median_split, zone_filter, box_rescale, box_mirror,
         fit_dimensions,
         class_camera_rollup, latency_summary, latency_distinct, joined_trials, trial_summary,
         speedup_pivot, linearity, shuffled_trials, synthetic_detections, synthetic_profile,

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from floeline import schemas, session
 from floeline.operators import experiment, live, rollup
 from floeline.plans import dashboard, model
 from floeline.sources import derived, readers, synthetic
@@ -104,6 +105,21 @@ def test_model_sources_and_sweep(spark, small):
     assert 300 < result[0].rows + result[0].test_rows < 700
 
 
+def test_sweep_is_saved(spark, tmp_path):
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS sweeps LOCATION '{tmp_path}/sweeps'")
+    row = spark.createDataFrame([(0.5, 80, 20, 1.5, 0.9, "frames")], schemas.SWEEP_RESULT)
+    model.save(row, "sweeps")
+    model.save(row, "sweeps")
+    assert [tuple(r) for r in spark.table("sweeps.model_scaling_experiment").collect()] == [tuple(row.first())]
+    spark.sql("DROP DATABASE sweeps CASCADE")
+
+
+def test_shuffle_width():
+    assert session.shuffle_width(0) == 200
+    assert session.shuffle_width(100 * 1024**4) == 100_000
+    assert session.shuffle_width(1000 * 128 * 1024**2 + 1) == 1001
+
+
 def test_fleet_without_data(spark):
     empty = spark.createDataFrame(
         [],

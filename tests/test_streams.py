@@ -1,6 +1,7 @@
 """Streams: equal to the batch path, nothing twice after a restart."""
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from floeline import schemas
@@ -60,6 +61,11 @@ def test_repeated_batch_overwrites_itself(spark, folder):
     same(stored_frames(spark, folder), batch_frames(spark, folder))
 
 
+def test_kafka_needs_its_connector(spark):
+    with pytest.raises(AnalysisException, match="kafka"):
+        normaliser.kafka_messages(spark, "localhost:9092")
+
+
 def test_latest_per_camera(spark, folder):
     frames = messages.frames(messages.parse(normaliser.text_messages(spark, f"{folder}/in", 1))).drop("pixels", "dt")
     tables.latest_per_camera(frames, f"{folder}/latest", f"{folder}/ck", once=True).awaitTermination()
