@@ -463,7 +463,8 @@ def synthetic_profile(spark, sf):
 
 
 def _model_tables(spark, sf):
-    return _hourly(spark, sf), cleaning.clean_frames(derived.raw_frames(spark, sf))
+    areas = {name: f"{name}_area" for name in ("vessel", "ice_field", "broken_ice", "slush_ice")}
+    return _hourly(spark, sf), derived.frames(spark, sf).withColumnsRenamed(areas)
 
 
 def training_rows(spark, sf):
