@@ -24,12 +24,17 @@ def newest(df: DataFrame, ts: str = "ts") -> Column:
 
 
 def recent_stats(metrics: DataFrame, as_of: Column | None = None, hours: int = 1) -> DataFrame:
-    """Trailing-window means per camera; `as_of` defaults to the current time."""
+    """Trailing-window means per camera; `as_of` defaults to the current time.
+
+    A table partitioned by `dt` is read from the day on which the window starts.
+    """
     as_of = F.current_timestamp() if as_of is None else as_of
     since = as_of - F.make_dt_interval(hours=F.lit(hours))
+    recent = metrics.where(F.col("ts") > since)
+    if "dt" in metrics.columns:
+        recent = recent.where(F.col("dt") >= F.to_date(since))
     return (
-        metrics.where(F.col("ts") > since)
-        .groupBy("cam_id")
+        recent.groupBy("cam_id")
         .agg(
             F.count(F.lit(1)).alias("cnt"),
             F.avg("ice_conc").alias("avg_conc"),

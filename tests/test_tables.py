@@ -8,7 +8,7 @@ from pyspark.errors import IllegalArgumentException
 from pyspark.sql import functions as F
 
 from floeline import schemas
-from floeline.operators import cleaning, reports
+from floeline.operators import cleaning, live, reports
 from floeline.plans import etl
 from floeline.sources import derived, readers, scratch, tables
 
@@ -77,6 +77,17 @@ def test_date_filter_reaches_the_scan_below_dedup(spark, tmp_path):
     assert kept.count() == 1
 
 
+def test_trailing_window_prunes_dates(spark, tmp_path):
+    path = str(tmp_path / "raw")
+    rows = [frame(day, "a", 0.5, hour=h) for day in (1, 2, 3) for h in (0, 23)]
+    frames_df(spark, *rows).write.partitionBy("dt", "cam_id").parquet(path)
+    frames = readers.raw_frames(spark, path)
+    stats = live.recent_stats(frames, F.lit(datetime(2024, 1, 3, 0, 30)), hours=2)
+    plan = stats._jdf.queryExecution().executedPlan().toString()
+    assert "(dt" in plan.split("PartitionFilters: ")[1].split("]")[0]
+    assert stats.first().cnt == 3
+
+
 def test_overwrite_leaves_other_partitions(spark, database):
     table = f"{database}.frames"
     first = cleaning.clean_frames(frames_df(spark, frame(1, "a", 0.1), frame(2, "a", 0.2), frame(2, "b", 0.3)))
