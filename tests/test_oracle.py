@@ -4,8 +4,9 @@ import compare
 import pytest
 
 import __spark_entry__ as entry
+from floeline.plans import oracle, registry
 
-STATEMENTS = entry.oracle_sql()
+STATEMENTS = oracle.statements()
 
 
 @pytest.fixture(scope="module")
@@ -19,10 +20,10 @@ def test_same_rows(spark, duck, small, name):
 
 
 def test_every_statement_has_a_query():
-    assert set(STATEMENTS) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(STATEMENTS)))
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(STATEMENTS)))
 def test_rows_only(spark, small, name):
     assert entry.queries()[name](spark, small).count() > 0
 
