@@ -31,6 +31,12 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+@cache
+def letters_of_bytes() -> list[str]:
+    """The stand-in letter of each byte."""
+    return [c for c, _ in sorted(byte_letters().items(), key=lambda item: item[1])]
+
+
 class Vocabulary:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:

@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from floeline.llm import token_counts, vocabulary
+from floeline.llm import bpe, token_counts, vocabulary
 
 PARTS = ["the ", "token", "  ", "\n", "\n\n ", "<|endoftext|>", "<|endo", "'re", "'", "é", "汉字", "a" * 90, "1234", "...", " !", "\t", "\x1c", " ", "x'll "]
 
@@ -52,3 +52,35 @@ def test_fast_ids_are_those_of_the_library(library):
     for text in TEXTS:
         assert known.ids(text or "") == expected(library, text)
         assert known.decode(known.ids(text or "")) == (text or "")
+
+
+@pytest.mark.parametrize("leaf", [7, 50, 1000, 65536])
+def test_round_trip(spark, frame, library, leaf):
+    rows = bpe.digests(frame, ["doc_id"], leaf=leaf).collect()
+    assert len(rows) == len(TEXTS) + 2
+    for row in rows:
+        text = "null id" if row.doc_id is None else TEXTS[row.doc_id] or ""
+        ids = expected(library, text)
+        assert row.n_tokens == len(ids), (repr(text[:300]), leaf)
+        assert row.ids_sha256 == hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest()
+        decoded = library.decode(ids, skip_special_tokens=False)
+        assert row.decoded_sha256 == hashlib.sha256(decoded.encode()).hexdigest()
+
+
+@pytest.mark.parametrize("leaf", [600, 5000])
+def test_unsplit_text(leaf, library):
+    known = vocabulary.load(vocabulary.default_path())
+    pick = random.Random(5)
+    syllables = ["th", "er", "on", "an", "ing", "é", "ß", "tion", "aa", "zzz"]
+    for text in ("".join(pick.choice(syllables) for _ in range(9000)), "a" * 20000, "-=" * 9000, "x" * 700 + " " + "y" * 9000):
+        leaves = [bpe.encode_leaf(known, text[a:b]) for a, b in bpe.halves(text, leaf)]
+        assert bpe.tree(known, leaves).tolist() == expected(library, text)
+
+
+def test_encode_and_decode(spark, frame, library):
+    encoded = bpe.encode(frame, ["doc_id"], leaf=300)
+    rows = bpe.decode(encoded, ["doc_id", "ids"]).collect()
+    for row in rows:
+        text = "null id" if row.doc_id is None else TEXTS[row.doc_id] or ""
+        assert list(row.ids) == expected(library, text)
+        assert row.text == text
