@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floeline.llm import bpe, quality, token_counts
+from floeline.llm import bpe, quality, token_counts, warc
 
 
 TOKEN_LIMIT = 1024
@@ -34,8 +34,13 @@ def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def op7_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op6_bpe_round_trip": op6_bpe_round_trip,
+    "op7_warc_archives": op7_warc_archives,
     "op8_quality_cascade": op8_quality_cascade,
 }
