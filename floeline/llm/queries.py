@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floeline.llm import bpe, quality, token_counts, warc
+from floeline.llm import bpe, decontamination, quality, token_counts, warc
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 TOKEN_LIMIT = 1024
@@ -39,6 +43,7 @@ def op7_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_token_counts": op2_token_counts,
     "op6_bpe_round_trip": op6_bpe_round_trip,
     "op7_warc_archives": op7_warc_archives,
