@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floeline.llm import bpe, decontamination, jaccard, quality, token_counts, warc
+from floeline.llm import bpe, decontamination, jaccard, pii, quality, token_counts, warc
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,8 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TOKEN_LIMIT = 1024
+#: For the registered query only; a user gives a key of their own.
+SURROGATE_KEY = "registered query"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,10 +48,16 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(_table(spark, sf_dir, "documents"))
 
 
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.with_surrogates(docs, SURROGATE_KEY)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_token_counts": op2_token_counts,
     "op3_jaccard_join": op3_jaccard_join,
+    "op4_pii_surrogates": op4_pii_surrogates,
     "op6_bpe_round_trip": op6_bpe_round_trip,
     "op7_warc_archives": op7_warc_archives,
     "op8_quality_cascade": op8_quality_cascade,
