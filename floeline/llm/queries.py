@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floeline.llm import bpe, decontamination, jaccard, pii, quality, repeats, token_counts, toxicity, warc
+from floeline.llm import bpe, decontamination, jaccard, pii, quality, repeats, suffix_tree, token_counts, toxicity, warc
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,11 +61,16 @@ def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.removed(_table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.scores(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_token_counts": op2_token_counts,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_pii_surrogates": op4_pii_surrogates,
+    "op5_suffix_tree": op5_suffix_tree,
     "op6_bpe_round_trip": op6_bpe_round_trip,
     "op7_warc_archives": op7_warc_archives,
     "op8_quality_cascade": op8_quality_cascade,
