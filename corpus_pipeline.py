@@ -1,19 +1,57 @@
-"""Cleaning of a text corpus in stages, each stage one operator of floeline.llm."""
+"""Cleaning and encoding of a text corpus in stages, each one an operator of floeline.llm.
+
+Every stage takes all rows that the one before kept and is written to the shared folder before the
+next one reads it, so that a lost executor costs no more than the stage at hand.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from floeline.llm import quality
+from floeline.llm import bpe, decontamination, jaccard, pii, quality
 from floeline.sources import scratch
 
+#: For the registered pipeline only; a user sets a key of their own.
+SURROGATE_KEY = "corpus pipeline"
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no quality rule rejects."""
     return quality.kept(docs)
 
 
-STAGES = [("quality_rules", quality_rules)]
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates, that of the smallest id."""
+    return jaccard.one_of_each(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    items = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
+    return decontamination.clean(docs, items)
+
+
+def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with surrogates for personal data."""
+    return pii.with_surrogates(docs, SURROGATE_KEY).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of each document."""
+    encoded = bpe.encode(docs, ["doc_id", "lang", "source"])
+    return encoded.withColumn("n_tokens", F.size("ids").cast("long"))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("jaccard_join", jaccard_join),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("pii_surrogates", pii_surrogates),
+    ("bpe_encoding", bpe_encoding),
+]
 
+#: Surrogates are keyed hashes and ids come from a vocabulary file: SQL can't express them.
 ORACLE_SQL = None
 
 
