@@ -53,11 +53,11 @@ def latest_by_camera(metrics: DataFrame) -> DataFrame:
     )
 
 
-def stream_status(stream: DataFrame, keep: int, prefix: str) -> DataFrame:
-    """Length of a stream that keeps its newest `keep` entries, and its newest time."""
+def stream_status(stream: DataFrame, prefix: str, keep: int | None = None) -> DataFrame:
+    """Length of a stream and its newest time; `keep` is the length to which a broker trims it, if it does."""
+    length = F.count(F.lit(1)) if keep is None else F.least(F.count(F.lit(1)), F.lit(keep))
     return stream.groupBy("cam_id").agg(
-        F.least(F.count(F.lit(1)), F.lit(keep)).alias(f"{prefix}_stream_len"),
-        F.max("ts").alias(f"last_{prefix}_ts"),
+        length.alias(f"{prefix}_stream_len"), F.max("ts").alias(f"last_{prefix}_ts")
     )
 
 
@@ -66,8 +66,8 @@ def camera_status(
 ) -> DataFrame:
     """One row per camera of the list with stream lengths, table rows and presence flags."""
     joined = (
-        cameras.join(stream_status(frame_stream, schemas.FRAME_STREAM_LEN, "frame"), "cam_id", "left")
-        .join(stream_status(result_stream, schemas.RESULT_STREAM_LEN, "result"), "cam_id", "left")
+        cameras.join(stream_status(frame_stream, "frame"), "cam_id", "left")
+        .join(stream_status(result_stream, "result"), "cam_id", "left")
         .join(latest_by_camera(metrics), "cam_id", "left")
         .fillna(0, ["frame_stream_len", "result_stream_len", "db_rows"])
     )
@@ -107,8 +107,8 @@ def system_snapshot(
     as_of = F.current_timestamp() if as_of is None else as_of
     health = service_health(checks)
     return (
-        cameras.join(stream_status(frame_stream, schemas.FRAME_STREAM_LEN, "frame"), "cam_id", "left")
-        .join(stream_status(result_stream, schemas.RESULT_STREAM_LEN, "result"), "cam_id", "left")
+        cameras.join(stream_status(frame_stream, "frame"), "cam_id", "left")
+        .join(stream_status(result_stream, "result"), "cam_id", "left")
         .join(rows_by_camera(metrics), "cam_id", "left")
         .fillna(0, ["frame_stream_len", "result_stream_len", "db_rows"])
         .withColumn("ts", as_of)

@@ -9,7 +9,7 @@ from floeline import schemas
 from floeline.operators import cleaning, reports
 from floeline.sources import readers, scratch, tables
 
-PRUNE_DATES = 1000
+FIRST_DAY = "DATE'1900-01-01'"
 
 
 @dataclass
@@ -48,49 +48,64 @@ def load(
     frames = cleaning.clean_frames(raw_frames)
     tables.overwrite_partitions(frames, f"{database}.frames")
     # read again rather than cached: the summary needs four narrow columns and no pixel map
-    tables.overwrite_table(reports.hourly_summary(frames, count_vessel), f"{database}.hourly_summary")
+    _write_summary(frames, database, count_vessel)
     return EtlRun(ran=True, wrote_detections=has_detections)
 
 
-def _only(df: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-    right = keys.select(F.col("dt").alias("_dt"), F.col("cam_id").alias("_cam"))
-    match = F.col("dt").eqNullSafe(F.col("_dt")) & F.col("cam_id").eqNullSafe(F.col("_cam"))
-    return df.join(right, match, how)
+def only(df: DataFrame, keys: DataFrame, columns=tables.PARTITION_COLUMNS) -> DataFrame:
+    """Rows of `df` whose partition is in `keys`.
 
-
-def _prune(df: DataFrame, keys: DataFrame, most_dates: int = PRUNE_DATES) -> DataFrame:
-    """Limit a raw scan to the dates of `keys` when they are few enough to write out."""
-    dates = [row["dt"] for row in keys.select("dt").distinct().limit(most_dates + 1).collect()]
-    if len(dates) > most_dates:
-        return df
-    wanted = F.col("dt").isin([d for d in dates if d is not None])
-    return df.where(wanted | F.col("dt").isNull() if None in dates else wanted)
+    Plain equality and a range on the side of the keys let Spark prune partitions while it runs, for
+    any number of them. Keys with a NULL or an older date are rare and get a branch of their own.
+    """
+    plain = F.expr(f"dt >= {FIRST_DAY}")
+    for column in columns:
+        plain = plain & F.col(column).isNotNull()
+    odd = ~F.coalesce(plain, F.lit(False))
+    named = {c: f"_{c}" for c in columns}
+    right = keys.select(*columns).distinct()
+    usual = df.join(right.where(plain), list(columns), "left_semi")
+    others = right.where(odd).withColumnsRenamed(named)
+    match = F.lit(True)
+    for column, other in named.items():
+        match = match & F.col(column).eqNullSafe(F.col(other))
+    return usual.select(*df.columns).unionByName(df.where(odd).join(others, match, "left_semi"))
 
 
 def refresh(
-    spark: SparkSession, touched: DataFrame, frames_path: str, detections_path: str, database: str, threshold: float = 0.3
+    spark: SparkSession,
+    touched: DataFrame,
+    frames_path: str,
+    detections_path: str,
+    database: str,
+    threshold: float = 0.3,
+    count_vessel: bool = False,
 ) -> None:
-    """Rewrite the (dt, cam_id) partitions in `touched`, and only their hours in the summary.
+    """Rewrite the (dt, cam_id) partitions in `touched`, and the summary of their days.
 
-    The raw scans read the touched dates only. Hours of other partitions are carried over from the
-    summary itself, so the frame table is not read again. The keys are staged, which gives the
+    The raw scans read the touched partitions only. A day of the summary is computed from the frame
+    table, so that the cameras that were not touched stay in it. The keys are staged, which gives the
     planner their size, and read back in `spark`: a streaming batch lives in a cloned session, and
     tables overwritten from there would leave stale file lists in the session of the caller.
     """
     path = scratch.folder(spark, "touched")
-    touched.select("dt", "cam_id").distinct().write.parquet(path)
-    keys = spark.read.schema("dt date, cam_id string").parquet(path)
-    frames = _only(_prune(readers.raw_frames(spark, frames_path), keys), keys, "left_semi")
-    detections = _only(_prune(readers.raw_detections(spark, detections_path), keys), keys, "left_semi")
-    tables.overwrite_partitions(cleaning.clean_detections(detections, threshold), f"{database}.detections")
-    tables.overwrite_partitions(cleaning.clean_frames(frames), f"{database}.frames")
+    try:
+        touched.select("dt", "cam_id").distinct().write.parquet(path)
+        keys = spark.read.schema("dt date, cam_id string").parquet(path)
+        frames = only(readers.raw_frames(spark, frames_path), keys)
+        detections = only(readers.raw_detections(spark, detections_path), keys)
+        tables.overwrite_partitions(cleaning.clean_detections(detections, threshold), f"{database}.detections")
+        tables.overwrite_partitions(cleaning.clean_frames(frames), f"{database}.frames")
+        days = only(spark.table(f"{database}.frames"), keys, ("dt",))
+        _write_summary(days, database, count_vessel)
+    finally:
+        scratch.drop(spark, path)
+
 
-    summary = f"{database}.hourly_summary"
-    dated = spark.table(summary).withColumn("dt", F.to_date("hour"))
-    kept = _only(dated, keys, "left_anti").drop("dt")
-    renewed = reports.hourly_summary(cleaning.clean_frames(frames))
-    # a table cannot be overwritten while it is read
-    tables.overwrite_table(scratch.stage(kept.unionByName(renewed), "hourly"), summary)
+def _write_summary(frames: DataFrame, database: str, count_vessel: bool) -> None:
+    """Replace the days of the summary that `frames` cover."""
+    hourly = reports.hourly_summary(frames, count_vessel).withColumn("dt", F.to_date("hour"))
+    tables.overwrite_partitions(hourly, f"{database}.hourly_summary", ("dt",))
 
 
 def start_incremental(
@@ -102,8 +117,10 @@ def start_incremental(
     location: str | None = None,
     once: bool = True,
     every: str = "90 seconds",
+    threshold: float = 0.3,
+    count_vessel: bool = False,
 ) -> StreamingQuery:
-    """Follow the raw frame folder and refresh what new files touch.
+    """Follow both raw folders and refresh what new files of either touch.
 
     `refresh` is a full rewrite of the touched partitions, so a repeated batch changes nothing.
     """
@@ -111,9 +128,13 @@ def start_incremental(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         if not batch.isEmpty():
-            refresh(spark, batch, frames_path, detections_path, database)
+            refresh(spark, batch, frames_path, detections_path, database, threshold, count_vessel)
+
+    def keys(path: str, schema) -> DataFrame:
+        tables.ensure_folder(spark, path)
+        return spark.readStream.schema(schema).parquet(path).select("dt", "cam_id")
 
-    stream = spark.readStream.schema(schemas.RAW_FRAMES).parquet(frames_path).select("dt", "cam_id")
+    stream = keys(frames_path, schemas.RAW_FRAMES).unionByName(keys(detections_path, schemas.RAW_DETECTIONS))
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)
     return writer.start()

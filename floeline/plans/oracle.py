@@ -116,17 +116,17 @@ _CTES = {
         FROM kinds WHERE age_rank = 1
         UNION ALL
         SELECT 'cam_c', NULL, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, NULL, 1, 0, 0, 'open_water', 'ok', 'open_water' AS label_class""",
-    "result_stream": "SELECT * FROM frames WHERE event_type <> 'click'",
-    "stored": "SELECT * FROM result_stream WHERE event_type <> 'view'",
+    "result_stream": "SELECT * FROM frames",
+    "stored": "SELECT * FROM frames",
     "cams": "SELECT * FROM (VALUES ('cam_a'), ('cam_b'), ('cam_c')) v(cam_id)",
     "status": """
         SELECT c.cam_id, coalesce(f.n, 0)::BIGINT AS frame_stream_len, f.last_ts AS last_frame_ts,
                coalesce(r.n, 0)::BIGINT AS result_stream_len, r.last_ts AS last_result_ts,
                coalesce(s.n, 0)::BIGINT AS db_rows, s.last_ts AS last_db_ts
         FROM cams c
-        LEFT JOIN (SELECT cam_id, least(count(*), 100) AS n, max(ts) AS last_ts FROM frames GROUP BY 1) f
+        LEFT JOIN (SELECT cam_id, count(*) AS n, max(ts) AS last_ts FROM frames GROUP BY 1) f
                ON f.cam_id = c.cam_id
-        LEFT JOIN (SELECT cam_id, least(count(*), 200) AS n, max(ts) AS last_ts FROM result_stream GROUP BY 1) r
+        LEFT JOIN (SELECT cam_id, count(*) AS n, max(ts) AS last_ts FROM result_stream GROUP BY 1) r
                ON r.cam_id = c.cam_id
         LEFT JOIN (SELECT cam_id, count(*) AS n, max(ts) AS last_ts FROM stored GROUP BY 1) s
                ON s.cam_id = c.cam_id""",
@@ -276,7 +276,9 @@ _SELECTS = {
     "camera_status": """
         SELECT *, frame_stream_len > 0 AS has_frames, result_stream_len > 0 AS has_results, db_rows > 0 AS has_db_rows
         FROM status""",
-    "waiting_alert": "SELECT NOT bool_or(result_stream_len > 0) AS waiting FROM status",
+    "waiting_alert": """
+        SELECT 'all' AS cameras, NOT bool_or(result_stream_len > 0) AS waiting FROM status
+        UNION ALL SELECT 'silent', NOT bool_or(result_stream_len > 0) FROM status WHERE cam_id = 'cam_c'""",
     "camera_rows": "SELECT cam_id, count(*) AS db_rows FROM frames GROUP BY 1",
     "service_health": "SELECT count_if(ok)::BIGINT AS healthy, count(*) AS total FROM checks",
     "system_snapshot": f"""
@@ -475,6 +477,11 @@ _SELECTS = {
         SELECT CASE WHEN event_id % 2 = 0 THEN 'cam_a' ELSE 'cam_b' END AS cam_id, count(*) AS rows,
                4::BIGINT AS classes, true AS confidence_ok, true AS area_ok, true AS scores_ok
         FROM events GROUP BY 1""",
+    "shuffled_trials": """
+        SELECT CASE event_id % 4 WHEN 0 THEN 100000 WHEN 1 THEN 250000 WHEN 2 THEN 500000 ELSE 1000000 END::BIGINT AS rows,
+               (1 + (event_id // 4) % 2)::INTEGER AS executors, count(*) AS trials,
+               sum(event_id // 8 + 1)::BIGINT AS trial_sum, true AS keyed
+        FROM events GROUP BY 1, 2""",
     "training_rows": f"""
         SELECT {_snap("avg_ice_conc")}, max_ice_conc, {_snap("avg_severity")}, total_frames, danger_level,
                'hourly_summary' AS source_table
@@ -489,7 +496,14 @@ _SELECTS = {
         GROUP BY 1, 2, 3""",
     "table_counts": _COUNTS,
     "etl_hourly_table": _HOURLY,
-    "incremental_refresh": _COUNTS,
+    "incremental_refresh": f"""
+        SELECT 'detections' AS part, dt, cam_id, count(*) AS rows, sum(area_pixels)::BIGINT AS figure
+        FROM cleaned GROUP BY 2, 3
+        UNION ALL
+        SELECT 'frames', strftime(ts, '%Y-%m-%d'), cam_id, count(*), sum(ice_field)::BIGINT FROM frames GROUP BY 2, 3
+        UNION ALL
+        SELECT 'hourly', strftime(hour, '%Y-%m-%d'), cam_id, sum(total_frames)::BIGINT, sum(vessel_count)::BIGINT
+        FROM hourly GROUP BY 2, 3""",
     "stream_roundtrip": f"SELECT {_FRAME_COLUMNS} FROM frames",
     "stream_detections": f"SELECT {_DETECTION_COLUMNS} FROM detections",
     "stream_latest": """

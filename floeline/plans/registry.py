@@ -104,10 +104,9 @@ def recent_stats(spark, sf):
 
 
 def _streams(spark, sf):
-    """Frame stream, result stream and stored rows; the later ones lack some events."""
+    """Frame stream, result stream and stored rows."""
     frames = derived.frames(spark, sf)
-    results = frames.where(F.col("event_type") != "click")
-    return frames, results, results.where(F.col("event_type") != "view")
+    return frames, frames, frames
 
 
 def _cameras(spark):
@@ -119,7 +118,11 @@ def camera_status(spark, sf):
 
 
 def waiting_alert(spark, sf):
-    return live.waiting_for_results(camera_status(spark, sf))
+    """Over all cameras, and over those that have never sent a frame."""
+    status = camera_status(spark, sf)
+    silent = status.where(F.col("cam_id") == "cam_c")
+    answers = [live.waiting_for_results(part).select(F.lit(name).alias("cameras"), "waiting") for name, part in (("all", status), ("silent", silent))]
+    return answers[0].unionByName(answers[1])
 
 
 def camera_rows(spark, sf):
@@ -435,7 +438,13 @@ def linearity(spark, sf):
 
 
 def shuffled_trials(spark, sf):
-    return experiment.shuffled(derived.scaling_trials(spark, sf))
+    """The multiset of the shuffled trials, and whether all have a key of the seeded order."""
+    mixed = experiment.shuffled(derived.scaling_trials(spark, sf))
+    return mixed.groupBy("rows", "executors").agg(
+        F.count(F.lit(1)).alias("trials"),
+        F.sum("trial").cast("long").alias("trial_sum"),
+        F.bool_and((F.col("run_order_key") >= 0) & (F.col("run_order_key") < 1)).alias("keyed"),
+    )
 
 
 def _random_detections(spark, sf):
@@ -468,21 +477,20 @@ def _model_tables(spark, sf):
 
 
 def training_rows(spark, sf):
-    hourly, frames = _model_tables(spark, sf)
-    rows, _, source = model.choose_rows(hourly, frames)
+    hourly, _ = _model_tables(spark, sf)
+    rows, _, source = model.choose_rows("hourly_summary", hourly=hourly)
     doubles = [n for n, t in rows.dtypes if t == "double" and n.startswith("avg_")]
     return snapped(rows, *doubles).withColumn("source_table", F.lit(source))
 
 
 def training_frames(spark, sf):
-    """The frame branch, taken while the hourly table is empty."""
-    hourly, frames = _model_tables(spark, sf)
-    rows, _, source = model.choose_rows(hourly.limit(0), frames)
+    _, frames = _model_tables(spark, sf)
+    rows, _, source = model.choose_rows("frames", frames=frames)
     return rows.withColumn("source_table", F.lit(source))
 
 
 def danger_model_sweep(spark, sf):
-    return model.danger_sweep(spark, *_model_tables(spark, sf))
+    return model.danger_sweep(*_model_tables(spark, sf))
 
 
 # --- tables and streams -------------------------------------------------------
@@ -532,21 +540,43 @@ def table_counts(spark, sf):
 
 def etl_hourly_table(spark, sf):
     _, database = _etl(spark, sf)
-    hourly = spark.sql(f"SELECT * FROM {database}.hourly_summary")
+    hourly = spark.sql(f"SELECT * FROM {database}.hourly_summary").drop("dt")
     return snapped(
         hourly.withColumn("hour", F.col("hour").cast("timestamp_ntz")), "avg_ice_conc", "avg_severity"
     )
 
 
 def incremental_refresh(spark, sf):
-    """Raw folders followed by a stream; the tables end up as after one full run."""
-    base, database = _raw_folders(spark, sf), _database()
-    folder = scratch.folder(spark, "warehouse")
-    query = etl.start_incremental(
-        spark, f"{base}/frames", f"{base}/ice_detections", database, f"{base}/checkpoint", folder
+    """Three batches: frames of the first half, then their detections and more frames, then the rest.
+
+    Detections come after the frames of their day. The content of all three tables ends up as after
+    one full run.
+    """
+    base, whole, database = scratch.folder(spark, "raw"), _raw_folders(spark, sf), _database()
+    folder, middle = scratch.folder(spark, "warehouse"), F.lit("2024-01-16").cast("date")
+
+    def arrive(name: str, late: bool) -> None:
+        rows = spark.read.parquet(f"{whole}/{name}")
+        part = rows.where(F.col("dt") >= middle if late else F.col("dt") < middle)
+        part.hint("rebalance", F.col("dt"), F.col("cam_id")).write.mode("append").partitionBy("dt", "cam_id").parquet(f"{base}/{name}")
+
+    for step in ([("frames", False)], [("ice_detections", False), ("frames", True)], [("ice_detections", True)]):
+        for name, late in step:
+            arrive(name, late)
+        etl.start_incremental(
+            spark, f"{base}/frames", f"{base}/ice_detections", database, f"{base}/checkpoint", folder, count_vessel=True
+        ).awaitTermination()
+
+    def figures(part: str, table: str, day, rows, figure):
+        by = spark.table(f"{database}.{table}").groupBy(F.date_format(day, "yyyy-MM-dd").alias("dt"), "cam_id")
+        return by.agg(rows.alias("rows"), figure.cast("long").alias("figure")).select(F.lit(part).alias("part"), "dt", "cam_id", "rows", "figure")
+
+    one = F.count(F.lit(1))
+    return (
+        figures("detections", "detections", F.col("dt"), one, F.sum("area_pixels"))
+        .unionByName(figures("frames", "frames", F.col("dt"), one, F.sum("ice_field_area")))
+        .unionByName(figures("hourly", "hourly_summary", F.col("hour"), F.sum("total_frames"), F.sum("vessel_frames")))
     )
-    query.awaitTermination()
-    return tables.table_counts(spark, database)
 
 
 def _message_folder(spark, sf) -> str:
@@ -570,7 +600,7 @@ def stream_detections(spark, sf):
     source = normaliser.text_messages(spark, f"{base}/in")
     normaliser.drain([normaliser.start_single_read(source, base, once=True)])
     stored = spark.read.schema(schemas.RAW_DETECTIONS).parquet(f"{base}/raw/ice_detections")
-    return _wall(stored.drop("batch_id"))
+    return _wall(stored.drop("batch"))
 
 
 def stream_latest(spark, sf):
@@ -578,7 +608,7 @@ def stream_latest(spark, sf):
     frames = messages.frames(messages.parse(normaliser.text_messages(spark, f"{base}/in"))).drop("pixels", "dt")
     query = stream_tables.latest_per_camera(frames, f"{base}/latest", f"{base}/latest_checkpoint", once=True)
     query.awaitTermination()
-    newest = spark.read.schema(frames.schema).parquet(f"{base}/latest")
+    newest = stream_tables.read_latest(spark, f"{base}/latest", frames.schema)
     return newest.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 

@@ -29,7 +29,7 @@ def session(app: str = "floeline", master: str | None = None, **extra: str) -> S
 
 def shuffle_width(input_bytes: int, target: int = 128 * 1024**2) -> int:
     """Starting number of shuffle partitions for an input; adaptive execution merges small ones."""
-    return min(max(200, -(-input_bytes // target)), 100_000)
+    return max(200, -(-input_bytes // target))
 
 
 def cluster_session(app: str = "floeline", input_bytes: int = 0, **extra: str) -> SparkSession:

@@ -46,6 +46,15 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete one folder before the application ends."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    known = _used.get(spark.sparkContext.applicationId, [])
+    if path in known:
+        known.remove(path)
+
+
 def release(spark: SparkSession) -> int:
     """Delete the folders this application made; results built on them must be done."""
     jvm = spark.sparkContext._jvm

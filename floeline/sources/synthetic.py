@@ -10,21 +10,21 @@ def detections(spark: SparkSession, rows: int, parts: int | None = None) -> Data
     return from_ids(spark.range(0, rows, 1, parts), rows)
 
 
+def _share(name: str, seed: int):
+    """A number in [0, 1) that depends on the row, the column and the seed only, so any part can be made again."""
+    return F.pmod(F.xxhash64("id", F.lit(name), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+
+
 def from_ids(ids: DataFrame, seed: int) -> DataFrame:
-    """Seeded detections for the rows of `ids` (column `id`), cameras taking turns."""
-    draw = F.floor(F.rand(42 + seed) * len(CLASSES)).cast("int")
-    return (
-        ids.withColumns(
-            {
-                "cam_id": F.when(F.col("id") % 2 == 0, "cam_a").otherwise("cam_b"),
-                "class_idx": draw,
-                "confidence": F.rand(123 + seed) * 0.6 + 0.4,
-                "area_pixels": F.floor(F.rand(456 + seed) * 50_000 + 100).cast("int"),
-                "ice_conc": F.rand(789 + seed),
-                "ice_severity": F.rand(101_112 + seed),
-                "dt": F.lit("2026-04-18"),
-            }
-        )
-        .withColumn("class_name", F.element_at(F.array(*[F.lit(c) for c in CLASSES]), F.col("class_idx") + 1))
-        .drop("id", "class_idx")
+    """Detections for the rows of `ids` (column `id`), cameras taking turns, over thirty days."""
+    names = F.array(*[F.lit(c) for c in CLASSES])
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.floor(_share("day", seed) * 30).cast("int"))
+    return ids.select(
+        F.when(F.col("id") % 2 == 0, "cam_a").otherwise("cam_b").alias("cam_id"),
+        (0.4 + 0.6 * _share("confidence", seed)).alias("confidence"),
+        F.floor(100 + 50_000 * _share("area", seed)).cast("int").alias("area_pixels"),
+        _share("conc", seed).alias("ice_conc"),
+        _share("severity", seed).alias("ice_severity"),
+        F.date_format(day, "yyyy-MM-dd").alias("dt"),
+        F.get(names, F.floor(_share("class", seed) * len(CLASSES)).cast("int")).alias("class_name"),
     )

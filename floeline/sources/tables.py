@@ -1,5 +1,7 @@
 """Catalog tables: definition, partition overwrite, counts."""
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from floeline import schemas
@@ -12,9 +14,25 @@ def create_tables(spark: SparkSession, database: str, location: str | None = Non
     where = f" LOCATION '{location}'" if location else ""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}{where}")
     for name, (columns, partitions) in schemas.TABLES.items():
-        tail = f" PARTITIONED BY ({', '.join(PARTITION_COLUMNS)})" if partitions else ""
-        every = f"{columns}, {partitions}" if partitions else columns
-        spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({every}) USING parquet{tail}")
+        by = ", ".join(part.split()[0] for part in partitions.split(", "))
+        spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {database}.{name} ({columns}, {partitions}) USING parquet PARTITIONED BY ({by})"
+        )
+
+
+def ensure_folder(spark: SparkSession, path: str) -> None:
+    """A stream needs its folder before the first file is there."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(target)
+
+
+def run_name(spark: SparkSession, checkpoint: str) -> str:
+    """A name that lives as long as the checkpoint; a new checkpoint gets a new one."""
+    path = f"{checkpoint}/run"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+        spark.createDataFrame([(uuid.uuid4().hex[:12],)], "run string").coalesce(1).write.mode("overwrite").text(path)
+    return spark.read.text(path).first()[0]
 
 
 def overwrite_partitions(df: DataFrame, table: str, partitions=PARTITION_COLUMNS) -> None:
@@ -22,17 +40,14 @@ def overwrite_partitions(df: DataFrame, table: str, partitions=PARTITION_COLUMNS
 
     `insertInto` goes by position, so partition columns move last. The rebalance hint groups rows
     by partition for few files, while adaptive execution splits a partition that is too large for
-    one task.
+    one task. The setting stays: switching it back and forth would race with other streams.
     """
     ordered = df.select(*[c for c in df.columns if c not in partitions], *partitions)
     spark = df.sparkSession
     key = "spark.sql.sources.partitionOverwriteMode"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "dynamic")
-    try:
-        ordered.hint("rebalance", *[F.col(c) for c in partitions]).write.insertInto(table, overwrite=True)
-    finally:
-        spark.conf.set(key, before)
+    if spark.conf.get(key).lower() != "dynamic":
+        spark.conf.set(key, "dynamic")
+    ordered.hint("rebalance", *[F.col(c) for c in partitions]).write.insertInto(table, overwrite=True)
 
 
 def overwrite_table(df: DataFrame, table: str) -> None:

@@ -4,34 +4,46 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from floeline.operators import messages
+from floeline.sources import tables
 
 TOPIC = "ice.detections"
-MAX_OFFSETS = 5000
 TRIGGER = "30 seconds"
 
 
+def kafka_source_options(
+    servers: str, topic: str, starting: str, max_offsets: int | None, fail_on_data_loss: bool
+) -> dict[str, str]:
+    options = {
+        "kafka.bootstrap.servers": servers,
+        "subscribe": topic,
+        "startingOffsets": starting,
+        "failOnDataLoss": str(fail_on_data_loss).lower(),
+    }
+    return options if max_offsets is None else {**options, "maxOffsetsPerTrigger": str(max_offsets)}
+
+
 def kafka_messages(
     spark: SparkSession,
     servers: str,
     topic: str = TOPIC,
     starting: str = "earliest",
-    max_offsets: int = MAX_OFFSETS,
+    max_offsets: int | None = None,
+    fail_on_data_loss: bool = True,
 ) -> DataFrame:
-    """Topic as a stream; needs the Kafka connector on the class path."""
-    return (
-        spark.readStream.format("kafka")
-        .option("kafka.bootstrap.servers", servers)
-        .option("subscribe", topic)
-        .option("startingOffsets", starting)
-        .option("failOnDataLoss", "false")
-        .option("maxOffsetsPerTrigger", str(max_offsets))
-        .load()
-    )
+    """Topic as a stream; needs the Kafka connector on the class path.
 
+    A batch takes all that has arrived unless `max_offsets` bounds it; a bound below the rate of the
+    topic makes a backlog that its retention may delete. Lost messages stop the query unless
+    `fail_on_data_loss` is False.
+    """
+    options = kafka_source_options(servers, topic, starting, max_offsets, fail_on_data_loss)
+    return spark.readStream.format("kafka").options(**options).load()
 
-def text_messages(spark: SparkSession, path: str, max_files: int = 100) -> DataFrame:
-    """A folder of text files, one message per line, as a stream."""
-    return spark.readStream.option("maxFilesPerTrigger", str(max_files)).text(path)
+
+def text_messages(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+    """A folder of text files, one message per line, as a stream; `max_files` bounds a batch."""
+    reader = spark.readStream if max_files is None else spark.readStream.option("maxFilesPerTrigger", str(max_files))
+    return reader.text(path)
 
 
 def _trigger(writer, once: bool, every: str):
@@ -65,32 +77,38 @@ def start_two_queries(
     ]
 
 
-def start_single_read(
-    source: DataFrame, base: str, grain: str = "micro", once: bool = False, every: str = TRIGGER
-) -> StreamingQuery:
-    """Both sinks from one read of the source.
-
-    A batch that runs again after a failure overwrites its own `batch_id` folders, so nothing is
-    written twice.
-    """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        kept = batch.persist()
+def store_batch(batch: DataFrame, base: str, run: str, batch_id: int) -> None:
+    """Both parts of a batch, below their day and camera in a folder that only this run and batch write."""
+    kept = batch.persist()
+    try:
         parts = {"frames": messages.frames(kept), "ice_detections": messages.detections(kept)}
         for name, rows in parts.items():
             (
-                rows.withColumn("batch_id", F.lit(batch_id))
+                rows.withColumn("batch", F.lit(f"{run}-{batch_id}"))
                 .write.mode("overwrite")
                 .option("partitionOverwriteMode", "dynamic")
-                .partitionBy("batch_id", "dt", "cam_id")
+                .partitionBy("dt", "cam_id", "batch")
                 .parquet(f"{base}/raw/{name}")
             )
+    finally:
         kept.unpersist()
 
+
+def start_single_read(
+    source: DataFrame, base: str, grain: str = "micro", once: bool = False, every: str = TRIGGER
+) -> StreamingQuery:
+    """Both sinks from one read of the source.
+
+    A batch that runs again after a failure overwrites its own folders, so nothing is written twice.
+    The name of the run lies in the checkpoint: with a new checkpoint the numbers of batches begin
+    anew, and what earlier runs have stored stays.
+    """
+    checkpoint = f"{base}/checkpoints/single"
+    run = tables.run_name(source.sparkSession, checkpoint)
     writer = (
         messages.parse(source, grain=grain)
-        .writeStream.foreachBatch(write)
-        .option("checkpointLocation", f"{base}/checkpoints/single")
+        .writeStream.foreachBatch(lambda batch, batch_id: store_batch(batch, base, run, batch_id))
+        .option("checkpointLocation", checkpoint)
         .queryName("normaliser")
     )
     return _trigger(writer, once, every).start()
@@ -116,12 +134,18 @@ def write_messages(df: DataFrame, path: str) -> None:
     messages.encode(df).write.mode("append").text(path)
 
 
+def kafka_sink_options(servers: str, topic: str) -> dict[str, str]:
+    return {"kafka.bootstrap.servers": servers, "topic": topic}
+
+
 def kafka_sink(df: DataFrame, servers: str, topic: str = TOPIC) -> None:
     """Encoded messages to a topic; needs the Kafka connector on the class path."""
-    (
-        messages.encode(df)
-        .write.format("kafka")
-        .option("kafka.bootstrap.servers", servers)
-        .option("topic", topic)
-        .save()
-    )
+    messages.encode(df).write.format("kafka").options(**kafka_sink_options(servers, topic)).save()
+
+
+def kafka_stream_sink(
+    stream: DataFrame, servers: str, checkpoint: str, topic: str = TOPIC, once: bool = False, every: str = TRIGGER
+) -> StreamingQuery:
+    """The same for a stream; a restart may send the last batch again."""
+    writer = messages.encode(stream).writeStream.format("kafka").options(**kafka_sink_options(servers, topic))
+    return _trigger(writer.option("checkpointLocation", checkpoint), once, every).start()

@@ -1,9 +1,13 @@
 """Streams that keep tables up to date."""
 
-from pyspark.sql import DataFrame, functions as F
+import time
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from floeline.operators import messages
+from floeline.sources import scratch
+from floeline.sources.tables import run_name
 
 
 def _run(writer, checkpoint: str, once: bool, every: str) -> StreamingQuery:
@@ -15,30 +19,52 @@ def _run(writer, checkpoint: str, once: bool, every: str) -> StreamingQuery:
 def latest_per_camera(
     stream: DataFrame, path: str, checkpoint: str, keys=("cam_id",), order=("ts",), once=False, every="30 seconds"
 ) -> StreamingQuery:
-    """Newest row per key in Parquet, rewritten with every batch. State: one row per key."""
+    """Newest row per key in Parquet, a version per batch, the newest two of which stay. State: one row per key.
+
+    A version counts once it is written completely, so `read_latest` always finds a whole one.
+    """
     rest = [c for c in stream.columns if c not in keys]
     newest = stream.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_row"))
+    spark, begun = stream.sparkSession, time.time_ns() // 1000
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.select(*keys, "_row.*").write.mode("overwrite").parquet(path)
+        target = f"{path}/{begun + batch_id:020d}"
+        batch.select(*keys, "_row.*").write.mode("overwrite").parquet(target)
+        for old in versions(spark, path)[:-2]:
+            scratch.drop(spark, old)
 
     writer = newest.writeStream.outputMode("complete").foreachBatch(write)
     return _run(writer, checkpoint, once, every)
 
 
+def versions(spark: SparkSession, path: str) -> list[str]:
+    """Folders of complete versions, oldest first."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/*/_SUCCESS")
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getParent().toString() for f in files.globStatus(folder) or [])
+
+
+def read_latest(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The newest complete version; no rows if there is none."""
+    known = versions(spark, path)
+    return spark.read.schema(schema).parquet(known[-1]) if known else spark.createDataFrame([], schema)
+
+
 def live_metrics(entries: DataFrame, path: str, checkpoint: str, once=False, every="30 seconds") -> StreamingQuery:
     """Append result entries (text fields) to a store partitioned by date.
 
-    A repeated batch replaces its own folders.
+    A repeated batch replaces its own folders; a new checkpoint leaves those of earlier runs.
     """
+    run = run_name(entries.sparkSession, checkpoint)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = messages.live_metrics(batch).withColumns({"dt": F.to_date("ts"), "batch_id": F.lit(batch_id)})
+        key = F.lit(f"{run}-{batch_id}")
+        rows = messages.live_metrics(batch).withColumns({"dt": F.to_date("ts"), "batch": key})
         (
             rows.sortWithinPartitions("cam_id", "ts")
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("dt", "batch_id")
+            .partitionBy("dt", "batch")
             .parquet(path)
         )
 

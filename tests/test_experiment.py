@@ -80,6 +80,7 @@ def test_linearity(spark):
 def test_synthetic(spark):
     df = synthetic.detections(spark, 1000, 4)
     assert df.columns == ["cam_id", "confidence", "area_pixels", "ice_conc", "ice_severity", "dt", "class_name"]
+    assert df.select("dt").distinct().count() > 20
     assert df.exceptAll(synthetic.detections(spark, 1000, 4)).isEmpty()
     assert df.where("confidence < 0.4 OR confidence >= 1.0 OR area_pixels NOT BETWEEN 100 AND 50099").isEmpty()
     assert experiment.class_camera_rollup(df).count() == 8
@@ -96,18 +97,22 @@ def test_model_sources_and_sweep(spark, small):
 
     hourly = reports.hourly_summary(derived.frames(spark, small))
     frames = cleaning.clean_frames(derived.raw_frames(spark, small))
-    assert model.choose_rows(hourly, frames)[2] == "hourly_summary"
-    rows, features, source = model.choose_rows(hourly.limit(9), frames)
+    assert model.choose_rows("hourly_summary", hourly=hourly)[1] == model.HOURLY_FEATURES
+    rows, features, source = model.choose_rows("frames", frames=frames)
     assert source == "frames" and features == model.FRAME_FEATURES
-    assert model.choose_rows(hourly.limit(5), frames.limit(5)) is None
+    for bad in ({"source": "frames", "frames": frames.limit(0)}, {"source": "frames", "hourly": hourly}, {"source": "other"}):
+        with pytest.raises(ValueError):
+            model.choose_rows(**bad)
     result = model.sweep(rows, features, source, fractions=(0.001, 0.5)).collect()
-    assert len(result) == 1 and result[0].fraction == 0.5 and 0.7 < result[0].accuracy <= 1.0
-    assert 300 < result[0].rows + result[0].test_rows < 700
+    assert [r.fraction for r in result] == [0.001, 0.5]
+    assert result[0].accuracy is None and "training" in result[0].note
+    assert result[1].note is None and 0.7 < result[1].accuracy <= 1.0
+    assert 300 < result[1].rows + result[1].test_rows < 700
 
 
 def test_sweep_is_saved(spark, tmp_path):
     spark.sql(f"CREATE DATABASE IF NOT EXISTS sweeps LOCATION '{tmp_path}/sweeps'")
-    row = spark.createDataFrame([(0.5, 80, 20, 1.5, 0.9, "frames")], schemas.SWEEP_RESULT)
+    row = spark.createDataFrame([(0.5, 80, 20, 1.5, 0.9, "frames", None)], schemas.SWEEP_RESULT)
     model.save(row, "sweeps")
     model.save(row, "sweeps")
     assert [tuple(r) for r in spark.table("sweeps.model_scaling_experiment").collect()] == [tuple(row.first())]
@@ -116,7 +121,7 @@ def test_sweep_is_saved(spark, tmp_path):
 
 def test_shuffle_width():
     assert session.shuffle_width(0) == 200
-    assert session.shuffle_width(100 * 1024**4) == 100_000
+    assert session.shuffle_width(100 * 1024**4) == 819_200
     assert session.shuffle_width(1000 * 128 * 1024**2 + 1) == 1001
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from floeline import schemas
 from floeline.operators import messages
-from floeline.sources import derived
+from floeline.sources import derived, scratch
 from floeline.streaming import normaliser, tables
 
 
@@ -51,16 +51,31 @@ def test_stream_equals_batch_and_restarts_cleanly(spark, folder, kind):
 
 
 def test_repeated_batch_overwrites_itself(spark, folder):
-    source = normaliser.text_messages(spark, f"{folder}/in")
-    for _ in range(2):  # a lost checkpoint makes the same batch run again
-        query = normaliser.start_single_read(source, folder, once=True)
-        query.awaitTermination()
-        spark.sparkContext._jvm.org.apache.hadoop.fs.FileSystem.get(
-            spark.sparkContext._jsc.hadoopConfiguration()
-        ).delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/checkpoints/single"), True)
+    batch = messages.parse(spark.read.text(f"{folder}/in"))
+    for _ in range(2):
+        normaliser.store_batch(batch, folder, "run", 0)
     same(stored_frames(spark, folder), batch_frames(spark, folder))
 
 
+def test_a_new_checkpoint_keeps_stored_rows(spark, folder):
+    def run():
+        normaliser.start_single_read(normaliser.text_messages(spark, f"{folder}/in"), folder, once=True).awaitTermination()
+
+    run()
+    scratch.drop(spark, f"{folder}/checkpoints/single")
+    run()
+    assert stored_frames(spark, folder).count() == 2 * batch_frames(spark, folder).count()
+    assert stored_frames(spark, folder).exceptAll(batch_frames(spark, folder).unionAll(batch_frames(spark, folder))).isEmpty()
+
+
+def test_kafka_options():
+    plain = normaliser.kafka_source_options("h:1", "t", "earliest", None, True)
+    assert plain == {"kafka.bootstrap.servers": "h:1", "subscribe": "t", "startingOffsets": "earliest", "failOnDataLoss": "true"}
+    bounded = normaliser.kafka_source_options("h:1", "t", "latest", 10, False)
+    assert bounded["maxOffsetsPerTrigger"] == "10" and bounded["failOnDataLoss"] == "false"
+    assert normaliser.kafka_sink_options("h:1", "t") == {"kafka.bootstrap.servers": "h:1", "topic": "t"}
+
+
 def test_kafka_needs_its_connector(spark):
     with pytest.raises(AnalysisException, match="kafka"):
         normaliser.kafka_messages(spark, "localhost:9092")
@@ -69,7 +84,7 @@ def test_kafka_needs_its_connector(spark):
 def test_latest_per_camera(spark, folder):
     frames = messages.frames(messages.parse(normaliser.text_messages(spark, f"{folder}/in", 1))).drop("pixels", "dt")
     tables.latest_per_camera(frames, f"{folder}/latest", f"{folder}/ck", once=True).awaitTermination()
-    got = {r.cam_id: r.ts for r in spark.read.parquet(f"{folder}/latest").collect()}
+    got = {r.cam_id: r.ts for r in tables.read_latest(spark, f"{folder}/latest", frames.schema).collect()}
     expected = batch_frames(spark, folder).groupBy("cam_id").agg(F.max("ts").alias("ts")).collect()
     assert got == {r.cam_id: r.ts for r in expected}
 

@@ -141,11 +141,38 @@ def test_incremental_run_rewrites_only_touched_partitions(spark, tmp_path, datab
     assert follow() == {(1, 1, "a"): 1, (2, 1, "a"): 2, (2, 5, "a"): 1, (3, 1, "b"): 1}
 
 
-def test_prune_gives_way_when_dates_are_many(spark):
-    df = frames_df(spark, frame(1, "a", 0.1), frame(2, "a", 0.2), frame(3, "a", 0.2))
-    keys = df.where("day(dt) < 3").select("dt", "cam_id")
-    assert etl._prune(df, keys).count() == 2
-    assert etl._prune(df, keys, most_dates=1).count() == 3
+def test_late_detections_and_options(spark, tmp_path, database):
+    frames, found_path, checkpoint = (str(tmp_path / n) for n in ("f", "d", "c"))
+
+    def follow():
+        etl.start_incremental(spark, frames, found_path, database, checkpoint, count_vessel=True).awaitTermination()
+        counts = {r.table_name: r.rows for r in tables.table_counts(spark, database).collect()}
+        vessels = {(r.hour.day, r.cam_id): r.vessel_frames for r in spark.table(f"{database}.hourly_summary").collect()}
+        return counts["frames"], counts["detections"], vessels
+
+    def add(df, path):
+        df.write.mode("append").partitionBy("dt", "cam_id").parquet(path)
+
+    add(frames_df(spark, frame(1, "a", 0.5, vessel=True), frame(1, "b", 0.5)), frames)
+    assert follow() == (2, 0, {(1, "a"): 1, (1, "b"): 0})
+    add(found_df(spark, found(1, "a", 0.9)), found_path)
+    assert follow() == (2, 1, {(1, "a"): 1, (1, "b"): 0})
+    add(frames_df(spark, frame(2, "b", 0.5, vessel=True)), frames)
+    assert follow() == (3, 1, {(1, "a"): 1, (1, "b"): 0, (2, "b"): 1})
+
+
+def test_only_prunes_while_it_runs(spark, tmp_path):
+    path = str(tmp_path / "raw")
+    rows = [frame(day, cam, 0.1) for day in (1, 2, 3) for cam in ("a", "b")]
+    odd = (None, None, 0.1, 0.1, False, {}, None)
+    frames_df(spark, *rows, odd).write.partitionBy("dt", "cam_id").parquet(path)
+    df = readers.raw_frames(spark, path)
+    keys_path = str(tmp_path / "keys")
+    df.where("dt is null or (day(dt) < 3 and cam_id = 'a')").select("dt", "cam_id").write.parquet(keys_path)
+    kept = etl.only(df, spark.read.schema("dt date, cam_id string").parquet(keys_path))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan
+    assert sorted((str(r.dt), str(r.cam_id)) for r in kept.collect()) == [("2024-01-01", "a"), ("2024-01-02", "a"), ("None", "None")]
 
 
 def test_hourly_summary_options(spark):
