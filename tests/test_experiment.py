@@ -171,3 +171,10 @@ def test_live_window_with_the_clock(spark):
     assert live.recent_stats(df).first().cnt == 1
     old = df.withColumn("ts", F.col("ts") - F.expr("INTERVAL 2 HOURS"))
     assert live.recent_stats(old).isEmpty()
+
+
+def test_features_are_parsed_once(spark, small):
+    from floeline.plans import registry
+
+    plan = registry.training_frames(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("get_json_object") <= 2, plan.count("get_json_object")
