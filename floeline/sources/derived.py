@@ -10,7 +10,7 @@ from floeline import schemas
 from floeline.functions import scoring
 from floeline.functions.numbers import half_up
 from floeline.functions.times import epoch_seconds
-from floeline.operators.ordering import last_n
+from floeline.operators.ordering import last_n_of_many
 
 TOTAL_PIXELS = 1_000_000
 EMBEDDING_SIDE = 8
@@ -171,7 +171,8 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def service_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One check per user: ok without an error among the last three events."""
-    last = last_n(events(spark, sf_dir).select("user_id", "ts", "event_id", "event_type"), ["user_id"], ["ts", "event_id"], 3)
+    checks = events(spark, sf_dir).select("user_id", "ts", "event_id", "event_type")
+    last = last_n_of_many(checks, ["user_id"], ["ts", "event_id"], 3)
     return last.groupBy("user_id").agg((F.count_if(F.col("event_type") == "error") == 0).alias("ok"))
 
 

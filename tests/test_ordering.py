@@ -132,3 +132,12 @@ def test_no_task_gets_a_whole_key(series):
     ordered = placed.where("cam_id = 'hot'").orderBy("ts", "id").select("_row").collect()
     rows = [r._row for r in ordered]
     assert rows == sorted(rows)
+
+
+def test_last_of_many_is_limited_before_the_shuffle(spark):
+    rows = [(i % 7, i, i * 31 % 50) for i in range(300)]
+    df = spark.createDataFrame(rows, "k int, ts int, id int")
+    many = ordering.last_n_of_many(df, ["k"], ["ts", "id"], 3)
+    got = {(r.k, r.ts, r["rank"]) for r in many.collect()}
+    assert got == {(k, t, n + 1) for k in range(7) for n, t in enumerate(sorted((i for i in range(300) if i % 7 == k), reverse=True)[:3])}
+    assert "WindowGroupLimit" in many._jdf.queryExecution().executedPlan().toString()
