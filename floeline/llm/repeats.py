@@ -2,17 +2,18 @@
 
 Texts are UTF-8 bytes; a repeat has at least LENGTH bytes and never crosses documents.
 
-1. Anchors. In every LENGTH bytes the 32-byte grams with the smallest hash are anchors, so two equal
+1. Anchors. In every LENGTH bytes the grams of GRAM bytes with the smallest hash are anchors, so two equal
    strings of LENGTH bytes share an anchor at the same place. The context of an anchor is every byte
    that a string of LENGTH bytes around it can reach.
 2. Places whose anchor and whole context are equal form a class. All of a class but its first place
    repeat the whole context, so only first places go on; a task settles its own classes before the
-   shuffle, so that a passage in a third of all documents is a row per task. Most classes are alone
-   with their anchor and end here.
-3. The contexts of an anchor with several classes go to one group. An enhanced suffix array (suffixes
+   shuffle, so that a passage in a third of all documents is a row per task. A class whose anchor no
+   other class shares together with HALF bytes to its left or right ends here; most do, a common short
+   line among them.
+3. The contexts of the other classes go, by anchor, to one group. An enhanced suffix array (suffixes
    sorted, common prefixes of neighbours) of the group is scanned with a stack; each interval of the
    tree of common prefixes whose places differ in the byte to the left (or start a context) is a
-   maximal repeat, given out with all its places. A repeat that is longer than a context comes out as
+   maximal repeat, given out with all its places (those of the longer repeats inside it by reference). A repeat that is longer than a context comes out as
    a chain of such groups, one for each anchor along it.
 4. Groups of more than HOT classes (a common line between ever different neighbours) are dealt by the
    LENGTH bytes at each start instead, again settled within the task first.
@@ -32,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,13 +44,17 @@ from floeline.llm.words import mix
 from floeline.sources import scratch
 
 LENGTH = 100
-GRAM = 32
+GRAM = 24
+#: A string of LENGTH bytes around an anchor has so many bytes on one side of it at least.
+HALF = (LENGTH - GRAM) // 2
 BEFORE = LENGTH - GRAM
 CONTEXT = BEFORE + LENGTH
-HOT = 5000
+HOT = 20_000
 #: Bytes that are hashed at once, and anchors that a task holds before it settles them.
 PIECE = 1_000_000
-HELD = 2_000_000
+HELD = 1_000_000
+#: Rows of meeting classes that are looked at together.
+MEET = 300_000
 #: Contexts whose suffixes are sorted together.
 CHUNK = 2000
 #: Stands for a null id.
@@ -88,13 +94,13 @@ def _sliding(values: np.ndarray, size: int, best) -> np.ndarray:
     return best(values[: len(values) - (size - width)], values[size - width :]) if size > width else values
 
 
-def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(index of the text, place, anchor hash, context hash, bytes of the context before and behind as b * 256 + a)."""
+def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """(index of the text, place, anchor hash, context hash, bytes of the context before and behind as b * 256 + a, halves)."""
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     data = np.frombuffer(b"".join(texts), dtype=np.uint8)
     none = np.zeros(0, dtype=np.int64)
     if len(data) < LENGTH:
-        return none, none, none.astype(np.uint64), none.astype(np.uint64), none
+        return none, none, none.astype(np.uint64), none.astype(np.uint64), none, none
     ends = np.cumsum(sizes)
     owner = np.repeat(np.arange(len(texts)), sizes)
     grams = window_hashes(data, GRAM)
@@ -123,7 +129,20 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
         xxhash.xxh3_64_intdigest(raw[a - b : a + c], seed=b * 256 + c)
         for a, b, c in zip(at[edge].tolist(), before[edge].tolist(), after[edge].tolist(), strict=True)
     ]
-    return text, place, grams[at], context, before * 256 + after
+    return text, place, grams[at], context, before * 256 + after, _halves(grams, at, before, after)
+
+
+def _halves(grams: np.ndarray, at: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """32-bit hashes of the HALF bytes on the left and on the right of an anchor, 0 where there are fewer."""
+    last = len(grams) - 1
+
+    def one(start: np.ndarray, there: np.ndarray) -> np.ndarray:
+        a, b = np.clip(start, 0, last), np.clip(start + HALF - GRAM, 0, last)
+        mixed = mix(grams[a] * _STEP + grams[b]) >> np.uint64(32)
+        return np.where(there, np.maximum(mixed, 1), 0)
+
+    left, right = one(at - HALF, before >= HALF), one(at + GRAM, after >= GRAM + HALF)
+    return ((left << np.uint64(32)) | right).view(np.int64)
 
 
 def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[bytes]]]:
@@ -157,14 +176,15 @@ def _repeated(first: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarr
     return (doc != doc[head]) | (place != place[head])
 
 
-_CLASSES = "anchor long, context long, doc long, place long, reach int"
+_CLASSES = "anchor long, context long, doc long, place long, reach int, halves long"
+
+
+def _table(names: list[str], *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names)
 
 
-def _class_batch(anchor, context, doc, place, reach, spans=None) -> pa.RecordBatch:
-    columns = [pa.array(_signed(anchor)), pa.array(_signed(context)), pa.array(doc), pa.array(place), pa.array(reach.astype(np.int32))]
-    if spans is not None:  # direct spans: no anchor, `reach` is their length
-        columns[0] = pa.nulls(len(doc), pa.int64())
-    return pa.RecordBatch.from_arrays(columns, names=["anchor", "context", "doc", "place", "reach"])
+def _class_batch(*columns) -> pa.RecordBatch:
+    return _table(["anchor", "context", "doc", "place", "reach", "halves"], *columns)
 
 
 def _span(place: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -172,25 +192,44 @@ def _span(place: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return place - before, before + reach % 256
 
 
+def _united(doc: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of a document that touch become one."""
+    order = np.lexsort((start, doc))
+    doc, start, stop = doc[order], start[order], (start + length)[order]
+    if not len(doc):
+        return doc, start, length
+    rank = np.cumsum(_new(doc)) - 1
+    far = int(stop.max()) + 2
+    reached = np.maximum.accumulate(stop + rank * far)
+    first = np.ones(len(doc), dtype=bool)
+    first[1:] = start[1:] + rank[1:] * far > reached[:-1]
+    at = np.flatnonzero(first)
+    ends = np.append(at[1:], len(doc)) - 1
+    return doc[at], start[at], reached[ends] - rank[ends] * far - start[at]
+
+
 def _settle(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-    """First places of the classes of a task, and the spans of all other places."""
-    doc, place, anchor, context, reach = (np.concatenate(c) for c in zip(*held, strict=True))
+    """First places of the classes of a task, and without an anchor the spans of all other places."""
+    doc, place, anchor, context, reach, halves = (np.concatenate(c) for c in zip(*held, strict=True))
     order = np.lexsort((place, doc, context, anchor))
-    doc, place, anchor, context, reach = (v[order] for v in (doc, place, anchor, context, reach))
+    doc, place, anchor, context, reach, halves = (v[order] for v in (doc, place, anchor, context, reach, halves))
     first = _new(anchor, context)
     again = _repeated(first, doc, place)
-    start, length = _span(place[again], reach[again])
-    yield _class_batch(anchor[first], context[first], doc[first], place[first], reach[first])
-    yield _class_batch(anchor[again], context[again], doc[again], start, length, spans=True)
+    yield _class_batch(
+        _signed(anchor[first]), _signed(context[first]), doc[first], place[first], reach[first].astype(np.int32), halves[first]
+    )
+    where, start, length = _united(doc[again], *_span(place[again], reach[again]))
+    zero = np.zeros(len(where), dtype=np.int64)
+    yield _class_batch(pa.nulls(len(where), pa.int64()), zero, where, start, pa.nulls(len(where), pa.int32()), length)
 
 
 def _find_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
     for batch in batches:
         for ids, texts in _pieces(batch):
-            text, place, anchor, context, reach = anchors(texts)
-            held.append((ids[text], place, anchor, context, reach))
-            size += len(place)
+            text, *found = anchors(texts)
+            held.append((ids[text], *found))
+            size += len(text)
             if size >= HELD:
                 yield from _settle(held)
                 held, size = [], 0
@@ -203,55 +242,70 @@ def _row_key(anchor: np.ndarray, context: np.ndarray, doc: np.ndarray, place: np
     return mix((total * _STEP + doc.view(np.uint64)) * _STEP + place.view(np.uint64))
 
 
-_MEETING = "anchor long, key long, doc long, place long, length int"
+_MEETING = "anchor long, key long, doc long, place long, length long"
+
+
+def _meeting(*columns) -> pa.RecordBatch:
+    return _table(["anchor", "key", "doc", "place", "length"], *columns)
+
+
+def _shared(group: np.ndarray, half: np.ndarray) -> np.ndarray:
+    """Rows whose half some other row of the group has too."""
+    key = mix(group.astype(np.uint64) * _STEP + half)
+    _, where, count = np.unique(key, return_inverse=True, return_counts=True)
+    return (count[where] > 1) & (half > 0)
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (anchor, context, doc, place): spans of repeated contexts, and first places of anchors with several contexts."""
-    last = None  # (anchor, context, doc, place of its class's first row, whether its anchor has had two contexts)
-    waiting = None  # first place of an anchor that has had one context so far
+    """Rows sorted by (anchor, context, doc, place): spans of repeated contexts, and first places of classes that may share more.
+
+    Rows are looked at in chunks that end with an anchor. Only an anchor of more rows than a chunk is
+    cut; its classes then all go on, and the last class is carried over.
+    """
+    carried = None  # anchor, context, doc and place of the first row of the last class, if its anchor goes on
+
+    def look(rows: list[np.ndarray], part: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal carried
+        anchor, context, doc, place, reach, halves = rows
+        new, group = _new(anchor, context), np.cumsum(_new(anchor))
+        part = part or (carried is not None and carried[0] == anchor[0])
+        head_doc, head_place = doc, place
+        head = np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))
+        head_doc, head_place = doc[head], place[head]
+        if carried is not None and carried[:2] == (anchor[0], context[0]):
+            own = head == 0
+            head_doc, head_place = np.where(own, carried[2], head_doc), np.where(own, carried[3], head_place)
+            new[0] = False
+        again = (doc != head_doc) | (place != head_place)
+        at = np.flatnonzero(new)
+        packed = halves[at].view(np.uint64)
+        goes_on = _shared(group[at], packed >> np.uint64(32)) | _shared(group[at], packed & np.uint64(0xFFFFFFFF))
+        out = at if part else at[goes_on]
+        carried = (anchor[-1], context[-1], head_doc[-1], head_place[-1])
+        key = _row_key(anchor[out].view(np.uint64), context[out].view(np.uint64), doc[out], place[out])
+        yield _meeting(anchor[out], _signed(key), doc[out], place[out], np.zeros(len(out), dtype=np.int64))
+        where, start, length = _united(doc[again], *_span(place[again], reach[again].astype(np.int64)))
+        none = pa.nulls(len(where), pa.int64())
+        yield _meeting(none, np.zeros(len(where), dtype=np.int64), where, start, length)
+
+    held: list[np.ndarray] | None = None
     for batch in batches:
+        gone = batch.filter(pa.compute.is_null(batch.column(0)))
+        if gone.num_rows:  # spans on their way
+            yield _meeting(pa.nulls(gone.num_rows, pa.int64()), *(gone.column(i) for i in (1, 2, 3, 5)))
+        batch = batch.filter(pa.compute.is_valid(batch.column(0)))
         if not batch.num_rows:
             continue
-        anchor, context, doc, place, reach = (np.asarray(c) for c in batch.columns)
-        new_anchor, new_class = _new(anchor), _new(anchor, context)
-        head_doc, head_place, joined, many = doc, place, False, False
-        if last is not None and anchor[0] == last[0]:
-            new_anchor[0], joined, many = False, True, last[4]
-            new_class[0] = context[0] != last[1]
-        head = np.maximum.accumulate(np.where(new_class, np.arange(len(doc)), -1))
-        head_doc = np.where(head >= 0, doc[head], last[2] if last else 0)
-        head_place = np.where(head >= 0, place[head], last[3] if last else 0)
-        again = ~new_class & ((doc != head_doc) | (place != head_place))
-        group = np.cumsum(new_anchor) - (0 if joined else 1)
-        heads = np.flatnonzero(new_class)
-        per_group = np.bincount(group[heads], minlength=group[-1] + 1)
-        if joined:
-            per_group[0] += 2 if many else 1
-        out = heads[per_group[group[heads]] > 1]
-        rows = [(anchor[out], context[out], doc[out], place[out])]
-        if waiting is not None:
-            if joined and per_group[0] > 1:
-                rows.insert(0, waiting)
-                waiting = None
-            elif not (joined and group[-1] == 0):
-                waiting = None
-        if per_group[-1] == 1 and len(heads) and group[heads[-1]] == group[-1]:
-            h = heads[-1]
-            waiting = anchor[h : h + 1], context[h : h + 1], doc[h : h + 1], place[h : h + 1]
-        last = anchor[-1], context[-1], head_doc[-1], head_place[-1], bool(per_group[-1] > 1)
-        if per_group[-1] > 1:
-            waiting = None
-        a, c, d, p = (np.concatenate(v) for v in zip(*rows, strict=True))
-        start, length = _span(place[again], reach[again])
-        yield _meeting(a, _row_key(a.view(np.uint64), c.view(np.uint64), d, p), d, p, np.zeros(len(d), dtype=np.int32))
-        yield _meeting(None, np.zeros(len(start), dtype=np.uint64), doc[again], start, length)
-
-
-def _meeting(anchor, key, doc, place, length) -> pa.RecordBatch:
-    named = pa.nulls(len(doc), pa.int64()) if anchor is None else pa.array(anchor)
-    columns = [named, pa.array(_signed(key)), pa.array(doc), pa.array(place), pa.array(length.astype(np.int32))]
-    return pa.RecordBatch.from_arrays(columns, names=["anchor", "key", "doc", "place", "length"])
+        rows = [np.asarray(c) for c in batch.columns]
+        held = rows if held is None else [np.concatenate(v) for v in zip(held, rows, strict=True)]
+        if len(held[0]) >= MEET:
+            cut_at = int(np.searchsorted(held[0], held[0][-1]))
+            part = cut_at == 0
+            cut_at = len(held[0]) if part else cut_at
+            yield from look([v[:cut_at] for v in held], part)
+            held = [v[cut_at:] for v in held] if cut_at < len(held[0]) else None
+    if held is not None and len(held[0]):
+        yield from look(held, False)
 
 
 _CONTEXTS = "anchor long, window long, doc long, place long, before int, body binary"
@@ -282,7 +336,7 @@ def _contexts(wanted, wanted_bits: int, hot, hot_bits: int):
         held, size = [], 0
         for batch in batches:
             for ids, texts in _pieces(batch):
-                text, place, anchor, context, reach = anchors(texts)
+                text, place, anchor, context, reach, _ = anchors(texts)
                 doc = ids[text]
                 ok = np.flatnonzero(_passes(field, wanted_bits, _row_key(anchor, context, doc, place)))
                 text, place, anchor, reach, doc = text[ok], place[ok], anchor[ok], reach[ok], doc[ok]
@@ -359,26 +413,37 @@ def suffix_array(group: np.ndarray, before: np.ndarray, bodies: list[bytes]):
     return row, start, common, left
 
 
-def intervals(common: list[int], left: list[int]) -> Iterator[tuple[int, int, int]]:
-    """(length, first, last) of the intervals of common prefixes whose suffixes differ to the left, by a stack scan."""
-    stack: list[list[int]] = []  # [length, first, left byte or MIXED]
+def intervals(common: list[int], left: list[int], order: list[int]) -> Iterator[tuple[int, int, int, list[int]]]:
+    """(length, first, last, heads) of the intervals of common prefixes whose suffixes differ to the left, by a stack scan.
+
+    `order` ranks the places of the suffixes. `heads` has the earliest suffix of each part of the
+    interval, the earliest of all in front; a part is a single suffix or an interval within this one.
+    So each suffix that is not the earliest of an interval is listed once, in the longest such
+    interval, and all heads together are no more than twice the suffixes.
+    """
+    stack: list[list] = []  # [length, first, left byte or MIXED, heads]
     mixed = 1 << 40
     for at in range(1, len(common) + 1):
         depth = common[at] if at < len(common) else 0
-        begin, seen = at - 1, left[at - 1]
+        begin, seen, head = at - 1, left[at - 1], at - 1
         while stack and stack[-1][0] > depth:
-            length, begin, own = stack.pop()
+            length, begin, own, heads = stack.pop()
             seen = own if own == seen else mixed
+            heads.append(head)
+            k = min(range(len(heads)), key=lambda i: order[heads[i]])
+            heads[0], heads[k] = heads[k], heads[0]
+            head = heads[0]
             if seen == mixed:
-                yield length, begin, at - 1
+                yield length, begin, at - 1, heads
         if depth:
             if stack and stack[-1][0] == depth:
                 stack[-1][2] = stack[-1][2] if stack[-1][2] == seen else mixed
+                stack[-1][3].append(head)
             else:
-                stack.append([depth, begin, seen])
+                stack.append([depth, begin, seen, [head]])
 
 
-_GROUPS = "length int, docs array<long>, starts array<long>"
+_GROUPS = "length long, docs array<long>, starts array<long>"
 
 
 def _group_rows(held: list[tuple]) -> Iterator[tuple[int, list[int], list[int]]]:
@@ -388,10 +453,14 @@ def _group_rows(held: list[tuple]) -> Iterator[tuple[int, list[int], list[int]]]
     row, start, common, left = suffix_array(np.array(group), before, list(bodies))
     begin = place[row] - before[row] + start
     owner = doc[row]
-    for length, first, last in intervals(common.tolist(), left.tolist()):
-        places = sorted(set(zip(owner[first : last + 1].tolist(), begin[first : last + 1].tolist(), strict=True)))
-        if len(places) > 1:
-            yield length, [d for d, _ in places], [p for _, p in places]
+    rank = np.empty(len(row), dtype=np.int64)
+    rank[np.lexsort((begin, owner))] = np.arange(len(row))
+    owner, begin = owner.tolist(), begin.tolist()
+    for length, _, _, heads in intervals(common.tolist(), left.tolist(), rank.tolist()):
+        head = owner[heads[0]], begin[heads[0]]
+        rest = [h for h in heads[1:] if (owner[h], begin[h]) != head]
+        if rest:
+            yield length, [head[0], *(owner[h] for h in rest)], [head[1], *(begin[h] for h in rest)]
 
 
 def _find_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -401,7 +470,7 @@ def _find_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
         columns = list(zip(*rows, strict=True)) or [[], [], []]
-        kinds = pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())
+        kinds = pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["length", "docs", "starts"])
 
     for batch in batches:
@@ -429,16 +498,19 @@ def _find_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def maximal_repeats(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(groups, copies).
 
-    groups: length, docs, starts - a maximal repeat among the contexts of an anchor, with all places
-    of first members in order. copies: doc, place, length - places that repeat a whole context of an
+    groups: length, docs, starts - a maximal repeat among the contexts of an anchor: its earliest place
+    in front, then one place of each part of it. A part that is more than one place is a longer repeat
+    and has a row of its own that begins with that place, so all places of a repeat are found by
+    following these, and the rows together grow with the places only. copies: doc, place, length - places that repeat a whole context of an
     earlier place; they are not listed again in the groups of that place.
     """
     spark = docs.sparkSession
     bounded(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col(text))
-    classes = scratch.stage(rows.mapInArrow(_find_classes, _CLASSES), "classes")
-    keys = ["anchor", "context", "doc", "place"]
-    sorted_ = classes.where("anchor is not null").repartition("anchor").sortWithinPartitions(*keys)
+    # spans without an anchor travel along, dealt by document
+    spread = F.coalesce("anchor", F.xxhash64("doc", "place"))
+    classes = rows.mapInArrow(_find_classes, _CLASSES).repartition(spread)
+    sorted_ = classes.sortWithinPartitions("anchor", "context", "doc", "place")
     meeting = scratch.stage(sorted_.mapInArrow(_meet, _MEETING), "meeting")
     several = meeting.where("anchor is not null")
     hot = several.groupBy("anchor").count().where(F.col("count") > HOT).select("anchor")
@@ -450,10 +522,9 @@ def maximal_repeats(docs: DataFrame, text: str = "text") -> tuple[DataFrame, Dat
     dealt = contexts.where("anchor is not null").repartition("anchor", "window").sortWithinPartitions("anchor", "window", "doc", "place")
     groups = dealt.mapInArrow(_find_groups, _GROUPS)
     copies = (
-        classes.where("anchor is null")
-        .select("doc", "place", F.col("reach").alias("length"))
-        .unionByName(meeting.where("anchor is null").select("doc", "place", "length"))
-        .unionByName(contexts.where("anchor is null").select("doc", "place", F.lit(LENGTH).alias("length")))
+        meeting.where("anchor is null")
+        .select("doc", "place", "length")
+        .unionByName(contexts.where("anchor is null").select("doc", "place", F.lit(LENGTH).cast("long").alias("length")))
     )
     return groups, copies
 
@@ -461,37 +532,41 @@ def maximal_repeats(docs: DataFrame, text: str = "text") -> tuple[DataFrame, Dat
 _CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def cut(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, list[tuple[int, int]]]:
-    """What is left of `data`, and the maximal removed runs."""
-    runs: list[tuple[int, int]] = []
-    for start, stop in sorted(spans):
-        stop = min(stop, len(data))
-        if start >= stop:
-            continue
-        if runs and start <= runs[-1][1]:
-            runs[-1] = runs[-1][0], max(runs[-1][1], stop)
-        else:
-            runs.append((start, stop))
+def cut(data: bytes, starts: np.ndarray, stops: np.ndarray) -> tuple[bytes, int]:
+    """What is left of `data` without the spans, and the number of maximal removed runs."""
+    stops = np.minimum(stops, len(data))
+    some = starts < stops
+    where, starts, lengths = _united(np.zeros(int(some.sum()), dtype=np.int64), starts[some], (stops - starts)[some])
     left, at = [], 0
-    for start, stop in runs:
+    for start, stop in zip(starts.tolist(), (starts + lengths).tolist(), strict=True):
         left.append(data[at:start])
         at = stop
-    return b"".join([*left, data[at:]]), runs
+    return b"".join([*left, data[at:]]), len(where)
 
 
 def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        docs, texts, starts, stops = batch.columns
         rows = []
-        for doc, text, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for i, (doc, text) in enumerate(zip(docs.to_pylist(), texts.to_pylist(), strict=True)):
             data = (text or "").encode()
-            left, runs = cut(data, [(s["start"], s["stop"]) for s in spans or ()])
-            rows.append((doc, len(data), len(data) - len(left), len(runs), hashlib.sha256(left).hexdigest()))
+            left, runs = data, 0
+            if starts[i].is_valid:
+                left, runs = cut(data, np.asarray(starts[i].values), np.asarray(stops[i].values))
+            rows.append((doc, len(data), len(data) - len(left), runs, hashlib.sha256(left).hexdigest()))
         columns = list(zip(*rows, strict=True)) or [[]] * 5
         kinds = [pa.int64()] * 4 + [pa.string()]
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
+def _join_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of a batch that touch become one before they are shuffled."""
+    for batch in batches:
+        doc, start, length = _united(*(np.asarray(c) for c in batch.columns))
+        yield _table(["doc", "place", "length"], doc, start, length)
+
+
 def removed(docs: DataFrame, text: str = "text") -> DataFrame:
     """Per row what is left when every byte goes that a string of LENGTH bytes covers which starts earlier as well."""
     groups, copies = maximal_repeats(docs, text)
@@ -499,9 +574,11 @@ def removed(docs: DataFrame, text: str = "text") -> DataFrame:
     spans = copies.select("doc", "place", "length").unionByName(
         later.select(F.col("o.docs").alias("doc"), F.col("o.starts").alias("place"), "length")
     )
+    spans = spans.mapInArrow(_join_spans, "doc long, place long, length long")
     lists = spans.groupBy("doc").agg(
-        F.collect_set(F.struct(F.col("place").alias("start"), (F.col("place") + F.col("length")).alias("stop"))).alias("_spans")
+        F.collect_list(F.struct(F.col("place").alias("start"), (F.col("place") + F.col("length")).alias("stop"))).alias("_spans")
     )
+    lists = lists.select("doc", F.col("_spans.start").alias("_starts"), F.col("_spans.stop").alias("_stops"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("_body"))
     joined = rows.join(lists, F.coalesce("doc_id", F.lit(NO_ID)) == F.col("doc"), "left")
-    return joined.select("doc_id", "_body", "_spans").mapInArrow(_cut_rows, _CUT)
+    return joined.select("doc_id", "_body", "_starts", "_stops").mapInArrow(_cut_rows, _CUT)

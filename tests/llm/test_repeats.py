@@ -57,9 +57,10 @@ def corpus(seed):
     return docs
 
 
-@pytest.mark.parametrize("seed,hot,held", [(1, 5000, 2_000_000), (2, 2, 500), (3, 0, 2_000_000)])
-def test_removed(spark, monkeypatch, seed, hot, held):
+@pytest.mark.parametrize("seed,hot,held,meet", [(1, 20_000, 1_000_000, 300_000), (2, 2, 500, 50), (3, 0, 1_000_000, 3)])
+def test_removed(spark, monkeypatch, seed, hot, held, meet):
     monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "MEET", meet)
     monkeypatch.setattr(repeats, "HELD", held)
     docs = corpus(seed)
     frame = spark.createDataFrame([(d, t, "x") for d, t in docs], "doc_id long, text string, doc string").repartition(5)
@@ -87,7 +88,7 @@ def test_intervals_are_the_maximal_repeats():
                 n += 1
             common.append(n)
         left = [ord(text[i - 1]) if i else -1 for i in order]
-        got = {(text[order[a] : order[a] + n], b - a + 1) for n, a, b in repeats.intervals(common, left)}
+        got = {(text[order[a] : order[a] + n], b - a + 1) for n, a, b, _ in repeats.intervals(common, left, order)}
         expected = set()
         for s in {text[i:j] for i in range(len(text)) for j in range(i + 1, len(text) + 1)}:
             at = [i for i in range(len(text)) if text.startswith(s, i)]
