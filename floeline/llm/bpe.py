@@ -268,6 +268,7 @@ def encode(docs: DataFrame, keep: list[str], text: str = "text", path: str | Non
 
 def decode(encoded: DataFrame, keep: list[str], ids: str = "ids", path: str | None = None) -> DataFrame:
     """The columns `keep` and `text`, decoded; null ids give a null text, bytes that are no UTF-8 the mark U+FFFD."""
+    bounded(encoded.sparkSession)
     path = path or vocabulary.default_path()
     rows = encoded.select(*keep, F.col(ids).alias("_ids"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_ids")

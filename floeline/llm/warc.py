@@ -268,6 +268,7 @@ def _rows(rows: list[dict], names: list[str]) -> pa.RecordBatch:
 
 def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """A row for each record of the archives in `path`; the payload of a revisit is null."""
+    bounded(spark)
     names = [n for n in FIELDS if payloads or n != "payload"]
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(_read(names), ", ".join(f"{n} {_SQL_KINDS[FIELDS[n]]}" for n in names))
