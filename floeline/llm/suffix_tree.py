@@ -40,11 +40,13 @@ from floeline.sources import scratch
 ORDER = 5
 LEAST = 1e-6
 BITS = 3.0
-WEIGHTS = (0.0, 0.3, 0.5, 0.7, 0.8, 0.9, 0.95, 0.98, 0.99, 0.995, 0.999)
+WEIGHTS = (0.0, 0.5, 0.8, 0.95, 0.99)
 K = 4.0
 #: Tokens of a block at most (one text may exceed it alone).
 BLOCK = 2_000_000
 END = b"\n"
+#: Tokens whose byte sequences are sorted together.
+COUNTED = 400_000
 _TAG = 56
 
 _PARTS = "kind int, block string, at long, word binary, n long, ids binary, doc_id long, held_out boolean"
@@ -66,10 +68,10 @@ def _batch(count: int, kind: int, **columns) -> pa.RecordBatch:
 
 def windows(stream: np.ndarray) -> np.ndarray:
     """Each byte with the ORDER bytes before it, as one number; the first ORDER bytes have none."""
-    total = np.zeros(len(stream) - ORDER, dtype=np.uint64)
-    for i in range(ORDER + 1):
-        total = (total << np.uint64(8)) | stream[i : len(stream) - ORDER + i].astype(np.uint64)
-    return total
+    one = stream.astype(np.uint64)
+    two = (one[:-1] << np.uint64(8)) | one[1:]
+    four = (two[:-2] << np.uint64(16)) | two[2:]
+    return (four[:-2] << np.uint64(16)) | two[4:]  # ORDER + 1 bytes
 
 
 def laid_out(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
@@ -85,10 +87,22 @@ def laid_out(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def count_windows(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    if not texts:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-    stream, scored = laid_out(texts)
-    return np.unique(windows(stream)[scored[ORDER:]], return_counts=True)
+    """Windows of texts with their counts, sorted; a piece at a time, so that a sort stays in the cache."""
+    found, held, size = (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)), [], 0
+    for i, words in enumerate(texts):
+        held.append(words)
+        size += len(words)
+        if size >= COUNTED or i == len(texts) - 1:
+            stream, scored = laid_out(held)
+            found = merged(found, _run_lengths(windows(stream)[scored[ORDER:]]))
+            held, size = [], 0
+    return found
+
+
+def _run_lengths(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keys.sort()
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.diff(np.append(first, len(keys)))
 
 
 class _Block:
@@ -118,8 +132,13 @@ class _Block:
 
 def merged(a, b):
     """Sum of two count tables with sorted keys."""
-    keys, where = np.unique(np.concatenate([a[0], b[0]]), return_inverse=True)
-    return keys, np.bincount(where, weights=np.concatenate([a[1], b[1]]), minlength=len(keys)).astype(np.int64)
+    if not len(a[0]) or not len(b[0]):
+        return a if len(a[0]) else b
+    keys = np.concatenate([a[0], b[0]])
+    order = np.argsort(keys, kind="stable")  # two sorted runs: a merge
+    keys, counts = keys[order], np.concatenate([a[1], b[1]])[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(counts, first)
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,12 +292,14 @@ _SCORES = (
 PIECE = 2_000_000
 
 
-def blended(tree: np.ndarray, share: np.ndarray, weight: float) -> np.ndarray:
-    """log10 of weight * share + (1 - weight) * 10^tree."""
-    with np.errstate(divide="ignore"):
-        one = np.log(weight * share)
-        two = tree * np.log(10) + np.log(1 - weight)
-    return np.logaddexp(one, two) / np.log(10)
+def blended(tree: np.ndarray, share: np.ndarray, weight: float, chance: np.ndarray | None = None) -> np.ndarray:
+    """log10 of weight * share + (1 - weight) * 10^tree; `chance` is 10^tree if it is known already."""
+    chance = 10.0**tree if chance is None else chance
+    total = weight * share + (1 - weight) * chance
+    lost = total < 1e-300  # too small to be written as a number
+    found = np.log10(np.where(lost, 1.0, total))
+    found[lost] = tree[lost] + np.log10(1 - weight)
+    return found
 
 
 def _score(shared, train_tokens: int, different: int):
@@ -310,10 +331,11 @@ def _score(shared, train_tokens: int, different: int):
             chance = np.add.reduceat(values, ends - lengths)[token]
             own = count[ids[token]]
             begin = np.cumsum([0, *map(len, held[:-1])])
-            total = max(train_tokens, 1)
-            mixed = [np.add.reduceat(blended(chance, own / total, w), begin) for w in WEIGHTS]
+            total, plain = max(train_tokens, 1), 10.0**chance
+            mixed = [np.add.reduceat(blended(chance, own / total, w, plain), begin) for w in WEIGHTS]
             # of a token that is left out of its own count
-            alone = [np.add.reduceat(blended(chance, np.maximum(own - 1, 0) / total, w), begin) for w in WEIGHTS]
+            less = np.maximum(own - 1, 0) / total
+            alone = [np.add.reduceat(blended(chance, less, w, plain), begin) for w in WEIGHTS]
             rows[3].extend(np.array(mixed).T.tolist())
             rows[4].extend(np.array(alone).T.tolist())
 
