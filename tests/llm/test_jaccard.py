@@ -87,3 +87,11 @@ def test_common_counts():
         for j, b in enumerate(sets):
             if i != j:
                 assert found[i, j] == len(np.intersect1d(a, b))
+
+
+def test_registered_query(spark, small):
+    from floeline.llm import queries
+
+    docs = [tuple(r) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()]
+    got = sorted(tuple(r) for r in queries.op3_jaccard_join(spark, small).select("doc_id", "class_id", "n_links").collect())
+    assert got == by_force(docs)

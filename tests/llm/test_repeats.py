@@ -105,3 +105,12 @@ def test_window_hashes():
         assert len(found) == len(data) - size + 1
         strings = [data[i : i + size].tobytes() for i in range(len(found))]
         assert len(set(strings)) == len(set(found.tolist())) == len(set(zip(strings, found.tolist())))
+
+
+def test_registered_query(spark, small):
+    from floeline.llm import queries
+
+    docs = [tuple(r) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()]
+    got = sorted(tuple(r) for r in queries.op9_repeated_passages(spark, small).collect())
+    assert got == by_force(docs)
+    assert sum(r[2] for r in got) > 0
