@@ -49,14 +49,14 @@ GRAM = 24
 HALF = (LENGTH - GRAM) // 2
 BEFORE = LENGTH - GRAM
 CONTEXT = BEFORE + LENGTH
-HOT = 20_000
+HOT = 8_000
 #: Bytes that are hashed at once, and anchors that a task holds before it settles them.
 PIECE = 1_000_000
 HELD = 1_000_000
 #: Rows of meeting classes that are looked at together.
 MEET = 300_000
 #: Contexts whose suffixes are sorted together.
-CHUNK = 2000
+CHUNK = 1000
 #: Stands for a null id.
 NO_ID = -(2**63)
 
@@ -383,7 +383,10 @@ def suffix_array(group: np.ndarray, before: np.ndarray, bodies: list[bytes]):
     element of the common prefixes is 0, as is that of each new group.
     """
     sizes = np.array([len(b) for b in bodies])
-    grid = np.frombuffer(b"".join(b.ljust(CONTEXT, b"\0") for b in bodies), dtype=np.uint8).reshape(len(bodies), CONTEXT)
+    # behind each body so many zeros that a suffix can be read as a window of fixed size
+    wide = 2 * CONTEXT
+    flat = np.frombuffer(b"".join(b.ljust(wide, b"\0") for b in bodies), dtype=np.uint8)
+    grid = flat.reshape(len(bodies), wide)[:, :CONTEXT]
     prefix = window_hashes(grid, LENGTH)
     starts = np.arange(prefix.shape[1])
     row, start = np.nonzero(starts[None, :] + LENGTH <= sizes[:, None])
@@ -399,9 +402,7 @@ def suffix_array(group: np.ndarray, before: np.ndarray, bodies: list[bytes]):
     rank = np.cumsum(_new(bucket[kept])) if kept.any() else np.zeros(0, dtype=np.int64)
     if not len(row):
         return row, start, start, left
-    width = np.arange(CONTEXT)
-    at = start[:, None] + width[None, :]
-    suffix = np.where(at < sizes[row][:, None], grid[row[:, None], np.minimum(at, CONTEXT - 1)], 0).astype(np.uint8)
+    suffix = np.lib.stride_tricks.sliding_window_view(flat, CONTEXT)[row * wide + start]
     keyed = np.concatenate([rank.astype(">u8").view(np.uint8).reshape(-1, 8), suffix], axis=1)
     order = np.argsort(np.ascontiguousarray(keyed).view(f"S{CONTEXT + 8}").ravel(), kind="stable")
     row, start, left, suffix, rank = row[order], start[order], left[order], suffix[order], rank[order]

@@ -57,7 +57,7 @@ def corpus(seed):
     return docs
 
 
-@pytest.mark.parametrize("seed,hot,held,meet", [(1, 20_000, 1_000_000, 300_000), (2, 2, 500, 50), (3, 0, 1_000_000, 3)])
+@pytest.mark.parametrize("seed,hot,held,meet", [(1, 8_000, 1_000_000, 300_000), (2, 2, 500, 50), (3, 0, 1_000_000, 3)])
 def test_removed(spark, monkeypatch, seed, hot, held, meet):
     monkeypatch.setattr(repeats, "HOT", hot)
     monkeypatch.setattr(repeats, "MEET", meet)
