@@ -51,7 +51,7 @@ ENDINGS = {
 
 ANY = "|".join([EMAIL, SECRET, ADDRESS, CARD, PHONE, NUMBER, ACCOUNT, PERSON])
 #: No entity is without one of these.
-QUICK = rf"[0-9]{{3}}|@|\.[0-9]|(?:{MALE}|{FEMALE}|{EITHER})\.?[  ]|(?:sk|pk|ghp|AKIA)[-_]?[0-9A-Za-z]{{16}}|[0-9a-fA-F]{{32}}"
+QUICK = rf"[0-9]{{3}}|@|\.[0-9]|\+[0-9]|[A-Z]{{2}}[0-9]{{2}}|(?:{MALE}|{FEMALE}|{EITHER})\.?[  ]|(?:sk|pk|ghp|AKIA)[-_]?[0-9A-Za-z]{{16}}|[0-9a-fA-F]{{32}}"
 
 GROWS = 3
 

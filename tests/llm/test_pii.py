@@ -88,5 +88,23 @@ def test_clashes_are_resolved(spark):
         assert small.upper() == capital
 
 
+#: One entity of each alternative of ANY, without the signs of another.
+ALONE = [
+    "a@b.co", "04dbebab91ab85687d33eeaaf9ac699e1188f962", "ghp_abcdefghijklmnopqrst", "1.2.3.4", "4111 1111 1111 1111", "3782 822463 10005",
+    "+33 1 23 45 67 89", "+44 20 79 46 09 58", "+49 30 12 34 56 78", "+1(2)34", "(017) 555-7713", "017-555-7713",
+    "123-45-6789", "GB12 AB12 CD34 EF56 78", "GB12AB12CD34EF56", "Mr. Smith", "Госпожа\u00a0Анна",
+]
+
+
+def test_an_entity_alone_in_a_text(spark):
+    assert pii.ANY == "|".join([pii.EMAIL, pii.SECRET, pii.ADDRESS, pii.CARD, pii.PHONE, pii.NUMBER, pii.ACCOUNT, pii.PERSON])
+    docs = spark.createDataFrame(list(enumerate(ALONE)), "doc_id long, text string")
+    found = docs.select("text", pii.entities(F.col("text")).alias("e"), F.col("text").rlike(pii.QUICK).alias("quick")).collect()
+    assert [r.e for r in found] == [[r.text] for r in found]
+    assert [r.text for r in found if not r.quick] == []
+    for r in pii.with_surrogates(docs.selectExpr("doc_id", "concat('so ', text, ' it is') as text"), "key").collect():
+        assert ALONE[r.doc_id] not in r.text and r.text.startswith("so ") and r.text.endswith(" it is")
+
+
 def test_no_rows(spark):
     assert pii.with_surrogates(spark.createDataFrame([], "doc_id long, text string"), "key").count() == 0
