@@ -3,20 +3,20 @@
 The tree is over bytes. A text is its words in small letters (A-Z only), each followed by a blank, and
 an end sign; a context is what stands before a byte, ORDER bytes at most. A context becomes a state if
 
-* it holds at least a share LEAST of all training bytes (so there are at most ORDER / LEAST states), and
+* it is met LEAST times at least in the training texts, and
 * the divergence of its next bytes from those of the context one byte shorter, times its count, is more
   than BITS for each different next byte.
 
 All suffixes of a state are states. The distribution of a state is smoothed by that of the next
-shorter state: P(a|s) = n(s,a) / (C + K) + g(s) P(a|shorter), where g takes K and the counts of the
-pairs below LEAST / 4 of the training bytes (again a bound on the model's size). A byte is scored by
-the longest suffix state of what stands before it. The chance of a token under the tree is then
+shorter state: P(a|s) = (n(s,a) + K P(a|shorter)) / (C + K). A byte is scored by the longest suffix
+state of what stands before it. The chance of a token under the tree is then
 smoothed by its share among the training tokens; the weight is the one of WEIGHTS under which the
 training tokens are likeliest when each is left out of its own share.
 
 Everything is counted over all documents: texts are cut into blocks of words with numbers of their
-own; the counts of words are summed over the blocks and sent back to them; byte sequences are
-summed over tasks. Only the tree, whose size is bounded as said, reaches the driver and the tasks.
+own; the counts of words and of byte sequences are summed over the blocks. The tree is a table of
+states, as large as the texts make it: the chances of all different byte sequences are found by
+joining them to it level by level, and only those of a block are sent back to it.
 
 Defined results: a null text counts as an empty one, which has its end as only token; a null id is a
 training row; equal rows are scored each; an empty table gives no rows; other columns are ignored.
@@ -31,6 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,9 +39,9 @@ from floeline.llm.batches import bounded
 from floeline.sources import scratch
 
 ORDER = 5
-LEAST = 1e-6
+LEAST = 2
 BITS = 3.0
-WEIGHTS = (0.0, 0.5, 0.8, 0.95, 0.99)
+WEIGHTS = (0.0, 0.3, 0.5, 0.7, 0.8, 0.9, 0.95, 0.98, 0.99, 0.995, 0.999)
 K = 4.0
 #: Tokens of a block at most (one text may exceed it alone).
 BLOCK = 2_000_000
@@ -52,7 +53,7 @@ _TAG = 56
 _PARTS = "kind int, block string, at long, word binary, n long, ids binary, doc_id long, held_out boolean"
 _NAMES = ["kind", "block", "at", "word", "n", "ids", "doc_id", "held_out"]
 _KINDS = [pa.int32(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.bool_()]
-DOC, WORD, GRAM = 0, 1, 2
+DOC, WORD, WINDOW = 0, 1, 2
 
 
 def held_out(doc_id: Column) -> Column:
@@ -88,7 +89,7 @@ def laid_out(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
 
 def count_windows(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """Windows of texts with their counts, sorted; a piece at a time, so that a sort stays in the cache."""
-    found, held, size = (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)), [], 0
+    found, held, size = NONE, [], 0
     for i, words in enumerate(texts):
         held.append(words)
         size += len(words)
@@ -105,11 +106,16 @@ def _run_lengths(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.diff(np.append(first, len(keys)))
 
 
+NONE = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+
+
 class _Block:
     def __init__(self):
         self.numbers: defaultdict[bytes, int] = defaultdict()
         self.numbers.default_factory = self.numbers.__len__
-        self.docs, self.held, self.ids, self.train, self.tokens = [], [], [], [], 0
+        self.docs, self.held, self.ids, self.tokens = [], [], [], 0
+        #: of training and of other texts: those not counted yet, their tokens, and counts of windows
+        self.waiting, self.size, self.counts = ([], []), [0, 0], [NONE, NONE]
 
     def add(self, doc, held: bool, words: list[bytes]) -> None:
         words.append(END)
@@ -118,8 +124,22 @@ class _Block:
         self.docs.append(doc)
         self.held.append(held)
         self.tokens += len(words) + 1
-        if not held:
-            self.train.append(words)
+        self.waiting[held].append(words)
+        self.size[held] += len(words)
+        if self.size[held] >= COUNTED:
+            self.count(held)
+
+    def count(self, held: bool) -> None:
+        self.counts[held] = merged(self.counts[held], count_windows(self.waiting[held]))
+        self.waiting[held].clear()
+        self.size[held] = 0
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray]:
+        """Windows of all texts, with their counts in the training texts."""
+        for held in (False, True):
+            self.count(held)
+        others = self.counts[True][0]
+        return merged(self.counts[False], (others, np.zeros(len(others), dtype=np.int64)))
 
     def rows(self, name: str) -> Iterator[pa.RecordBatch]:
         train = [i for h, i in zip(self.held, self.ids, strict=True) if not h]
@@ -128,6 +148,8 @@ class _Block:
         yield _batch(len(blobs), DOC, block=[name] * len(blobs), ids=blobs, doc_id=self.docs, held_out=self.held)
         at = np.arange(len(counts))
         yield _batch(len(counts), WORD, block=[name] * len(counts), at=at, word=list(self.numbers), n=counts)
+        keys, n = self.windows()
+        yield _batch(len(keys), WINDOW, block=[name] * len(keys), at=keys.view(np.int64), n=n)
 
 
 def merged(a, b):
@@ -142,29 +164,26 @@ def merged(a, b):
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of numbered words, and counts of byte sequences of the training texts."""
+    """Blocks of numbered words, and of windows with their counts in the training texts."""
     from pyspark import TaskContext
 
     context = TaskContext.get()
     name = f"{context.partitionId()}.{context.taskAttemptId()}"
-    block, number, grams = _Block(), 0, (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
+    block, number = _Block(), 0
     for batch in batches:
         for doc, held, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             block.add(doc, held, (text or "").encode().lower().split())
             if block.tokens >= BLOCK:
-                grams = merged(grams, count_windows(block.train))
                 yield from block.rows(f"{name}.{number}")
                 block, number = _Block(), number + 1
     if block.docs:
-        grams = merged(grams, count_windows(block.train))
         yield from block.rows(f"{name}.{number}")
-    if len(grams[0]):
-        yield _batch(len(grams[0]), GRAM, at=grams[0].view(np.int64), n=grams[1])
 
 
 @dataclass
 class Tree:
-    """States and pairs as sorted numbers (length, bytes), with log10 of g and of P."""
+    """A small tree in memory, beside which `chances` is tested: states and pairs as sorted numbers
+    (length, bytes), with log10 of g (the weight of the shorter state) and of P."""
 
     states: np.ndarray
     fallback: np.ndarray
@@ -230,17 +249,23 @@ def _mask(length: Column) -> Column:
 
 def grow(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(states: length, context, total), (pairs of states: length, context, pair, n) from (gram, n)."""
+    states, table = _grown(grams)
+    return states, table.join(states, ["length", "context"]).where("n > 0")
+
+
+def _grown(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(states), (all pairs: length, context, pair, n); those of n = 0 are in no training text."""
     lengths = F.explode(F.sequence(F.lit(0), F.lit(ORDER))).alias("length")
     cut = grams.select("gram", "n", lengths).select("length", F.col("gram").bitwiseAND(_mask(F.col("length") + 1)).alias("pair"), "n")
     table = cut.groupBy("length", "pair").agg(F.sum("n").alias("n")).withColumn("context", F.shiftright("pair", 8))
     table = scratch.stage(table, "pairs")
-    totals = scratch.stage(table.groupBy("length", "context").agg(F.sum("n").alias("total"), F.count("*").alias("different")), "totals")
-    every = totals.where("length = 0").agg(F.sum("total")).first()[0] or 0
-    frequent = totals.where((F.col("length") > 0) & (F.col("total") >= max(2.0, LEAST * every)))
+    totals = scratch.stage(table.groupBy("length", "context").agg(F.sum("n").alias("total"), F.count_if(F.col("n") > 0).alias("different")), "totals")
+    frequent = totals.where((F.col("length") > 0) & (F.col("total") >= LEAST))
     shorter = table.select((F.col("length") + 1).alias("length"), F.col("pair").alias("inner"), F.col("n").alias("inner_n"))
     inner = totals.select((F.col("length") + 1).alias("length"), F.col("context").alias("outer"), F.col("total").alias("outer_total"))
     compared = (
-        table.join(frequent, ["length", "context"])
+        table.where("n > 0")
+        .join(frequent, ["length", "context"])
         .withColumn("inner", F.col("pair").bitwiseAND(_mask(F.col("length"))))
         .withColumn("outer", F.shiftright("inner", 8))
         .join(shorter, ["length", "inner"])
@@ -254,12 +279,27 @@ def grow(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
     closed = passed.select("length", F.col("context").bitwiseAND(_mask(F.col("length"))).alias("context"))
     root = totals.where("length = 0").select("length", "context")
     states = totals.join(closed.unionByName(root).distinct(), ["length", "context"]).select("length", "context", "total")
-    states = scratch.stage(states, "states")
-    return states, table.join(states, ["length", "context"]).where(F.col("n") >= max(1.0, LEAST / 4 * every))
+    return scratch.stage(states, "states"), table
+
+
+def chances(states: DataFrame, table: DataFrame) -> DataFrame:
+    """(gram, log): log10 P(last byte | longest suffix state before it) of all windows, a join for each length."""
+    known = None
+    for length in range(ORDER + 1):
+        own = table.where(F.col("length") == length).select("context", "pair", "n")
+        if known is None:
+            own = own.withColumn("below", F.lit(1 / 256))
+        else:
+            own = own.withColumn("inner", F.col("pair").bitwiseAND(_mask(F.lit(length)))).join(known, "inner")
+        level = states.where(F.col("length") == length).select("context", "total")
+        chance = (F.col("n") + K * F.col("below")) / (F.col("total") + K)
+        found = own.join(level, "context", "left").select("pair", F.coalesce(chance, F.col("below")).alias("below"))
+        known = found.withColumnRenamed("pair", "inner")
+    return known.select(F.col("inner").alias("gram"), F.log10("below").alias("log"))
 
 
 def compiled(states: DataFrame, pairs: DataFrame) -> Tree:
-    """The tree in arrays; at most ORDER / LEAST states and 4 ORDER / LEAST pairs."""
+    """A small tree in arrays."""
     s = states.select("length", "context", "total").toPandas()
     p = pairs.select("length", "context", "pair", "n").toPandas()
 
@@ -302,11 +342,34 @@ def blended(tree: np.ndarray, share: np.ndarray, weight: float, chance: np.ndarr
     return found
 
 
-def _score(shared, train_tokens: int, different: int):
+class Known:
+    """Values of sorted windows, found by a table of slots, or by search where two share one."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.keys, self.values = keys, values
+        self.shift = np.uint64(64 - max(10, (2 * len(keys)).bit_length()))
+        self.slots = np.zeros(1 << (64 - int(self.shift)), dtype=np.int32)
+        self.slots[self._slot(keys)] = np.arange(len(keys), dtype=np.int32)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def __getitem__(self, keys: np.ndarray) -> np.ndarray:
+        at = self.slots[self._slot(keys)]
+        other = np.flatnonzero(self.keys[at] != keys)
+        at[other] = np.searchsorted(self.keys, keys[other])
+        return self.values[at]
+
+
+def _score(train_tokens: int, different: int):
     rarity = np.log10(float(train_tokens + different + 1))
 
-    def run(words: pa.Table, docs: pa.Table) -> pa.Table:
-        tree = shared.value
+    def run(parts: pa.Table, docs: pa.Table) -> pa.Table:
+        is_word = pc.is_null(parts.column("log"))
+        words, priced = parts.filter(is_word), parts.filter(pc.invert(is_word))
+        keys = priced.column("at").to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        tree = Known(keys[order], priced.column("log").to_numpy()[order])
         order = np.argsort(words.column("at").to_numpy())
         count = words.column("n").to_numpy()[order]
         spelled = words.column("word").take(pa.array(order)).to_pylist()
@@ -326,7 +389,7 @@ def _score(shared, train_tokens: int, different: int):
             stream = letters[np.repeat(begins[ids] - (ends - lengths), lengths) + np.arange(ends[-1])]
             scored = np.repeat(ids != lead, lengths)
             values = np.zeros(len(stream))
-            values[scored] = tree.remembered(windows(stream)[scored[ORDER:]])
+            values[scored] = tree[windows(stream)[scored[ORDER:]]]
             token = ids != lead
             chance = np.add.reduceat(values, ends - lengths)[token]
             own = count[ids[token]]
@@ -379,12 +442,15 @@ def scores(docs: DataFrame, text: str = "text") -> DataFrame:
     counts = words.where("n > 0").groupBy("word").agg(F.sum("n").alias("c"))
     counts = scratch.stage(counts, "counts")
     train_tokens, different = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    grams = parts.where(F.col("kind") == GRAM).groupBy(F.col("at").alias("gram")).agg(F.sum("n").alias("n"))
-    tree = spark.sparkContext.broadcast(compiled(*grow(grams)))
-    looked_up = words.join(counts, "word", "left").select("block", "at", "word", F.coalesce("c", F.lit(0)).alias("n"))
+    met = parts.where(F.col("kind") == WINDOW).select("block", F.col("at").alias("gram"), "n")
+    states, table = _grown(met.groupBy("gram").agg(F.sum("n").alias("n")))
+    priced = scratch.stage(chances(states, table), "chances")
+    own = met.drop("n").join(priced, "gram").select("block", F.col("gram").alias("at"), F.lit(None).cast("binary").alias("word"), F.lit(0).cast("long").alias("n"), "log")
+    looked_up = words.join(counts, "word", "left").select("block", "at", "word", F.coalesce("c", F.lit(0)).alias("n"), F.lit(None).cast("double").alias("log"))
+    looked_up = looked_up.unionByName(own)
     texts = parts.where(F.col("kind") == DOC).select(F.col("block").alias("own"), "doc_id", "held_out", "ids")
     blocks = looked_up.groupBy("block").cogroup(texts.groupBy("own"))
-    scored = scratch.stage(blocks.applyInArrow(_score(tree, train_tokens, different), _SCORES), "scores")
+    scored = scratch.stage(blocks.applyInArrow(_score(train_tokens, different), _SCORES), "scores")
     sums = [F.sum(F.get("_left_out", F.lit(i))) for i in range(len(WEIGHTS))]
     likely = [-np.inf if v is None else v for v in scored.where("not held_out").agg(*sums).first()]
     best = int(np.argmax(likely))

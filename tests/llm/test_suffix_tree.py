@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from floeline.llm import suffix_tree as st
 
@@ -102,6 +103,29 @@ def test_tree(spark):
     assert known == {(len(c), int.from_bytes(c, "big")) for c in passing}
 
 
+def test_chances_by_joins(spark):
+    texts = [[t.encode() for t in tokens(x)[:-1]] for _, x in corpus(60)]
+    keys, n = st.count_windows(texts)
+    n[::7] = 0  # as if met in held-out texts only
+    grams = spark.createDataFrame(list(zip(keys.view(np.int64).tolist(), n.tolist())), "gram long, n long")
+    states, table = st._grown(grams)
+    found = {r.gram: r.log for r in st.chances(states, table).collect()}
+    assert sorted(found) == sorted(keys.view(np.int64).tolist())
+    expected = st.compiled(*st.grow(grams)).log10(keys)
+    assert np.allclose([found[k] for k in keys.view(np.int64).tolist()], expected)
+    assert np.allclose(st.Known(keys, expected)[keys[::-1]], expected[::-1])
+
+
+def test_rare_contexts_of_large_texts_are_states(spark):
+    # "qzq" is met 40 times among 50 million bytes: a share below one in a million
+    far = [(b"ab ab ab", 50_000_000), (b"xqzqv ", 40), (b"yqzqv ", 40)]
+    grams = [(int.from_bytes(w[-6:].rjust(6, b" "), "big"), c) for w, c in far]
+    grams += [(int.from_bytes(w, "big"), c) for w, c in ((b" xqzqv", 40), (b" yqzqw", 40), (b"ab xqz", 40), (b"b xqzq", 40))]
+    states, pairs = st.grow(spark.createDataFrame(grams, "gram long, n long"))
+    assert states.where((F.col("length") > 0) & (F.col("total") < 50)).count() > 0
+    assert pairs.where("n < 50").count() > 0
+
+
 def test_no_training_rows(spark):
     frame = spark.createDataFrame([], "doc_id long, text string")
     assert st.scores(frame).count() == 0
