@@ -3,7 +3,8 @@
 1. Language model: counts of four-letter sequences over all documents (at most 27^4 numbers).
 2. Noisy channel: a run that hides letters behind digits and signs, stretches them or spaces them out
    is a lattice of readings: each sign stands for one of its letters, a stretched letter for one or
-   two. The Viterbi path through the lattice under the language model is the restored word. Runs with
+   two, a blank between single letters for a word boundary or none. The Viterbi path through the
+   lattice under the language model is the restored word, or the words of spaced letters. Runs with
    a single reading need no decoding, and a run is decoded once in each worker.
 3. Classifier: words and beginnings of words, as written and as restored, are features. Those that
    stand out in toxic texts of the labelled sample (SAMPLE rows at most, the smallest hashes of
@@ -83,7 +84,7 @@ def _smoothed(counts: np.ndarray) -> np.ndarray:
 
 
 _STRETCHED = re.compile(r"(.)\1{2,}", re.DOTALL)
-_HIDDEN = re.compile(r"[A-Za-z].*[0-9@$!|+*€(#]|[0-9@$!|+*€(#].*[A-Za-z]", re.DOTALL)
+_LATIN, _SIGN = re.compile("[A-Za-z]"), re.compile(r"[0-9@$!|+*€(#]")
 _LETTER = re.compile(r"[^\W\d_]")
 _DOTTED = re.compile(r"^\W*\w(?:[.\-_*~/]\w){2,}\W*$")
 _SPACED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
@@ -108,16 +109,29 @@ def lattice(run: str) -> list[tuple[str, ...]]:
     return places
 
 
+def spaced_lattice(run: str) -> list[tuple[str, ...]]:
+    """The lattice of single letters that stand apart: between two of them is a word boundary or none."""
+    places: list[tuple[str, ...]] = []
+    for options in lattice(run):
+        if places:
+            places.append(("", "\n"))
+        if any(len(o) > 1 for o in options):  # stretched: the end of one word and the beginning of the next may be alike
+            single = [o for o in options if len(o) == 1]
+            options += tuple(form for o in single for form in (f"{o}\n{o}", f"{o}{o}\n{o}", f"{o}\n{o}{o}"))
+        places.append(options)
+    return places
+
+
 def _code(letter: str) -> int:
     return ord(letter) - 96 if "a" <= letter <= "z" else 0
 
 
 def decode(places: list[tuple[str, ...]], model: np.ndarray) -> str:
     """The Viterbi path: the likeliest word, with word boundaries on both sides."""
-    states = {(0, 0, 0): (0.0, "")}
+    states: dict[tuple[int, int, int], tuple[float, tuple | None]] = {(0, 0, 0): (0.0, None)}
     for options in [*places, ("\n",)]:
-        after: dict[tuple[int, int, int], tuple[float, str]] = {}
-        for (a, b, c), (cost, word) in states.items():
+        after: dict[tuple[int, int, int], tuple[float, tuple | None]] = {}
+        for (a, b, c), (cost, path) in states.items():
             for option in options:
                 x, y, z, total = a, b, c, cost
                 for letter in option:
@@ -126,9 +140,13 @@ def decode(places: list[tuple[str, ...]], model: np.ndarray) -> str:
                     x, y, z = y, z, code
                 best = after.get((x, y, z))
                 if best is None or total < best[0]:
-                    after[x, y, z] = total, word + option
+                    after[x, y, z] = total, (path, option)
         states = after
-    return min(states.values())[1].rstrip("\n")
+    path, read = min(states.values(), key=lambda state: state[0])[1], []
+    while path:
+        path, option = path
+        read.append(option)
+    return "".join(reversed(read)).rstrip("\n")
 
 
 def restored(run: str, model: np.ndarray) -> list[str]:
@@ -140,20 +158,27 @@ def restored(run: str, model: np.ndarray) -> list[str]:
         if _DOTTED.match(form):
             form = re.sub(r"[.\-_*~/]", "", form)
             words.append(form.lower())
-        if _HIDDEN.search(form) or (_LETTER.search(form) and _STRETCHED.search(form)):
+        if (_LATIN.search(form) and _SIGN.search(form)) or (_LETTER.search(form) and _STRETCHED.search(form)):
             word = decode(lattice(form), model)
             if word and word not in words:
                 words.append(word)
     return words
 
 
+def spaced(run: str, model: np.ndarray) -> list[str]:
+    """Words in letters that stand apart: those of the likeliest boundaries, and all letters as one word."""
+    letters = "".join(run.split())
+    words = [word for word in decode(spaced_lattice(letters), model).split("\n") if word]
+    return list(dict.fromkeys([*words, *restored(letters, model)]))
+
+
 def features(word: str) -> tuple[int, ...]:
     parts = [word, *(word[:n] + "…" for n in BEGINNINGS if len(word) > n)]
     return tuple(xxhash.xxh3_64_intdigest(p) >> 1 for p in parts)
 
 
 class Reader(dict):
-    """Features of a run; `wanted` limits them to those that a classifier knows."""
+    """Features of a run, or of single letters with blanks between them; `wanted` limits them to those that a classifier knows."""
 
     def __init__(self, model: np.ndarray, wanted: dict[int, float] | None = None):
         super().__init__()
@@ -162,7 +187,8 @@ class Reader(dict):
     def __missing__(self, run: str) -> tuple[int, ...]:
         if len(self) >= REMEMBERED:
             self.clear()
-        found = [f for word in restored(run, self.model) for f in features(word)]
+        words = spaced(run, self.model) if " " in run else restored(run, self.model)
+        found = [f for word in words for f in features(word)]
         if self.wanted is not None:
             found = [f for f in found if f in self.wanted]
         self[run] = value = tuple(found)
@@ -171,7 +197,7 @@ class Reader(dict):
     def features(self, text: str | None) -> set[int]:
         text = text or ""
         runs = set(text.split())
-        runs.update("".join(m.group().split()) for m in _SPACED.finditer(text))
+        runs.update(" ".join(m.group().split()) for m in _SPACED.finditer(text))
         return set().union(*map(self.__getitem__, runs))
 
 

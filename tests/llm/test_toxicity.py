@@ -56,6 +56,23 @@ def disguised(word, pick):
     return " ".join(word) if kind == 2 else word.replace(word[2], word[2] * 4)
 
 
+@pytest.mark.parametrize("text,words", [
+    ("you are a s t u p i d person", ["a", "stupid"]), ("such a l o s e r", ["a", "loser"]), ("I m o r o n", ["i", "moron"]),
+    ("so s t u p i d i d i o t here", ["stupid", "idiot"]), ("a $ t u p 1 d l 0 s e r", ["a", "stupid", "loser"]), ("a s t u u u u p i d", ["stupid"]),
+])
+def test_boundaries_between_spaced_letters(text, words):
+    pick = random.Random(2)
+    texts = [" ".join(pick.choices([*CLEAN, *BAD, "a", "I"], k=40)) for _ in range(100)]
+    model = tx._smoothed(tx.letter_counts(texts).astype(float))
+    found = tx.Reader(model).features(text)
+    for word in words:
+        assert set(tx.features(word)) <= found, word
+
+
+def test_long_spaced_runs_take_time_in_proportion(model):
+    assert len(tx.Reader(model).features("a b " * 50_000)) > 0
+
+
 def test_scores(spark):
     pick = random.Random(4)
     docs, labels = [], []
