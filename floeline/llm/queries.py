@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floeline.llm import bpe, decontamination, jaccard, pii, quality, repeats, suffix_tree, token_counts, toxicity, warc, whitening
+from floeline.llm import bpe, decontamination, jaccard, language, pii, quality, repeats, suffix_tree, token_counts, toxicity, warc, whitening
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +65,10 @@ def op5_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.scores(_table(spark, sf_dir, "documents"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predicted(_table(spark, sf_dir, "documents"))
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(_table(spark, sf_dir, "embeddings"))
 
@@ -80,5 +84,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_cascade": op8_quality_cascade,
     "op9_repeated_passages": op9_repeated_passages,
     "op10_toxicity": op10_toxicity,
+    "op11_language_id": op11_language_id,
     "op12_embedding_whitening": op12_embedding_whitening,
 }
