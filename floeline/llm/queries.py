@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floeline.llm import bpe, decontamination, jaccard, language, pii, quality, repeats, suffix_tree, token_counts, toxicity, warc, whitening
+from floeline.llm import bpe, decontamination, jaccard, language, lexical, pii, quality, repeats, suffix_tree, token_counts, toxicity, warc, whitening
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +73,10 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_token_counts": op2_token_counts,
@@ -86,4 +90,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
     "op11_language_id": op11_language_id,
     "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_lexical_search": op13_lexical_search,
 }

@@ -42,4 +42,33 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM q
 """
 
-SQL: dict[str, str] = {"op7_warc_archives": _ARCHIVES, "op8_quality_cascade": _QUALITY}
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_SMALL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_RANKED = rf"""
+WITH asked AS (
+  SELECT item_id, term, count(*) AS times
+  FROM (SELECT item_id, unnest(regexp_extract_all({_SMALL}, '{_TERM}')) AS term FROM benchmark) GROUP BY item_id, term),
+d AS (SELECT doc_id, regexp_extract_all({_SMALL}, '{_TERM}') AS terms FROM documents),
+lengths AS (SELECT doc_id, CAST(len(terms) AS BIGINT) AS n FROM d WHERE len(terms) > 0),
+whole AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS total FROM lengths),
+held AS (
+  SELECT doc_id, term, CAST(count(*) AS BIGINT) AS tf
+  FROM (SELECT doc_id, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM asked) GROUP BY doc_id, term),
+weight AS (
+  SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2 * df + 1))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM held GROUP BY term), whole),
+measure AS (SELECT doc_id, 75 + (25 * n * docs) // total AS m FROM lengths, whole),
+scored AS (
+  SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM asked JOIN held USING (term) JOIN weight USING (term) JOIN measure USING (doc_id) GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scored WHERE score > 0
+QUALIFY rank <= 20
+"""
+
+SQL: dict[str, str] = {
+    "op7_warc_archives": _ARCHIVES,
+    "op8_quality_cascade": _QUALITY,
+    "op13_lexical_search": _RANKED,
+}
