@@ -198,9 +198,12 @@ def _fit(shared):
 def centroids(rows: DataFrame, idf: np.ndarray, sample: int = SAMPLE) -> DataFrame:
     """lang, cluster, centroid, reach and members, staged."""
     shared = rows.sparkSession.sparkContext.broadcast(idf)
-    # Spark keeps `sample` rows of a language in each task before the shuffle
+    # twice the sample by expectation: texts of few rows only are shuffled, however many rows and tasks there are
+    sizes = scratch.stage(rows.groupBy("lang").count(), "languages").select(F.col("lang").alias("_lang"), "count")
+    share = F.xxhash64("id") / F.lit(2.0**64) + 0.5
+    likely = rows.join(sizes, F.col("lang") == F.col("_lang")).where(share * F.col("count") <= 2 * sample)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "text")
-    chosen = rows.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= sample).select("lang", "text")
+    chosen = likely.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= sample).select("lang", "text")
     fitted = chosen.groupBy("lang").applyInArrow(
         _fit(shared), "lang string, cluster int, centroid array<float>, reach double, members long"
     )
