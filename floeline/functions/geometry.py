@@ -57,3 +57,18 @@ def inside(x: Column, y: Column, edges: Column) -> Column:
 
     parity = F.aggregate(edges, F.lit(False), lambda odd, edge: odd != crosses(edge))
     return F.coalesce(parity, F.lit(False))
+
+
+def near(x: Column, y: Column, edges: Column, width: float, height: float, reach: float) -> Column:
+    """Whether a normalised point lies within `reach` pixels of an edge in a frame of width x height; no edges means no."""
+    px, py = x * F.lit(float(width)), y * F.lit(float(height))
+
+    def within(edge: Column) -> Column:
+        x1, y1 = edge["x1"] * F.lit(float(width)), edge["y1"] * F.lit(float(height))
+        dx, dy = edge["x2"] * F.lit(float(width)) - x1, edge["y2"] * F.lit(float(height)) - y1
+        along = F.try_divide((px - x1) * dx + (py - y1) * dy, dx * dx + dy * dy)
+        at = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(along, F.lit(0.0))))
+        ox, oy = px - (x1 + at * dx), py - (y1 + at * dy)
+        return ox * ox + oy * oy <= F.lit(float(reach * reach))
+
+    return F.coalesce(F.exists(edges, within), F.lit(False))

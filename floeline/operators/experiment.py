@@ -1,8 +1,9 @@
 """Scaling experiment and latency summaries."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from floeline.operators.ordering import exact_quantiles
+from floeline.functions import counters
+from floeline.operators.quantiles import exact_quantiles
 
 
 def class_camera_rollup(detections: DataFrame) -> DataFrame:
@@ -108,6 +109,12 @@ def distinct_frames(trials: DataFrame, published: DataFrame | None = None) -> Da
     return out
 
 
-def shuffled(trials: DataFrame, seed: int = 42) -> DataFrame:
-    """Trials in a seeded random order, which is kept in `run_order_key`."""
-    return trials.withColumn("run_order_key", F.rand(seed)).orderBy("run_order_key")
+def shuffled(trials: DataFrame, seed: int = 42, index: Column | None = None) -> DataFrame:
+    """Trials in a seeded random order, which is kept in `run_order_key`.
+
+    The order is a permutation of `index`, a whole number of 0 or more that tells the trials apart; without
+    one it follows from the content of a row.
+    """
+    if index is None:
+        index = F.xxhash64(*trials.columns).bitwiseAND(F.lit(2**62 - 1))
+    return counters.permuted(trials, index, seed, "run_order_key").orderBy("run_order_key")

@@ -5,27 +5,42 @@ range-partitioned on (keys, order) instead, which balances whatever the keys are
 once, so that every later step sees the same partitions. From the written rows:
 
 * `number_rows` gives each row its position within its key,
-* `windowed` runs short windows over blocks of positions, each block getting copies of the few
-  rows before it,
-* `exact_quantiles` reads order statistics from a counted histogram.
+* `windowed` looks a few rows back within each written partition, and hands each partition the last
+  rows of those before it (at most as many rows a partition as are looked back at),
+* `running` adds up a column along the order.
 """
 
 from collections.abc import Callable
-from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from floeline.session import shuffle_width
 from floeline.sources import scratch
 
-BLOCK_ROWS = 500_000
 _PART_BITS = 33  # monotonically_increasing_id keeps the partition above this bit
 
 
-def _place(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Sort by (keys, order) over balanced partitions and stage with partition and row number."""
-    ranged = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
-    placed = scratch.stage(ranged.withColumn("_row", F.monotonically_increasing_id()), "placed")
-    return placed.withColumn("_part", F.shiftright("_row", _PART_BITS))
+_UNKNOWN_BYTES = 2**60
+
+
+def width(df: DataFrame) -> int:
+    """Partitions for a full shuffle of `df`: by the size of the files it reads, at least the session's number."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a leaf without files has no size of its own
+    return shuffle_width(sum(s for s in sizes if s < _UNKNOWN_BYTES), least=least)
+
+
+def _sorted(df: DataFrame, keys: list[str], order: list[str], parts: int) -> DataFrame:
+    """Balanced partitions in the order of (keys, order), with partition and row number."""
+    ranged = df.repartitionByRange(parts, *keys, *order).sortWithinPartitions(*keys, *order)
+    numbered = ranged.withColumn("_row", F.monotonically_increasing_id())
+    return numbered.withColumn("_part", F.shiftright("_row", _PART_BITS))
+
+
+def _place(df: DataFrame, keys: list[str], order: list[str], parts: int | None = None) -> DataFrame:
+    return scratch.stage(_sorted(df, keys, order, parts or width(df)), "placed")
 
 
 def _spans(placed: DataFrame, keys: list[str], rows: Column) -> DataFrame:
@@ -75,31 +90,70 @@ def windowed(
     keys: list[str],
     order: list[str],
     back: int,
-    columns: Callable[[WindowSpec], dict[str, Column]],
-    block_rows: int = BLOCK_ROWS,
+    looked_at: list[str],
+    columns: Callable[[Callable[[str, int], Column], Column], dict[str, Column]],
+    parts: int | None = None,
 ) -> DataFrame:
-    """Add window columns that look at most `back` rows behind.
+    """Add columns that look at most `back` rows behind. (keys, order) must be unique.
 
-    `columns` receives the ordered window and returns the new columns. Every block holds
-    `block_rows` rows of one key plus copies of the `back` rows in front of it.
+    `columns(before, rows)` returns the new columns: `before(name, i)` is the value of a column of
+    `looked_at` i rows earlier, NULL where there is no such row; `rows` is the number of earlier
+    rows of the key, counted up to `back`. The rows are shuffled once: the windows run inside the
+    written partitions, whose first rows take what is missing from the rows handed over.
+    """
+    if back < 1:
+        raise ValueError("at least one row must be looked at")
+    parts = parts or width(df)
+    placed = scratch.stage_by(_sorted(df, keys, order, parts), "placed", "_part", parts, "_row")
+    handed = _handed_over(placed, keys, back, looked_at)
+    on_part = Window.partitionBy(*keys, "_part").orderBy("_row")
+    here = placed.withColumn("_nth", F.row_number().over(on_part) - 1)
+    here = here.withColumns({f"_{name}_{i}": F.lag(name, i).over(on_part) for name in looked_at for i in range(1, back + 1)})
+    joined = _join_by_part(here, handed, keys)
+    carried = F.coalesce(F.size("_halo"), F.lit(0))
+
+    def before(name: str, i: int) -> Column:
+        from_halo = F.get(F.col("_halo"), carried - (F.lit(i) - F.col("_nth")))[name]
+        return F.when(F.col("_nth") >= i, F.col(f"_{name}_{i}")).otherwise(from_halo)
+
+    rows = F.least(F.col("_nth") + carried, F.lit(back))
+    return joined.select(*df.columns, *[column.alias(name) for name, column in columns(before, rows).items()])
+
+
+def _handed_over(placed: DataFrame, keys: list[str], back: int, looked_at: list[str]) -> DataFrame:
+    """Per partition whose first key began earlier: the key, and the `back` rows in front as `_halo`, oldest first.
+
+    Only the last key of a partition can go on in the next one, so a partition hands over at most
+    `back` rows. A partition with fewer rows of its key lets those before it reach further.
     """
-    if back >= block_rows:
-        raise ValueError("a block must be longer than the rows looked at")
-    numbered = number_rows(df, keys, order)
-    block = F.floor(F.col("position") / block_rows)
-    near_end = F.col("position") % block_rows >= block_rows - back
-    spread = numbered.withColumn("_home", block).withColumn(
-        "_block",
-        F.explode(
-            F.when(near_end, F.array(F.col("_home"), F.col("_home") + 1)).otherwise(F.array("_home"))
-        ),
+    ends = scratch.stage(placed.groupBy("_part").agg(F.max("_row").alias("_last")), "ends")
+    ends = ends.withColumnRenamed("_part", "_p")
+    narrow = placed.select(*keys, *[c for c in looked_at if c not in keys], "_part", "_row")
+    first = F.col("_row") == F.shiftleft("_part", _PART_BITS)
+    near_end = F.col("_row") > F.col("_last") - back
+    edge = narrow.join(ends, F.col("_part") == F.col("_p")).drop("_p").where(first | near_end)
+    edge = scratch.stage(edge.withColumns({"_is_first": first, "_at_end": near_end}), "edges")
+    row = F.struct("_row", *looked_at)
+    by_key = edge.groupBy(*keys, "_part").agg(
+        F.bool_or("_is_first").alias("_opens"),
+        # only the partition's last key can be met again, so rows of others are of no use
+        F.when(F.bool_or(F.col("_row") == F.col("_last")), F.sort_array(F.collect_list(F.when(F.col("_at_end"), row)))).alias("_tail"),
     )
-    window = Window.partitionBy(*keys, "_block").orderBy("position")
-    return (
-        spread.withColumns(columns(window))
-        .where(F.col("_block") == F.col("_home"))
-        .drop("_block", "_home", "position", "key_rows")
+    ahead = Window.partitionBy(*keys).orderBy("_part").rowsBetween(-back, -1)
+    halo = F.flatten(F.collect_list("_tail").over(ahead))
+    kept = F.slice(halo, F.greatest(F.size(halo) - back + 1, F.lit(1)), back)
+    return by_key.withColumn("_halo", kept).where(F.col("_opens") & (F.size("_halo") > 0)).select(*keys, "_part", "_halo")
+
+
+def _join_by_part(placed: DataFrame, by_part: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join on partition and keys, NULL keys too; the right side has a row a partition at most."""
+    right = by_part.select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"), *[c for c in by_part.columns if c not in (*keys, "_part")]
     )
+    match = F.col("_part") == F.col("_p")
+    for i, key in enumerate(keys):
+        match = match & F.col(key).eqNullSafe(F.col(f"_k{i}"))
+    return placed.join(right, match, "left")
 
 
 def since_cutoff(df: DataFrame, keys: list[str], time: str, n: int) -> DataFrame:
@@ -153,62 +207,9 @@ def last_n_of_many(df: DataFrame, keys: list[str], order: list[str], n: int) ->
     return df.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= n)
 
 
-def exact_quantiles(
-    df: DataFrame,
-    keys: list[str],
-    value: str,
-    probs: dict[str, float],
-    interpolate: bool = True,
-) -> DataFrame:
-    """Exact quantiles per key: one row with `n` and a column per entry of `probs`.
-
-    With `interpolate`, linear between the two neighbours; otherwise the smallest value that at
-    least a share p of the rows does not exceed. NULL values are not counted. Equal values are
-    counted before the shuffle, and only the partitions that hold a wanted rank are read again.
-    """
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_w"))
-    placed = _place(counted, keys, [value])
-    spans = _spans(placed, keys, F.sum("_w"))
-
-    # exact decimals, so that p * n never lands beside a whole number
-    slots = []
-    for name, p in probs.items():
-        share = F.lit(Decimal(str(p)))
-        if interpolate:
-            at = (F.col("_total") - 1) * share
-            slots.append((f"{name}:low", F.floor(at)))
-            slots.append((f"{name}:high", F.ceil(at)))
-        else:
-            slots.append((name, F.greatest(F.ceil(F.col("_total") * share) - 1, F.lit(0))))
-    wanted = F.array(*[F.struct(F.lit(s).alias("slot"), r.cast("bigint").alias("at")) for s, r in slots])
-    ends = F.col("_before") + F.col("_here")
-    holding = spans.withColumn(
-        "_wanted", F.filter(wanted, lambda w: (w["at"] >= F.col("_before")) & (w["at"] < ends))
-    ).where(F.size("_wanted") > 0)
-
-    running = Window.partitionBy(*keys, "_part").orderBy("_row")
-    reached = _join_spans(placed, holding, keys).withColumn("_upto", F.col("_before") + F.sum("_w").over(running))
-    hits = (
-        reached.withColumn(
-            "_hit",
-            F.explode(
-                F.filter(
-                    "_wanted",
-                    lambda w: (w["at"] < F.col("_upto")) & (w["at"] >= F.col("_upto") - F.col("_w")),
-                )
-            ),
-        )
-        .groupBy(*keys)
-        .agg(
-            F.max("_total").alias("n"),
-            *[F.max(F.when(F.col("_hit.slot") == s, F.col(value))).alias(s) for s, _ in slots],
-        )
-    )
-    if not interpolate:
-        return hits.select(*keys, "n", *probs)
-    out = []
-    for name, p in probs.items():
-        low, high = F.col(f"`{name}:low`"), F.col(f"`{name}:high`")
-        at = ((F.col("n") - 1) * F.lit(Decimal(str(p)))).cast("double")
-        out.append((low + (high - low) * (at - F.floor(at))).alias(name))
-    return hits.select(*keys, "n", *out)
+def running(df: DataFrame, keys: list[str], order: list[str], weight: str) -> tuple[DataFrame, Column]:
+    """The rows in balanced partitions, and the sum of `weight` up to each row of its key as a column of them."""
+    placed = _place(df, keys, order)
+    spans = _spans(placed, keys, F.sum(weight)).select(*keys, "_part", "_before")
+    here = F.sum(weight).over(Window.partitionBy(*keys, "_part").orderBy("_row"))
+    return _join_spans(placed, spans, keys), F.col("_before") + here

@@ -1,23 +1,28 @@
 """Hourly summary and the seven reports over the cleaned tables."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from floeline.functions.levels import hourly_level
 from floeline.functions.numbers import settled
 from floeline.functions.times import hour_start
-from floeline.operators.ordering import exact_quantiles
+from floeline.operators import quantiles
+from floeline.operators.quantiles import exact_quantiles
 
 
-def hourly_summary(frames: DataFrame, count_vessel: bool = False) -> DataFrame:
-    """By hour and camera. `vessel_frames` is 0 unless `count_vessel` asks for a real count."""
+def hourly_figures(count_vessel: bool = False) -> list[Column]:
+    """Aggregates of the frames of one hour and camera."""
     extra = [F.count_if("vessel_present").alias("vessel_frames")] if count_vessel else []
-    summed = frames.groupBy(hour_start(frames, "ts").alias("hour"), "cam_id").agg(
+    return [
         F.avg("ice_conc").alias("avg_ice_conc"),
         F.max("ice_conc").alias("max_ice_conc"),
         F.avg("ice_severity").alias("avg_severity"),
         F.count(F.lit(1)).alias("total_frames"),
         *extra,
-    )
+    ]
+
+
+def hourly_columns(summed: DataFrame, count_vessel: bool = False) -> DataFrame:
+    """The columns of the summary from its aggregates."""
     if not count_vessel:
         summed = summed.withColumn("vessel_frames", F.lit(0).cast("bigint"))
     return summed.withColumn("danger_level", hourly_level(F.col("avg_ice_conc"))).select(
@@ -32,6 +37,12 @@ def hourly_summary(frames: DataFrame, count_vessel: bool = False) -> DataFrame:
     )
 
 
+def hourly_summary(frames: DataFrame, count_vessel: bool = False) -> DataFrame:
+    """By hour and camera. `vessel_frames` is 0 unless `count_vessel` asks for a real count."""
+    hours = frames.groupBy(hour_start(frames, "ts").alias("hour"), "cam_id")
+    return hourly_columns(hours.agg(*hourly_figures(count_vessel)), count_vessel)
+
+
 def class_distribution(detections: DataFrame) -> DataFrame:
     return (
         detections.groupBy("class_name")
@@ -85,21 +96,29 @@ def camera_compare(frames: DataFrame, rows: str = "total_frames") -> DataFrame:
     )
 
 
+AREA_PROBS = {"p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
+
+
 def area_percentiles(detections: DataFrame) -> DataFrame:
     """Exact rank percentiles of the detection areas per class, with the largest area."""
-    probs = {"p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95, "max_area": 1.0}
+    probs = {**AREA_PROBS, "max_area": 1.0}
     return exact_quantiles(detections, ["class_name"], "area_pixels", probs, interpolate=False).drop("n")
 
 
-def area_percentiles_approx(detections: DataFrame, accuracy: int = 10_000) -> DataFrame:
-    """The same from a sketch of bounded size: one pass, rank error up to rows / accuracy."""
-    wanted = F.percentile_approx("area_pixels", [0.25, 0.5, 0.75, 0.95], accuracy)
-    names = ("p25", "median", "p75", "p95")
-    return (
-        detections.groupBy("class_name")
-        .agg(wanted.alias("_p"), F.max("area_pixels").alias("max_area"))
-        .select("class_name", *[F.col("_p")[i].alias(n) for i, n in enumerate(names)], "max_area")
-    )
+def area_sketches(detections: DataFrame, size: int = quantiles.SKETCH_SIZE) -> DataFrame:
+    """A sketch of the areas per day and class, of bounded size: a day is read once and merged into any later report."""
+    return quantiles.sketches(detections, ["dt", "class_name"], "area_pixels", size)
+
+
+def area_percentiles_merged(sketches: DataFrame) -> DataFrame:
+    """The same percentiles from the sketches of the days; ranks are off by `quantiles.rank_error` as a rule."""
+    found = quantiles.approximate(sketches, ["class_name"], AREA_PROBS)
+    return found.withColumnRenamed("largest", "max_area").drop("n")
+
+
+def area_percentiles_approx(detections: DataFrame, size: int = 4000) -> DataFrame:
+    """One pass over rows of which no sketches are stored."""
+    return area_percentiles_merged(area_sketches(detections, size))
 
 
 def daily_summary(hourly: DataFrame) -> DataFrame:

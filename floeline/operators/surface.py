@@ -4,8 +4,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from floeline import schemas
 from floeline.functions import masks
-from floeline.functions.geometry import inside, rescale_area, rescale_edge
+from floeline.functions.geometry import rescale_area, rescale_edge
 from floeline.functions.levels import text
+from floeline.functions.solid import solid_mask
+from floeline.operators.zones import blocked_pixels
 
 
 def mask_histogram(df: DataFrame, mask: str = "mask") -> DataFrame:
@@ -44,6 +46,18 @@ def region_boxes(df: DataFrame, keys: list[str], width: int, mask: str = "mask")
     )
 
 
+def solid_regions(df: DataFrame, keys: list[str], width: int, kernels: dict[str, int] = schemas.CLOSING, mask: str = "mask") -> DataFrame:
+    """Boxes and pixel counts per frame and class after holes were filled and gaps closed.
+
+    `kernels` has the size of the closing kernel of each class that is made solid; vessel pixels stay what
+    they are, and a pixel that two classes reach belongs to the first of them.
+    """
+    codes = schemas.MASK_CODES
+    classes = {codes[name]: size for name, size in kernels.items()}
+    solid = df.withColumn(mask, solid_mask(F.col(mask).cast("array<int>"), width, classes, codes["vessel"]))
+    return region_boxes(solid, keys, width, mask)
+
+
 def mask_detections(
     df: DataFrame, keys: list[str], width: int, height: int, full_width: int, full_height: int, mask: str = "mask"
 ) -> DataFrame:
@@ -78,7 +92,8 @@ def median_split(
     pixels out whose centre lies in the zone of the camera.
     """
     if edges is not None:
-        df = df.join(edges.withColumnRenamed("cam_id", cam_id), cam_id, "left")
+        # the zone of a camera is tested once for each pixel, not for each frame
+        df = df.join(blocked_pixels(edges, width, height).withColumnRenamed("cam_id", cam_id), cam_id, "left")
     top, bottom = int(height * 0.18), int(height * 0.97)
     enough = max(least_pixels, int(height * width * 0.01)) // 4
 
@@ -87,7 +102,7 @@ def median_split(
         passed = (row >= top) & (row < bottom) & (p["value"] > 72) & (p["saturation"] < 190)
         if edges is None:
             return passed
-        return passed & ~inside((i % width + 0.5) / width, (row + 0.5) / height, F.col("edges"))
+        return passed & ~F.coalesce(F.get(F.col("blocked"), i), F.lit(False))
 
     kept = F.transform(
         F.col(pixels),

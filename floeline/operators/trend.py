@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from floeline import schemas
 from floeline.functions.numbers import clamp01
-from floeline.operators.ordering import BLOCK_ROWS, last_n, number_rows, since_cutoff, windowed
+from floeline.operators.ordering import last_n, number_rows, since_cutoff, windowed
 
 
 def _blend(oldest_first: list[Column], alpha: float) -> Column:
@@ -23,16 +23,15 @@ def smoothed(
     name: str = "trend",
     points: int = schemas.TREND_WINDOW,
     alpha: float = schemas.TREND_ALPHA,
-    block_rows: int = BLOCK_ROWS,
+    parts: int | None = None,
 ) -> DataFrame:
     """Add the smoothed mean of the last `points` clamped values; a missing value counts as 0."""
     ready = df.withColumn("_v", clamp01(F.coalesce(F.col(value), F.lit(0.0))))
 
-    def trend(window):
-        back = [F.lag("_v", i).over(window) for i in range(points - 1, 0, -1)]
-        return {name: _blend([*back, F.col("_v")], alpha)}
+    def trend(before, rows):
+        return {name: _blend([*(before("_v", i) for i in range(points - 1, 0, -1)), F.col("_v")], alpha)}
 
-    return windowed(ready, keys, order, points - 1, trend, block_rows).drop("_v")
+    return windowed(ready, keys, order, points - 1, ["_v"], trend, parts).drop("_v")
 
 
 def smooth_array(values: Column, alpha: float = schemas.TREND_ALPHA) -> Column:
@@ -57,7 +56,11 @@ def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def trend_card(df: DataFrame, value: str, keys: list[str], order: list[str], points: int = schemas.TREND_POINTS):
     """Current, mean and peak of the newest clamped points."""
-    kept = last_n(df.select(*keys, *order, value), keys, order, points)
+    return card_of(last_n(df.select(*keys, *order, value), keys, order, points), value, keys)
+
+
+def card_of(kept: DataFrame, value: str, keys: list[str]):
+    """The card of rows that are chosen already, `rank` 1 for the newest."""
     kept = kept.withColumn("_v", clamp01(F.coalesce(F.col(value), F.lit(0.0))))
     return kept.groupBy(*keys).agg(
         F.min_by("_v", "rank").alias("current_value"),
@@ -67,18 +70,13 @@ def trend_card(df: DataFrame, value: str, keys: list[str], order: list[str], poi
     )
 
 
-def skip_repeats(df: DataFrame, keys: list[str], order: list[str], message_id: str, block_rows: int = BLOCK_ROWS):
+def skip_repeats(df: DataFrame, keys: list[str], order: list[str], message_id: str, parts: int | None = None):
     """Drop rows whose id equals that of the row before, per key."""
 
-    def previous(window):
-        return {
-            "_previous": F.lag(message_id).over(window),
-            "_first": F.lag(F.lit(1)).over(window).isNull(),
-        }
+    def repeats(before, rows):
+        return {"_repeat": (rows > 0) & F.col(message_id).eqNullSafe(before(message_id, 1))}
 
-    marked = windowed(df, keys, order, 1, previous, block_rows)
-    changed = ~F.col(message_id).eqNullSafe(F.col("_previous"))
-    return marked.where(F.col("_first") | changed).drop("_previous", "_first")
+    return windowed(df, keys, order, 1, [message_id], repeats, parts).where(~F.col("_repeat")).drop("_repeat")
 
 
 def milestones(df: DataFrame, keys: list[str], order: list[str], every: int) -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from floeline import schemas
-from floeline.functions.geometry import inside
+from floeline.functions.geometry import inside, near
 
 
 def zone_edges(spark: SparkSession, zones: dict = schemas.SCORING_ZONES) -> DataFrame:
@@ -21,3 +21,32 @@ def mark_zone(df: DataFrame, edges: DataFrame, x: str = "x", y: str = "y") -> Da
     """Add `in_zone` for normalised points; a camera without a zone has none inside."""
     joined = df.join(edges, "cam_id", "left")
     return joined.withColumn("in_zone", inside(F.col(x), F.col(y), F.col("edges"))).drop("edges")
+
+
+def mark_widened(
+    df: DataFrame, edges: DataFrame, width: int, height: int, size: int = schemas.ZONE_WIDENING, x: str = "x", y: str = "y"
+) -> DataFrame:
+    """Add `in_zone` and `in_widened` for normalised points of frames of width x height pixels.
+
+    The zone is widened by a round kernel of `size` pixels (an even size is taken one larger): all that lies
+    within half of it from the outline belongs to it too.
+    """
+    joined = df.join(edges, "cam_id", "left")
+    px, py = F.col(x), F.col(y)
+    joined = joined.withColumn("in_zone", inside(px, py, F.col("edges")))
+    wide = F.col("in_zone") | near(px, py, F.col("edges"), width, height, (size | 1) // 2)
+    return joined.withColumn("in_widened", wide).drop("edges")
+
+
+def blocked_pixels(edges: DataFrame, width: int, height: int, widen: int = 0) -> DataFrame:
+    """One row per camera with a row-major array of flags: does the centre of the pixel lie in the zone?
+
+    With `widen`, in the zone widened by a kernel of that size.
+    """
+    def flag(i):
+        x, y = (i % width + 0.5) / width, (F.floor(i / width) + 0.5) / height
+        found = inside(x, y, F.col("edges"))
+        return found | near(x, y, F.col("edges"), width, height, (widen | 1) // 2) if widen else found
+
+    every = F.sequence(F.lit(0), F.lit(width * height - 1))
+    return edges.select("cam_id", F.transform(every, flag).alias("blocked"))

@@ -6,16 +6,16 @@ from floeline import schemas
 from floeline.functions import levels, scoring
 from floeline.functions.numbers import clamp01
 from floeline.functions.times import freshness, lag_seconds
-from floeline.operators.ordering import BLOCK_ROWS, last_n
+from floeline.operators.ordering import last_n
 from floeline.operators.trend import smooth_array, smoothed
 
 
-def frame_loads(frames: DataFrame, as_of: Column, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def frame_loads(frames: DataFrame, as_of: Column, parts: int | None = None) -> DataFrame:
     """Trend, freshness and display load at every frame."""
     scored = scoring.scene_metrics(frames).select(
         "frame_id", "cam_id", "ts", clamp01(F.col("field_cover")).alias("field_cover"), "scene_pressure"
     )
-    trended = smoothed(scored, "field_cover", ["cam_id"], ["ts", "frame_id"], block_rows=block_rows)
+    trended = smoothed(scored, "field_cover", ["cam_id"], ["ts", "frame_id"], parts=parts)
     fresh = freshness(lag_seconds(as_of, F.col("ts")))
     return trended.withColumn("freshness", fresh).withColumn(
         "display_load",

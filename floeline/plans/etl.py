@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from floeline import schemas
-from floeline.operators import cleaning, reports
+from floeline.operators import cleaning, reports, zone_map
 from floeline.sources import readers, scratch, tables
-
-FIRST_DAY = "DATE'1900-01-01'"
+from floeline.sources.tables import only
 
 
 @dataclass
@@ -45,31 +44,28 @@ def load(
     if has_detections:
         kept = cleaning.clean_detections(raw_detections, threshold)
         tables.overwrite_partitions(kept, f"{database}.detections")
-    frames = cleaning.clean_frames(raw_frames)
-    tables.overwrite_partitions(frames, f"{database}.frames")
+    frames = store_frames(raw_frames, database)
     # read again rather than cached: the summary needs four narrow columns and no pixel map
     _write_summary(frames, database, count_vessel)
     return EtlRun(ran=True, wrote_detections=has_detections)
 
 
-def only(df: DataFrame, keys: DataFrame, columns=tables.PARTITION_COLUMNS) -> DataFrame:
-    """Rows of `df` whose partition is in `keys`.
+def store_frames(raw_frames: DataFrame, database: str) -> DataFrame:
+    """Overwrite the partitions that the raw frames hold, and the times of their days; gives the cleaned rows.
 
-    Plain equality and a range on the side of the keys let Spark prune partitions while it runs, for
-    any number of them. Keys with a NULL or an older date are rare and get a branch of their own.
+    The times come from the table, which may hold more cameras of a day.
     """
-    plain = F.expr(f"dt >= {FIRST_DAY}")
-    for column in columns:
-        plain = plain & F.col(column).isNotNull()
-    odd = ~F.coalesce(plain, F.lit(False))
-    named = {c: f"_{c}" for c in columns}
-    right = keys.select(*columns).distinct()
-    usual = df.join(right.where(plain), list(columns), "left_semi")
-    others = right.where(odd).withColumnsRenamed(named)
-    match = F.lit(True)
-    for column, other in named.items():
-        match = match & F.col(column).eqNullSafe(F.col(other))
-    return usual.select(*df.columns).unionByName(df.where(odd).join(others, match, "left_semi"))
+    spark = raw_frames.sparkSession
+    frames = cleaning.clean_frames(raw_frames)
+    tables.overwrite_partitions(frames, f"{database}.frames")
+    path = scratch.folder(spark, "days")
+    try:
+        frames.select("dt").distinct().write.parquet(path)
+        days = spark.read.schema("dt date").parquet(path)
+        zone_map.refresh(only(spark.table(f"{database}.frames"), days, ("dt",)), database)
+    finally:
+        scratch.drop(spark, path)
+    return frames
 
 
 def refresh(
@@ -98,6 +94,7 @@ def refresh(
         tables.overwrite_partitions(cleaning.clean_frames(frames), f"{database}.frames")
         days = only(spark.table(f"{database}.frames"), keys, ("dt",))
         _write_summary(days, database, count_vessel)
+        zone_map.refresh(days, database)
     finally:
         scratch.drop(spark, path)
 

@@ -10,6 +10,13 @@ def _zone_rows(zones: dict = schemas.SCORING_ZONES) -> str:
     return ", ".join(rows)
 
 
+# the zones once more, written out: corners in order, each with the next
+_WIDE_ZONES = """
+    ('cam_a', 0.38::DOUBLE, 0.00::DOUBLE, 1.00::DOUBLE, 0.00::DOUBLE), ('cam_a', 1.00, 0.00, 1.00, 1.00),
+    ('cam_a', 1.00, 1.00, 0.64, 1.00), ('cam_a', 0.64, 1.00, 0.46, 0.53), ('cam_a', 0.46, 0.53, 0.38, 0.00),
+    ('cam_b', 0.00, 0.00, 0.58, 0.00), ('cam_b', 0.58, 0.00, 0.46, 0.55), ('cam_b', 0.46, 0.55, 0.56, 1.00),
+    ('cam_b', 0.56, 1.00, 0.00, 1.00), ('cam_b', 0.00, 1.00, 0.00, 0.00)"""
+
 _CTES = {
     "ev": """
         SELECT event_id AS frame_id, ts, event_type, value, user_id, props,
@@ -218,6 +225,26 @@ _COUNTS = """
     SELECT 'detections' AS table_name, count(*) AS rows FROM cleaned
     UNION ALL SELECT 'frames', count(*) FROM frames
     UNION ALL SELECT 'hourly_summary', count(*) FROM hourly"""
+def _mixed(counter: str, stream: int, seed: int) -> str:
+    start = (stream * 7919999 + seed * 104729 + 12345) % 2147483647
+    h = f"(({counter}) % 2147483647 * 48271 + ({counter}) // 2147483647 % 2147483647 * 1000003 + {start}) % 2147483647"
+    for multiplier, shift in ((69621, 16), (39373, 15)):
+        h = f"(xor(({h}), ({h}) >> {shift}) * {multiplier}) % 2147483647"
+    return f"xor(({h}), ({h}) >> 13) % 2147483647"
+
+
+_FEISTEL = ", ".join(
+    f"r{i + 1} AS (SELECT event_id, trial, executors, b AS a, xor(a, {_mixed('b', 1000 + i, 42)}) AS b FROM r{i})" for i in range(4)
+)
+_SYNTHETIC = f"""
+    SELECT CASE WHEN event_id % 2 = 0 THEN 'cam_a' ELSE 'cam_b' END AS cam_id,
+           0.4::DOUBLE + 0.6::DOUBLE * (({_mixed("event_id", 2, 7)}) / 2147483647::DOUBLE) AS confidence,
+           (100 + ((({_mixed("event_id", 3, 7)}) * 50000) >> 31))::INTEGER AS area_pixels,
+           ({_mixed("event_id", 4, 7)}) / 2147483647::DOUBLE AS ice_conc,
+           ({_mixed("event_id", 5, 7)}) / 2147483647::DOUBLE AS ice_severity,
+           strftime(DATE '2024-01-01' + ((({_mixed("event_id", 1, 7)}) * 30) >> 31)::INTEGER, '%Y-%m-%d') AS dt,
+           (['vessel', 'ice_field', 'broken_ice', 'slush_ice'])[1 + ((({_mixed("event_id", 6, 7)}) * 4) >> 31)] AS class_name
+    FROM events"""
 _HOURLY = (
     f"SELECT hour, cam_id, {_snap('avg_ice_conc')}, max_ice_conc, {_snap('avg_severity')}, "
     "0::BIGINT AS vessel_frames, total_frames, danger_level FROM hourly"
@@ -258,6 +285,10 @@ _SELECTS = {
                quantile_disc(area_pixels, 0.75) AS p75, quantile_disc(area_pixels, 0.95) AS p95,
                max(area_pixels) AS max_area
         FROM cleaned GROUP BY 1""",
+    "area_percentile_ranks": """
+        SELECT class_name, count(*) AS areas, max(area_pixels) AS max_area, 25::BIGINT AS p25_rank,
+               50::BIGINT AS median_rank, 75::BIGINT AS p75_rank, 95::BIGINT AS p95_rank
+        FROM cleaned GROUP BY 1""",
     "hour_of_day_profile": f"""
         SELECT hour(hour)::INTEGER AS hour_of_day, cam_id, {_snap("avg(avg_ice_conc)", "mean_conc")},
                {_snap("avg(avg_severity)", "mean_severity")}, count(*) AS hours_recorded
@@ -383,6 +414,20 @@ _SELECTS = {
                count(*) AS points
         FROM (SELECT cam_id, age_rank, greatest(0.0, least(field_cover, 1.0))::DOUBLE AS v FROM trends)
         WHERE age_rank <= 60 GROUP BY 1""",
+    "stored_last_points": """
+        SELECT cam_id, ts, ice_conc, ice_severity,
+               (row_number() OVER (PARTITION BY cam_id ORDER BY ts DESC))::INTEGER AS rank
+        FROM frames QUALIFY row_number() OVER (PARTITION BY cam_id ORDER BY ts DESC) <= 60""",
+    "stored_trend_card": f"""
+        SELECT cam_id, arg_min(v, age) AS current_value, {_snap("avg(v)", "mean_value")}, max(v) AS peak_value, count(*) AS points
+        FROM (SELECT cam_id, greatest(0.0, least(ice_conc, 1.0))::DOUBLE AS v,
+                     row_number() OVER (PARTITION BY cam_id ORDER BY ts DESC) AS age FROM frames)
+        WHERE age <= 60 GROUP BY 1""",
+    "stored_recent_stats": f"""
+        SELECT cam_id, a.db_rows, a.last_db_ts, r.cnt, r.avg_conc, r.avg_sev
+        FROM (SELECT cam_id, count(*) AS db_rows, max(ts) AS last_db_ts FROM frames GROUP BY 1) a
+        LEFT JOIN (SELECT cam_id, count(*) AS cnt, {_snap("avg(ice_conc)", "avg_conc")}, {_snap("avg(ice_severity)", "avg_sev")}
+                   FROM frames WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY 1) r USING (cam_id)""",
     "skip_repeats": """
         SELECT cam_id, ts, frame_id, frame_id // 2 AS msg_id FROM frames
         QUALIFY frame_id // 2 IS DISTINCT FROM
@@ -421,8 +466,56 @@ _SELECTS = {
         SELECT ts, c.cam_id, class_name, x, y,
                count_if((e.y1 > y) <> (e.y2 > y)
                         AND x < (e.x2 - e.x1) * (y - e.y1) / nullif(e.y2 - e.y1, 0) + e.x1) % 2 = 1 AS in_zone
-        FROM centres c JOIN (VALUES {_zone_rows()}) e(cam_id, x1, y1, x2, y2) ON e.cam_id = c.cam_id
+        FROM centres c JOIN (VALUES {_WIDE_ZONES}) e(cam_id, x1, y1, x2, y2) ON e.cam_id = c.cam_id
         GROUP BY frame_id, ts, c.cam_id, class_name, x, y""",
+    "zone_widened": f"""
+        WITH pairs AS (
+            SELECT frame_id, ts, c.cam_id, class_name, x, y, e.x1, e.y1, e.x2, e.y2,
+                   e.x2 * 1280 - e.x1 * 1280 AS dx, e.y2 * 720 - e.y1 * 720 AS dy
+            FROM centres c JOIN (VALUES {_WIDE_ZONES}) e(cam_id, x1, y1, x2, y2) ON e.cam_id = c.cam_id),
+        placed AS (
+            SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE,
+                       ((x * 1280 - x1 * 1280) * dx + (y * 720 - y1 * 720) * dy) / (dx * dx + dy * dy))) AS t
+            FROM pairs),
+        apart AS (
+            SELECT *, x * 1280 - (x1 * 1280 + t * dx) AS ox, y * 720 - (y1 * 720 + t * dy) AS oy FROM placed),
+        judged AS (
+            SELECT ts, cam_id, class_name, x, y,
+                   count_if((y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / nullif(y2 - y1, 0) + x1) % 2 = 1 AS in_zone,
+                   bool_or(ox * ox + oy * oy <= 3025) AS close
+            FROM apart GROUP BY frame_id, ts, cam_id, class_name, x, y)
+        SELECT ts, cam_id, class_name, x, y, in_zone, in_zone OR close AS in_widened FROM judged""",
+    "solid_regions": """
+        WITH RECURSIVE kernels(code, size, turn) AS (VALUES (1, 5, 1), (2, 3, 2), (3, 3, 3)),
+        px AS (SELECT frame_id, i % 8 AS x, i // 8 AS y, m.code AS was, k.code, m.code = k.code AS set
+               FROM mask_pixels m, kernels k),
+        free AS (
+            SELECT frame_id, code, x, y FROM px WHERE NOT set AND (x IN (0, 7) OR y IN (0, 7))
+            UNION
+            SELECT p.frame_id, p.code, p.x, p.y FROM free f JOIN px p
+                ON p.frame_id = f.frame_id AND p.code = f.code AND abs(p.x - f.x) + abs(p.y - f.y) = 1 AND NOT p.set),
+        whole AS (SELECT p.frame_id, p.code, p.x, p.y FROM px p ANTI JOIN free f USING (frame_id, code, x, y)),
+        kernel(size, dx, dy) AS (
+            VALUES (3, 0, -1), (3, -1, 0), (3, 0, 0), (3, 1, 0), (3, 0, 1), (5, 0, -2), (5, 0, 2), (5, -2, -1), (5, -1, -1),
+                   (5, 0, -1), (5, 1, -1), (5, 2, -1), (5, -2, 0), (5, -1, 0), (5, 0, 0), (5, 1, 0), (5, 2, 0),
+                   (5, -2, 1), (5, -1, 1), (5, 0, 1), (5, 1, 1), (5, 2, 1)),
+        wide AS (
+            SELECT DISTINCT frame_id, code, x + dx AS x, y + dy AS y
+            FROM whole JOIN kernels USING (code) JOIN kernel USING (size) WHERE x + dx BETWEEN 0 AND 7 AND y + dy BETWEEN 0 AND 7),
+        narrow AS (
+            SELECT p.frame_id, p.code, p.x, p.y
+            FROM px p JOIN kernels k USING (code) JOIN kernel e USING (size)
+            LEFT JOIN wide w ON w.frame_id = p.frame_id AND w.code = p.code AND w.x = p.x + dx AND w.y = p.y + dy
+            WHERE p.x + dx BETWEEN 0 AND 7 AND p.y + dy BETWEEN 0 AND 7
+            GROUP BY ALL HAVING bool_and(w.x IS NOT NULL)),
+        owned AS (
+            SELECT frame_id, x, y, min(code) AS code FROM narrow SEMI JOIN (SELECT * FROM px WHERE was <> 4) USING (frame_id, code, x, y)
+            WHERE EXISTS (SELECT 1 FROM px p WHERE p.frame_id = narrow.frame_id AND p.code = narrow.code AND p.set)
+            GROUP BY ALL)
+        SELECT frame_id, CASE code WHEN 1 THEN 'ice_field' WHEN 2 THEN 'broken_ice' ELSE 'slush_ice' END AS class_name,
+               min(x)::INTEGER AS bbox_x1, min(y)::INTEGER AS bbox_y1, max(x)::INTEGER AS bbox_x2, max(y)::INTEGER AS bbox_y2,
+               count(*)::INTEGER AS area_pixels
+        FROM owned GROUP BY frame_id, code""",
     "box_rescale": """
         SELECT ts, class_name, round_even((area_pixels // 100) * 14.0625::DOUBLE, 0)::INTEGER AS area_pixels,
                round_even(bbox_x1 * 3.75::DOUBLE, 0)::INTEGER AS bbox_x1,
@@ -473,15 +566,21 @@ _SELECTS = {
         SELECT executors, {_snap("regr_r2(time_median_s, rows::DOUBLE)", "r2")},
                {_snap("regr_slope(time_median_s, rows::DOUBLE) * 1e6", "seconds_per_row")}
         FROM timing_summary GROUP BY 1""",
-    "synthetic_profile": """
-        SELECT CASE WHEN event_id % 2 = 0 THEN 'cam_a' ELSE 'cam_b' END AS cam_id, count(*) AS rows,
-               4::BIGINT AS classes, true AS confidence_ok, true AS area_ok, true AS scores_ok
-        FROM events GROUP BY 1""",
-    "shuffled_trials": """
+    "synthetic_detections": f"SELECT * FROM ({_SYNTHETIC})",
+    "synthetic_profile": f"""
+        SELECT cam_id, class_name, count(*) AS rows, count(DISTINCT dt) AS days,
+               {_snap("min(confidence)", "least_confidence")}, {_snap("max(confidence)", "largest_confidence")},
+               min(area_pixels) AS least_area, max(area_pixels) AS largest_area, sum(area_pixels)::BIGINT AS area,
+               {_snap("avg(ice_conc)", "mean_conc")}, {_snap("avg(ice_severity)", "mean_severity")}
+        FROM ({_SYNTHETIC}) GROUP BY 1, 2""",
+    "shuffled_trials": f"""
+        WITH r0 AS (SELECT *, ((trial - 1) * 8 + (executors - 1) * 4 + event_id % 4) >> 31 AS a,
+                           ((trial - 1) * 8 + (executors - 1) * 4 + event_id % 4) & 2147483647 AS b
+                    FROM (SELECT event_id, event_id // 8 + 1 AS trial, (1 + (event_id // 4) % 2)::INTEGER AS executors FROM events)),
+        {_FEISTEL}
         SELECT CASE event_id % 4 WHEN 0 THEN 100000 WHEN 1 THEN 250000 WHEN 2 THEN 500000 ELSE 1000000 END::BIGINT AS rows,
-               (1 + (event_id // 4) % 2)::INTEGER AS executors, count(*) AS trials,
-               sum(event_id // 8 + 1)::BIGINT AS trial_sum, true AS keyed
-        FROM events GROUP BY 1, 2""",
+               executors, trial, a * 2147483648 + b AS run_order_key
+        FROM r4""",
     "training_rows": f"""
         SELECT {_snap("avg_ice_conc")}, max_ice_conc, {_snap("avg_severity")}, total_frames, danger_level,
                'hourly_summary' AS source_table
@@ -509,12 +608,24 @@ _SELECTS = {
     "stream_latest": """
         SELECT cam_id, ts, ice_conc, ice_severity, vessel_present FROM frames
         QUALIFY row_number() OVER (PARTITION BY cam_id ORDER BY ts DESC) = 1""",
+    "stream_hourly": f"""
+        SELECT hour, cam_id, {_snap("avg_ice_conc")}, max_ice_conc, {_snap("avg_severity")},
+               vessel_count::BIGINT AS vessel_frames, total_frames, danger_level FROM hourly""",
     "live_metrics_roundtrip": """
         SELECT ts, cam_id, ice_conc, ice_severity, vessel_present, ice_field, vessel FROM frames""",
 }
 
 
 def statements() -> dict[str, str]:
-    """One self-contained statement per query."""
-    prefix = "WITH " + ",\n".join(f"{name} AS ({body})" for name, body in _CTES.items())
-    return {name: f"{prefix}\n{select}" for name, select in _SELECTS.items()}
+    """One self-contained statement per query; tables that a query defines for itself come after the shared ones."""
+    shared = ",\n".join(f"{name} AS ({body})" for name, body in _CTES.items())
+    out = {}
+    for name, select in _SELECTS.items():
+        own = select.strip()
+        if own.startswith("WITH "):
+            own = own.removeprefix("WITH ")
+            kind = "WITH RECURSIVE" if own.startswith("RECURSIVE ") else "WITH"
+            out[name] = f"{kind} {shared},\n{own.removeprefix('RECURSIVE ')}"
+        else:
+            out[name] = f"WITH {shared}\n{select}"
+    return out

@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from floeline import schemas
 from floeline.functions import geometry, levels, scoring, times
-from floeline.operators import cleaning, experiment, live, messages, reports, rollup, surface, trend, zones
+from floeline.operators import cleaning, experiment, live, messages, reports, rollup, surface, trend, zone_map, zones
 from floeline.plans import dashboard, etl, model
-from floeline.sources import derived, scratch, synthetic, tables
+from floeline.sources import derived, readers, scratch, synthetic, tables
 from floeline.streaming import normaliser
 from floeline.streaming import tables as stream_tables
 
@@ -75,6 +75,24 @@ def area_percentiles(spark, sf):
     return reports.area_percentiles(_cleaned(spark, sf))
 
 
+def area_percentile_ranks(spark, sf):
+    """Where the approximate percentiles really stand: shares of the rows up to each, in whole per cent.
+
+    The sketches are stored per day and merged from there.
+    """
+    cleaned = _cleaned(spark, sf)
+    stored = scratch.folder(spark, "sketches")
+    reports.area_sketches(cleaned, size=4000).write.partitionBy("dt").parquet(stored)
+    approx = reports.area_percentiles_merged(spark.read.parquet(stored))
+    rows = cleaned.select("class_name", "area_pixels").join(approx, "class_name")
+    shares = {name: F.count_if(F.col("area_pixels") <= F.col(name)) / F.count(F.lit(1)) for name in reports.AREA_PROBS}
+    return rows.groupBy("class_name").agg(
+        F.count(F.lit(1)).alias("areas"),
+        F.max("max_area").cast("int").alias("max_area"),
+        *[F.floor(share * 100 + 0.5).alias(f"{name}_rank") for name, share in shares.items()],
+    )
+
+
 def hour_of_day_profile(spark, sf):
     return snapped(reports.hour_of_day_profile(_hourly(spark, sf)), "mean_conc", "mean_severity")
 
@@ -308,6 +326,37 @@ def trend_card(spark, sf):
     return snapped(card, "mean_value")
 
 
+def _frame_store(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """The frame table by day and camera, and the times of its partitions; the second half of the month comes late and first."""
+    database, middle = _database(), F.lit("2024-01-16").cast("date")
+    tables.create_tables(spark, database, scratch.folder(spark, "warehouse"))
+    raw = _as_raw(derived.raw_frames(spark, sf))
+    etl.store_frames(raw.where(F.col("dt") >= middle), database)
+    etl.store_frames(raw.where(F.col("dt") < middle), database)
+    return spark.table(f"{database}.frames"), zone_map.stored(spark, database)
+
+
+def stored_last_points(spark, sf):
+    """The newest points of each camera from the few partitions that hold them."""
+    rows = zone_map.newest_of(*_frame_store(spark, sf), ["cam_id"], ["ts"], schemas.TREND_POINTS)
+    return rows.select("cam_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "ice_conc", "ice_severity", "rank")
+
+
+def stored_trend_card(spark, sf):
+    kept = zone_map.newest_of(*_frame_store(spark, sf), ["cam_id"], ["ts"], schemas.TREND_POINTS)
+    return snapped(trend.card_of(kept, "ice_conc", ["cam_id"]), "mean_value")
+
+
+def stored_recent_stats(spark, sf):
+    """The trailing hour, and all rows per camera without reading them."""
+    table, zone_rows = _frame_store(spark, sf)
+    as_of = zone_map.latest(zone_rows)
+    start = as_of - F.make_dt_interval(hours=F.lit(1))
+    recent = live.recent_stats(zone_map.since(table, zone_rows, start, ["cam_id"]), as_of)
+    joined = zone_map.totals(zone_rows, ["cam_id"]).join(recent, "cam_id", "left")
+    return snapped(joined.withColumn("last_db_ts", F.col("last_db_ts").cast("timestamp_ntz")), "avg_conc", "avg_sev")
+
+
 def skip_repeats(spark, sf):
     narrow = derived.frames(spark, sf).select(
         "cam_id", "ts", "frame_id", F.floor(F.col("frame_id") / 2).alias("msg_id")
@@ -353,6 +402,23 @@ def zone_filter(spark, sf):
     return zones.mark_zone(boxes, zones.zone_edges(spark))
 
 
+def zone_widened(spark, sf):
+    """Centres of boxes against the zones and the zones widened by the kernel, in frames of 1280 x 720."""
+    boxes = derived.detections(spark, sf).select(
+        "ts",
+        "cam_id",
+        "class_name",
+        ((F.col("bbox_x1") + F.col("bbox_x2")) / 2560.0).alias("x"),
+        ((F.col("bbox_y1") + F.col("bbox_y2")) / 1440.0).alias("y"),
+    )
+    return zones.mark_widened(boxes, zones.zone_edges(spark), 1280, 720)
+
+
+def solid_regions(spark, sf):
+    kernels = {"ice_field": 5, "broken_ice": 3, "slush_ice": 3}
+    return surface.solid_regions(derived.masks(spark, sf), ["frame_id"], 8, kernels)
+
+
 def box_rescale(spark, sf):
     found = derived.detections(spark, sf)
     src, dst = (F.lit(512), F.lit(288)), (F.lit(1920), F.lit(1080))
@@ -438,13 +504,11 @@ def linearity(spark, sf):
 
 
 def shuffled_trials(spark, sf):
-    """The multiset of the shuffled trials, and whether all have a key of the seeded order."""
-    mixed = experiment.shuffled(derived.scaling_trials(spark, sf))
-    return mixed.groupBy("rows", "executors").agg(
-        F.count(F.lit(1)).alias("trials"),
-        F.sum("trial").cast("long").alias("trial_sum"),
-        F.bool_and((F.col("run_order_key") >= 0) & (F.col("run_order_key") < 1)).alias("keyed"),
-    )
+    """The trials with their place in the seeded order; no two have the same."""
+    trials = derived.scaling_trials(spark, sf)
+    sizes = F.array(*[F.lit(n) for n in (100_000, 250_000, 500_000, 1_000_000)])
+    index = (F.col("trial") - 1) * 8 + (F.col("executors") - 1) * 4 + F.array_position(sizes, F.col("rows").cast("int")) - 1
+    return experiment.shuffled(trials, 42, index).select("rows", "executors", "trial", "run_order_key")
 
 
 def _random_detections(spark, sf):
@@ -457,16 +521,19 @@ def synthetic_detections(spark, sf):
 
 
 def synthetic_profile(spark, sf):
-    """What must hold of the random rows whatever the draws."""
     return (
         _random_detections(spark, sf)
-        .groupBy("cam_id")
+        .groupBy("cam_id", "class_name")
         .agg(
             F.count(F.lit(1)).alias("rows"),
-            F.count_distinct("class_name").alias("classes"),
-            F.bool_and(F.col("confidence").between(0.4, 1.0)).alias("confidence_ok"),
-            F.bool_and(F.col("area_pixels").between(100, 50_099)).alias("area_ok"),
-            F.bool_and(F.col("ice_conc").between(0, 1) & F.col("ice_severity").between(0, 1)).alias("scores_ok"),
+            F.count_distinct("dt").alias("days"),
+            snap(F.min("confidence")).alias("least_confidence"),
+            snap(F.max("confidence")).alias("largest_confidence"),
+            F.min("area_pixels").alias("least_area"),
+            F.max("area_pixels").alias("largest_area"),
+            F.sum("area_pixels").alias("area"),
+            snap(F.avg("ice_conc")).alias("mean_conc"),
+            snap(F.avg("ice_severity")).alias("mean_severity"),
         )
     )
 
@@ -599,8 +666,7 @@ def stream_detections(spark, sf):
     base = _message_folder(spark, sf)
     source = normaliser.text_messages(spark, f"{base}/in")
     normaliser.drain([normaliser.start_single_read(source, base, once=True)])
-    stored = spark.read.schema(schemas.RAW_DETECTIONS).parquet(f"{base}/raw/ice_detections")
-    return _wall(stored.drop("batch"))
+    return _wall(readers.raw_detections(spark, f"{base}/raw/ice_detections"))
 
 
 def stream_latest(spark, sf):
@@ -612,6 +678,22 @@ def stream_latest(spark, sf):
     return newest.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
+def stream_hourly(spark, sf):
+    """The hourly summary kept up to date by a stream: two halves of the month arrive, then nothing new."""
+    base = scratch.folder(spark, "stream")
+    sent, middle = derived.timed_messages(spark, sf), F.lit("2024-01-16").cast("date")
+    for late in (False, True):
+        day = F.to_date(F.timestamp_seconds("ts"))
+        part = sent.where(day >= middle if late else day < middle)
+        normaliser.write_messages(part, f"{base}/in")
+        frames = messages.frames(messages.parse(normaliser.text_messages(spark, f"{base}/in")))
+        stream_tables.hourly_summary(
+            frames, f"{base}/hourly", f"{base}/checkpoint", count_vessel=True, once=True
+        ).awaitTermination()
+    hourly = stream_tables.read_hourly(spark, f"{base}/hourly")
+    return snapped(hourly.withColumn("hour", F.col("hour").cast("timestamp_ntz")), "avg_ice_conc", "avg_severity")
+
+
 def live_metrics_roundtrip(spark, sf):
     """Result entries as text fields, stored by date and read back."""
     base = scratch.folder(spark, "live")
@@ -626,7 +708,7 @@ def live_metrics_roundtrip(spark, sf):
     entries.write.parquet(f"{base}/in")
     stream = spark.readStream.schema(entries.schema).parquet(f"{base}/in")
     stream_tables.live_metrics(stream, f"{base}/out", f"{base}/checkpoint", once=True).awaitTermination()
-    stored = spark.read.schema(schemas.LIVE_METRICS).parquet(f"{base}/out")
+    stored = stream_tables.read_metrics(spark, f"{base}/out")
     pixels = stored.withColumn("pixels", messages.pixel_map(F.col("pixels_json")))
     return pixels.select(
         F.col("ts").cast("timestamp_ntz").alias("ts"),
@@ -642,7 +724,7 @@ def live_metrics_roundtrip(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        hourly_summary, hourly_vessels, danger_hours, class_distribution, area_percentiles,
+        hourly_summary, hourly_vessels, danger_hours, class_distribution, area_percentiles, area_percentile_ranks,
         hour_of_day_profile, daily_summary, camera_means, camera_compare,
         camera_history, recent_stats, camera_status, waiting_alert, camera_rows, service_health,
         system_snapshot, recent_logs,
@@ -650,13 +732,13 @@ QUERIES = {
         tracked_detections, frame_totals,
         scene_kpis, scene_labels, frame_levels, metric_levels, queue_lag, parsed_times,
         field_trend, display_load, camera_cards, fleet_rollup, worst_camera, summary_note,
-        latest_per_camera, last_n_points, trend_card, skip_repeats, frame_milestones,
-        mask_histogram, region_bbox, mask_detections, median_split, zone_filter, box_rescale, box_mirror,
+        latest_per_camera, last_n_points, trend_card, stored_last_points, stored_trend_card, stored_recent_stats, skip_repeats, frame_milestones,
+        mask_histogram, region_bbox, mask_detections, solid_regions, median_split, zone_filter, zone_widened, box_rescale, box_mirror,
         fit_dimensions,
         class_camera_rollup, latency_summary, latency_distinct, joined_trials, trial_summary,
         speedup_pivot, linearity, shuffled_trials, synthetic_detections, synthetic_profile,
         training_rows, training_frames, danger_model_sweep,
         etl_overwrite_roundtrip, table_counts, etl_hourly_table, incremental_refresh,
-        stream_roundtrip, stream_detections, stream_latest, live_metrics_roundtrip,
+        stream_roundtrip, stream_detections, stream_latest, stream_hourly, live_metrics_roundtrip,
     )
 }

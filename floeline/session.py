@@ -1,6 +1,7 @@
 """Session settings the library is written for."""
 
 import os
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -17,6 +18,14 @@ SETTINGS = {
 }
 
 
+def reachable() -> None:
+    """Lets Python workers find the package where the driver found it; a cluster gets it by --py-files or an install."""
+    own, known = str(Path(__file__).resolve().parents[1]), SparkSession.active().sparkContext.environment
+    paths = [p for p in known.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if own not in paths:
+        known["PYTHONPATH"] = os.pathsep.join([*paths, own])
+
+
 def session(app: str = "floeline", master: str | None = None, **extra: str) -> SparkSession:
     """Build or reuse a session; `extra` keys use `__` in place of dots."""
     builder = SparkSession.builder.appName(app)
@@ -27,9 +36,9 @@ def session(app: str = "floeline", master: str | None = None, **extra: str) -> S
     return builder.getOrCreate()
 
 
-def shuffle_width(input_bytes: int, target: int = 128 * 1024**2) -> int:
+def shuffle_width(input_bytes: int, target: int = 128 * 1024**2, least: int = 200) -> int:
     """Starting number of shuffle partitions for an input; adaptive execution merges small ones."""
-    return max(200, -(-input_bytes // target))
+    return max(least, -(-input_bytes // target))
 
 
 def cluster_session(app: str = "floeline", input_bytes: int = 0, **extra: str) -> SparkSession:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _own_roots: dict[str, str] = {}
 _used: dict[str, list[str]] = {}
+_tables: dict[str, list[str]] = {}
 
 
 def root(spark: SparkSession) -> str:
@@ -46,6 +47,19 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stage_by(df: DataFrame, label: str, by: str, parts: int, order: str) -> DataFrame:
+    """Write `df` once in `parts` buckets of the column `by`; what later groups by it needs no shuffle.
+
+    Only a catalog table knows its buckets, so there is one until `release`.
+    """
+    spark = df.sparkSession
+    path = folder(spark, label)
+    table = f"floeline_{label}_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(parts, by).sortBy(order).option("path", path).saveAsTable(table)
+    _tables.setdefault(spark.sparkContext.applicationId, []).append(table)
+    return spark.table(table)
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Delete one folder before the application ends."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -57,6 +71,8 @@ def drop(spark: SparkSession, path: str) -> None:
 
 def release(spark: SparkSession) -> int:
     """Delete the folders this application made; results built on them must be done."""
+    for table in _tables.pop(spark.sparkContext.applicationId, []):
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     paths = _used.pop(spark.sparkContext.applicationId, [])

@@ -7,13 +7,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from floeline import schemas
 
 PARTITION_COLUMNS = ("dt", "cam_id")
+FIRST_DAY = "DATE'1900-01-01'"
 
 
 def create_tables(spark: SparkSession, database: str, location: str | None = None) -> None:
-    """Create the database and its three tables where they are missing."""
+    """Create the database, its three tables and the times of their partitions where they are missing."""
     where = f" LOCATION '{location}'" if location else ""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}{where}")
-    for name, (columns, partitions) in schemas.TABLES.items():
+    zones = {schemas.ZONE_TABLE: schemas.ZONE_COLUMNS}
+    for name, (columns, partitions) in {**schemas.TABLES, **zones}.items():
         by = ", ".join(part.split()[0] for part in partitions.split(", "))
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {database}.{name} ({columns}, {partitions}) USING parquet PARTITIONED BY ({by})"
@@ -50,6 +52,26 @@ def overwrite_partitions(df: DataFrame, table: str, partitions=PARTITION_COLUMNS
     ordered.hint("rebalance", *[F.col(c) for c in partitions]).write.insertInto(table, overwrite=True)
 
 
+def only(df: DataFrame, keys: DataFrame, columns=PARTITION_COLUMNS) -> DataFrame:
+    """Rows of `df` whose partition is in `keys`.
+
+    Plain equality and a range on the side of the keys let Spark prune partitions while it runs, for
+    any number of them. Keys with a NULL or an older date are rare and get a branch of their own.
+    """
+    plain = F.expr(f"dt >= {FIRST_DAY}")
+    for column in columns:
+        plain = plain & F.col(column).isNotNull()
+    odd = ~F.coalesce(plain, F.lit(False))
+    named = {c: f"_{c}" for c in columns}
+    right = keys.select(*columns).distinct()
+    usual = df.join(right.where(plain), list(columns), "left_semi")
+    others = right.where(odd).withColumnsRenamed(named)
+    match = F.lit(True)
+    for column, other in named.items():
+        match = match & F.col(column).eqNullSafe(F.col(other))
+    return usual.select(*df.columns).unionByName(df.where(odd).join(others, match, "left_semi"))
+
+
 def overwrite_table(df: DataFrame, table: str) -> None:
     df.write.mode("overwrite").format("parquet").saveAsTable(table)
 

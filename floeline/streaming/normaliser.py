@@ -3,11 +3,14 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from floeline import schemas
 from floeline.operators import messages
-from floeline.sources import tables
+from floeline.sources import manifest, tables
 
 TOPIC = "ice.detections"
 TRIGGER = "30 seconds"
+#: Batches after which the folders of a partition are merged.
+MERGE_EVERY = 20
 
 
 def kafka_source_options(
@@ -77,37 +80,42 @@ def start_two_queries(
     ]
 
 
-def store_batch(batch: DataFrame, base: str, run: str, batch_id: int) -> None:
+def store_batch(batch: DataFrame, base: str, run: str, batch_id: int, merge_every: int | None = MERGE_EVERY) -> None:
     """Both parts of a batch, below their day and camera in a folder that only this run and batch write."""
     kept = batch.persist()
+    by = tables.PARTITION_COLUMNS
     try:
-        parts = {"frames": messages.frames(kept), "ice_detections": messages.detections(kept)}
-        for name, rows in parts.items():
-            (
-                rows.withColumn("batch", F.lit(f"{run}-{batch_id}"))
-                .write.mode("overwrite")
-                .option("partitionOverwriteMode", "dynamic")
-                .partitionBy("dt", "cam_id", "batch")
-                .parquet(f"{base}/raw/{name}")
-            )
+        parts = {
+            "frames": (messages.frames(kept), schemas.RAW_FRAMES),
+            "ice_detections": (messages.detections(kept), schemas.RAW_DETECTIONS),
+        }
+        for name, (rows, schema) in parts.items():
+            manifest.append(rows, f"{base}/raw/{name}", by, run, batch_id)
+            manifest.upkeep(batch.sparkSession, f"{base}/raw/{name}", schema, by, batch_id, merge_every)
     finally:
         kept.unpersist()
 
 
 def start_single_read(
-    source: DataFrame, base: str, grain: str = "micro", once: bool = False, every: str = TRIGGER
+    source: DataFrame,
+    base: str,
+    grain: str = "micro",
+    once: bool = False,
+    every: str = TRIGGER,
+    merge_every: int | None = MERGE_EVERY,
 ) -> StreamingQuery:
     """Both sinks from one read of the source.
 
-    A batch that runs again after a failure overwrites its own folders, so nothing is written twice.
-    The name of the run lies in the checkpoint: with a new checkpoint the numbers of batches begin
-    anew, and what earlier runs have stored stays.
+    A batch that runs again after a failure overwrites its own folders and is counted once. The name of the
+    run lies in the checkpoint: with a new checkpoint the numbers of batches begin anew, and what earlier
+    runs have stored stays. After each `merge_every` batches the folders of a partition are merged; the
+    readers of `sources/readers.py` see each row once all the while.
     """
     checkpoint = f"{base}/checkpoints/single"
     run = tables.run_name(source.sparkSession, checkpoint)
     writer = (
         messages.parse(source, grain=grain)
-        .writeStream.foreachBatch(lambda batch, batch_id: store_batch(batch, base, run, batch_id))
+        .writeStream.foreachBatch(lambda batch, batch_id: store_batch(batch, base, run, batch_id, merge_every))
         .option("checkpointLocation", checkpoint)
         .queryName("normaliser")
     )

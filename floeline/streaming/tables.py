@@ -1,71 +1,93 @@
 """Streams that keep tables up to date."""
 
-import time
+import json
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from floeline.operators import messages
-from floeline.sources import scratch
+from floeline import schemas
+from floeline.operators import messages, reports
+from floeline.sources import manifest
 from floeline.sources.tables import run_name
+from floeline.streaming import keyed
 
-
-def _run(writer, checkpoint: str, once: bool, every: str) -> StreamingQuery:
-    writer = writer.option("checkpointLocation", checkpoint)
-    writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)
-    return writer.start()
+#: Batches after which the folders of a day are merged.
+MERGE_EVERY = 20
 
 
 def latest_per_camera(
-    stream: DataFrame, path: str, checkpoint: str, keys=("cam_id",), order=("ts",), once=False, every="30 seconds"
+    stream: DataFrame,
+    path: str,
+    checkpoint: str,
+    keys=("cam_id",),
+    order=("ts",),
+    once=False,
+    every="30 seconds",
+    fold_every: int | None = keyed.FOLD_EVERY,
 ) -> StreamingQuery:
-    """Newest row per key in Parquet, a version per batch, the newest two of which stay. State: one row per key.
-
-    A version counts once it is written completely, so `read_latest` always finds a whole one.
-    """
+    """Newest row per key in Parquet; a batch writes the keys it changed. State: one row per key."""
     rest = [c for c in stream.columns if c not in keys]
     newest = stream.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_row"))
-    spark, begun = stream.sparkSession, time.time_ns() // 1000
+    return keyed.start(newest.select(*keys, "_row.*"), path, checkpoint, tuple(keys), tuple(order), once, every, fold_every)
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        target = f"{path}/{begun + batch_id:020d}"
-        batch.select(*keys, "_row.*").write.mode("overwrite").parquet(target)
-        for old in versions(spark, path)[:-2]:
-            scratch.drop(spark, old)
 
-    writer = newest.writeStream.outputMode("complete").foreachBatch(write)
-    return _run(writer, checkpoint, once, every)
+def read_latest(spark: SparkSession, path: str, schema, keys=("cam_id",), order=("ts",)) -> DataFrame:
+    """The newest row per key; no rows if nothing is stored."""
+    return keyed.read(spark, path, schema, tuple(keys), tuple(order))
+
 
+def hourly_summary(
+    frames: DataFrame,
+    path: str,
+    checkpoint: str,
+    delay: str = "2 hours",
+    count_vessel: bool = False,
+    once: bool = False,
+    every: str = "30 seconds",
+    fold_every: int | None = keyed.FOLD_EVERY,
+) -> StreamingQuery:
+    """The hourly summary of a frame stream, kept up to date while an hour can still change.
+
+    An hour is closed once a frame has come that is later than its end by more than `delay`: its state is
+    dropped, and frames of it that come afterwards are left out and counted (`late_rows`).
+    """
+    hours = frames.withWatermark("ts", delay).groupBy(F.window("ts", "1 hour"), "cam_id")
+    summed = hours.agg(*reports.hourly_figures(count_vessel)).withColumn("hour", F.col("window.start"))
+    return keyed.start(reports.hourly_columns(summed, count_vessel), path, checkpoint, ("hour", "cam_id"), (), once, every, fold_every)
 
-def versions(spark: SparkSession, path: str) -> list[str]:
-    """Folders of complete versions, oldest first."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/*/_SUCCESS")
-    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return sorted(f.getPath().getParent().toString() for f in files.globStatus(folder) or [])
 
+def read_hourly(spark: SparkSession, path: str) -> DataFrame:
+    return keyed.read(spark, path, schemas.HOURLY, ("hour", "cam_id"))
 
-def read_latest(spark: SparkSession, path: str, schema) -> DataFrame:
-    """The newest complete version; no rows if there is none."""
-    known = versions(spark, path)
-    return spark.read.schema(schema).parquet(known[-1]) if known else spark.createDataFrame([], schema)
 
+def late_rows(query: StreamingQuery) -> int:
+    """What came too late for its hour, over the progress reports that Spark still has (the last 100 batches).
 
-def live_metrics(entries: DataFrame, path: str, checkpoint: str, once=False, every="30 seconds") -> StreamingQuery:
+    Spark counts behind the partial aggregation: late frames of one hour, camera and task are one.
+    """
+    reported = [json.loads(p.json) for p in query.recentProgress]
+    return sum(s.get("numRowsDroppedByWatermark", 0) for p in reported for s in p["stateOperators"])
+
+
+def live_metrics(
+    entries: DataFrame, path: str, checkpoint: str, once=False, every="30 seconds", merge_every: int | None = MERGE_EVERY
+) -> StreamingQuery:
     """Append result entries (text fields) to a store partitioned by date.
 
-    A repeated batch replaces its own folders; a new checkpoint leaves those of earlier runs.
+    A repeated batch is counted once; a new checkpoint leaves the rows of earlier runs. `read_metrics` reads
+    the store; a plain read of the folder may see rows twice that were just merged.
     """
     run = run_name(entries.sparkSession, checkpoint)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        key = F.lit(f"{run}-{batch_id}")
-        rows = messages.live_metrics(batch).withColumns({"dt": F.to_date("ts"), "batch": key})
-        (
-            rows.sortWithinPartitions("cam_id", "ts")
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("dt", "batch")
-            .parquet(path)
-        )
-
-    return _run(entries.writeStream.foreachBatch(write), checkpoint, once, every)
+        rows = messages.live_metrics(batch).withColumn("dt", F.to_date("ts")).sortWithinPartitions("cam_id", "ts")
+        manifest.append(rows, path, ("dt",), run, batch_id)
+        manifest.upkeep(batch.sparkSession, path, schemas.STORED_METRICS, ("dt",), batch_id, merge_every)
+
+    writer = entries.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)
+    return writer.start()
+
+
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    return manifest.read(spark, path, schemas.STORED_METRICS)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import Window, functions as F
 
-from floeline.operators import ordering, trend
+from floeline.operators import ordering, quantiles, trend
 
 START = datetime(2024, 1, 1)
 
@@ -37,19 +37,42 @@ def test_number_rows(series):
     same(got.select("id", "position", "key_rows"), expected.select("id", "position", "key_rows"))
 
 
-@pytest.mark.parametrize("block_rows", [12, 100, 10_000])
-def test_smoothed_does_not_depend_on_blocks(series, block_rows):
-    got = trend.smoothed(series, "v", ["cam_id"], ["ts", "id"], block_rows=block_rows)
+@pytest.mark.parametrize("rows,parts", [(4000, 1), (4000, 9), (150, 40)])
+def test_smoothed_does_not_depend_on_partitions(series, rows, parts):
+    """Down to partitions of fewer rows than are looked back at."""
+    some = series.where(F.col("id").between(0, rows - 1) | (F.col("id") >= 10_000))
+    got = trend.smoothed(some, "v", ["cam_id"], ["ts", "id"], parts=parts)
     clamped = F.greatest(F.lit(0.0), F.least(F.col("v"), F.lit(1.0)))
     last = F.collect_list(clamped).over(window().rowsBetween(-11, 0))
-    expected = series.withColumn("trend", trend.smooth_array(last))
+    expected = some.withColumn("trend", trend.smooth_array(last))
     assert got.columns == [*series.columns, "trend"]
     same(got.select("id", "trend"), expected.select("id", "trend"))
 
 
-def test_block_must_hold_the_window(series):
+def test_smoothed_shuffles_the_rows_once(series):
+    """What is left after the rows are written: windows inside buckets and one small joined side."""
+    plan = trend.smoothed(series, "v", ["cam_id"], ["ts", "id"])._jdf.queryExecution().executedPlan().toString()
+    windowed, _, handed = plan.partition("BroadcastExchange")
+    assert "SelectedBucketsCount" in windowed and "Window" in windowed and "Exchange hashpartitioning" not in windowed
+    assert "edges" in handed
+
+
+def test_windowed_counts_earlier_rows(series):
+    def columns(before, rows):
+        return {"rows": rows, "third": before("id", 3)}
+
+    got = ordering.windowed(series, ["cam_id"], ["ts", "id"], 3, ["id"], columns, parts=30)
+    expected = series.withColumns(
+        {"rows": F.least(F.row_number().over(window()) - 1, F.lit(3)), "third": F.lag("id", 3).over(window())}
+    )
+    same(got.select("id", "rows", "third"), expected.select("id", "rows", "third"))
+
+
+def test_windowed_of_nothing(series):
+    empty = series.where("id < 0")
+    assert trend.smoothed(empty, "v", ["cam_id"], ["ts", "id"]).count() == 0
     with pytest.raises(ValueError):
-        trend.smoothed(series, "v", ["cam_id"], ["ts", "id"], block_rows=11)
+        ordering.windowed(series, ["cam_id"], ["ts", "id"], 0, ["id"], lambda before, rows: {})
 
 
 @pytest.mark.parametrize("n", [1, 60, 5000])
@@ -73,7 +96,7 @@ def test_latest(series):
 @pytest.mark.parametrize("interpolate", [True, False])
 def test_exact_quantiles(series, interpolate):
     probs = {"lowest": 0.0, "p05": 0.05, "median": 0.5, "p95": 0.95, "highest": 1.0}
-    got = ordering.exact_quantiles(series, ["cam_id"], "v", probs, interpolate).collect()
+    got = quantiles.exact_quantiles(series, ["cam_id"], "v", probs, interpolate).collect()
     by_cam = {}
     for r in series.collect():
         by_cam.setdefault(r.cam_id, []).append(r.v)
@@ -89,7 +112,7 @@ def test_exact_quantiles(series, interpolate):
 def test_exact_quantiles_of_copies_and_nulls(spark):
     rows = [("a", 5)] * 1000 + [("a", 9)] + [("a", None)] * 500 + [("b", None)]
     df = spark.createDataFrame(rows, "k string, v int")
-    got = ordering.exact_quantiles(df, ["k"], "v", {"median": 0.5, "top": 1.0}, interpolate=False).collect()
+    got = quantiles.exact_quantiles(df, ["k"], "v", {"median": 0.5, "top": 1.0}, interpolate=False).collect()
     assert [tuple(r) for r in got] == [("a", 1001, 5, 9)]
 
 
@@ -97,8 +120,8 @@ def test_skip_repeats(spark):
     ids = ["x", "x", "y", None, None, "x", "x", "x", "z"]
     rows = [("a", i, v) for i, v in enumerate(ids)]
     df = spark.createDataFrame(rows, "cam_id string, ts long, msg string")
-    for block in (2, 3, 100):
-        got = trend.skip_repeats(df, ["cam_id"], ["ts"], "msg", block_rows=block).orderBy("ts").collect()
+    for parts in (1, 20):
+        got = trend.skip_repeats(df, ["cam_id"], ["ts"], "msg", parts=parts).orderBy("ts").collect()
         assert [r.ts for r in got] == [0, 2, 3, 5, 8]
 
 
