@@ -270,6 +270,13 @@ _MEANS = f"{_snap('avg(ice_conc)', 'mean_conc')}, {_snap('avg(ice_severity)', 'm
 _FRAME_LEVEL = """CASE WHEN ice_conc > 0.7 OR ice_severity > 0.55 THEN 'danger'
     WHEN ice_conc > 0.4 OR ice_severity > 0.3 THEN 'caution' ELSE 'safe' END AS danger_level"""
 
+_LATENCY_SUMMARY = f"""
+        SELECT camera_count, count(*) AS processed_measured, {_latency("end_to_end")}, {_latency("delivery")},
+               {_latency("inference")}, ceil(count(*) * 1.25)::BIGINT AS published_measured,
+               600.0::DOUBLE AS window_sec,
+               {_snap("greatest(0.0::DOUBLE, 1 - count(*) / ceil(count(*) * 1.25))", "drop_rate")},
+               {_snap("count(*) / 600.0::DOUBLE", "throughput_fps")}
+        FROM trials GROUP BY 1"""
 _SELECTS = {
     "hourly_summary": _HOURLY,
     "hourly_vessels": "SELECT hour, cam_id, vessel_count::BIGINT AS vessel_frames, total_frames, danger_level FROM hourly",
@@ -542,13 +549,8 @@ _SELECTS = {
         SELECT cam_id, class_name, sum(area_pixels)::BIGINT AS sum_area_pixels,
                {_snap("avg(confidence)", "avg_confidence")}, {_snap("avg(ice_conc)", "avg_ice_conc")}
         FROM detections GROUP BY 1, 2""",
-    "latency_summary": f"""
-        SELECT camera_count, count(*) AS processed_measured, {_latency("end_to_end")}, {_latency("delivery")},
-               {_latency("inference")}, ceil(count(*) * 1.25)::BIGINT AS published_measured,
-               600.0::DOUBLE AS window_sec,
-               {_snap("greatest(0.0::DOUBLE, 1 - count(*) / ceil(count(*) * 1.25))", "drop_rate")},
-               {_snap("count(*) / 600.0::DOUBLE", "throughput_fps")}
-        FROM trials GROUP BY 1""",
+    "latency_summary": _LATENCY_SUMMARY,
+    "latency_from_csv": _LATENCY_SUMMARY,
     "latency_distinct": f"""
         SELECT camera_count, count(*) AS deliveries, count(DISTINCT (cam_id, frame_seq)) AS distinct_frames,
                ceil(count(*) * 1.25)::BIGINT AS published_measured,
@@ -581,6 +583,19 @@ _SELECTS = {
         SELECT CASE event_id % 4 WHEN 0 THEN 100000 WHEN 1 THEN 250000 WHEN 2 THEN 500000 ELSE 1000000 END::BIGINT AS rows,
                executors, trial, a * 2147483648 + b AS run_order_key
         FROM r4""",
+    "danger_model_sweep": f"""
+        WITH dealt_rows AS (
+            SELECT ((({_mixed("frame_id", 77, 42)}) * 1000) >> 31)::INTEGER AS bucket,
+                   CASE WHEN ice_conc > 0.7 OR ice_severity > 0.55 THEN 'danger'
+                        WHEN ice_conc > 0.4 OR ice_severity > 0.3 THEN 'caution' ELSE 'safe' END AS level
+            FROM frames),
+        shares(fraction, cut) AS (VALUES (0.1::DOUBLE, 100), (0.3, 300), (0.6, 600), (1.0, 1000)),
+        level_counts AS (
+            SELECT fraction, level, count_if(bucket % 5 <> 4) AS train, count_if(bucket % 5 = 4) AS test
+            FROM dealt_rows JOIN shares ON bucket < cut GROUP BY 1, 2)
+        SELECT fraction, sum(train)::BIGINT AS rows, sum(test)::BIGINT AS test_rows, 'frames' AS source_table,
+               NULL::VARCHAR AS note, max(test) / sum(test) AS majority_share, max(test) / sum(test) AS reached
+        FROM level_counts GROUP BY 1""",
     "training_rows": f"""
         SELECT {_snap("avg_ice_conc")}, max_ice_conc, {_snap("avg_severity")}, total_frames, danger_level,
                'hourly_summary' AS source_table

@@ -166,7 +166,8 @@ def recent_logs(spark, sf):
 
 
 def _parsed(spark, sf):
-    return messages.parse(messages.encode(derived.timed_messages(spark, sf)))
+    """Parsed messages of all frames, with broken ones among them."""
+    return messages.parse(messages.encode(derived.timed_messages(spark, sf)).unionByName(derived.broken_messages(spark, sf)))
 
 
 def _flat_frames(df: DataFrame) -> DataFrame:
@@ -474,6 +475,17 @@ def latency_summary(spark, sf):
     return snapped(summary, *[n for n, t in summary.dtypes if t == "double" and n != "window_sec"])
 
 
+def latency_from_csv(spark, sf):
+    """The same summary of trials that were written as CSV and read with the declared schema."""
+    path = scratch.folder(spark, "trials")
+    seconds = {name: F.lit(None).cast("double") for name in ("source_ts", "processed_ts", "received_ts")}
+    trials = derived.latency_trials(spark, sf).withColumns(seconds)
+    trials.select(*schemas.LATENCY_TRIALS.names).write.csv(path, header=True)
+    stored = readers.latency_trials(spark, path)
+    summary = experiment.latency_summary(stored, _published(stored))
+    return snapped(summary, *[n for n, t in summary.dtypes if t == "double" and n != "window_sec"])
+
+
 def latency_distinct(spark, sf):
     trials = derived.latency_trials(spark, sf)
     return snapped(experiment.distinct_frames(trials, _published(trials)), "drop_rate").drop("window_sec")
@@ -557,7 +569,27 @@ def training_frames(spark, sf):
 
 
 def danger_model_sweep(spark, sf):
-    return model.danger_sweep(*_model_tables(spark, sf))
+    """The sweep written over the table of an earlier one and read back, beside what a constant answer reaches.
+
+    `reached` is the accuracy, but at most that share: the two are equal where the classifier is no worse.
+    """
+    hourly, frames = _model_tables(spark, sf)
+    database = _database()
+    tables.create_tables(spark, database, scratch.folder(spark, "warehouse"))
+    result = model.danger_sweep(hourly, frames, key="frame_id")
+    for part in (result.where("fraction < 0.5"), result):
+        model.save(part, database)
+    rows, _, _ = model.choose_rows("frames", frames=frames, key="frame_id")
+    found = spark.table(f"{database}.model_scaling_experiment").join(model.majority_shares(model.bucketed(rows, "frame_id")), "fraction")
+    return found.select(
+        "fraction",
+        "rows",
+        "test_rows",
+        "source_table",
+        "note",
+        "majority_share",
+        F.least("accuracy", "majority_share").alias("reached"),
+    )
 
 
 # --- tables and streams -------------------------------------------------------
@@ -735,7 +767,7 @@ QUERIES = {
         latest_per_camera, last_n_points, trend_card, stored_last_points, stored_trend_card, stored_recent_stats, skip_repeats, frame_milestones,
         mask_histogram, region_bbox, mask_detections, solid_regions, median_split, zone_filter, zone_widened, box_rescale, box_mirror,
         fit_dimensions,
-        class_camera_rollup, latency_summary, latency_distinct, joined_trials, trial_summary,
+        class_camera_rollup, latency_summary, latency_from_csv, latency_distinct, joined_trials, trial_summary,
         speedup_pivot, linearity, shuffled_trials, synthetic_detections, synthetic_profile,
         training_rows, training_frames, danger_model_sweep,
         etl_overwrite_roundtrip, table_counts, etl_hourly_table, incremental_refresh,

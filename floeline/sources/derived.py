@@ -176,6 +176,19 @@ def service_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.groupBy("user_id").agg((F.count_if(F.col("event_type") == "error") == 0).alias("ok"))
 
 
+def broken_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of which no row may come: one for every seventh event, in five kinds."""
+    kinds = F.array(
+        F.lit("{not json"),
+        F.lit(None).cast("string"),
+        F.lit(""),
+        F.lit('{"ts": "yesterday", "cam_id": "cam_a", "detections": [{"class_name": "ice_field", "area_pixels": 5}]}'),
+        F.concat(F.lit('{"ts": '), F.col("event_id").cast("string"), F.lit(', "ice_conc": 0.5, "detections": []}')),
+    )
+    kind = F.floor(F.col("event_id") / 7) % 5
+    return events(spark, sf_dir).where(F.col("event_id") % 7 == 0).select(F.get(kinds, kind.cast("int")).alias("value"))
+
+
 def latency_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deliveries; two neighbouring events of one camera are one frame delivered twice."""
     return events(spark, sf_dir).select(
