@@ -11,16 +11,19 @@ All suffixes of a state are states. The distribution of a state is smoothed by t
 shorter state: P(a|s) = (n(s,a) + K P(a|shorter)) / (C + K). A byte is scored by the longest suffix
 state of what stands before it. The chance of a token under the tree is then
 smoothed by its share among the training tokens; the weight is the one of WEIGHTS under which the
-training tokens are likeliest when each is left out of its own share.
+tokens of the tuning rows are likeliest: one in TUNED of the training rows, whose bytes the tree has not
+counted, and each of whose tokens is left out of its own share.
 
 Everything is counted over all documents: texts are cut into blocks of words with numbers of their
-own; the counts of words and of byte sequences are summed over the blocks. The tree is a table of
-states, as large as the texts make it: the chances of all different byte sequences are found by
-joining them to it level by level, and only those of a block are sent back to it.
+own; the counts of words and of byte sequences are summed over the blocks. The sequences are dealt by the
+last three bytes of their contexts, so that all contexts from there on meet in one task, at most 2^24 sequences to
+a group; contexts of two bytes and less (2^24 sequences at most) are counted for all and sent to every task.
+A task gives each sequence its chance as a linear function of the chance under two bytes of context, which is known
+only when all tasks have said which short contexts their states end in. The chances go back to the blocks.
 
 Defined results: a null text counts as an empty one, which has its end as only token; a null id is a
 training row; equal rows are scored each; an empty table gives no rows; other columns are ignored.
-Without training rows the tree is its root with equal chances.
+Without training rows the tree is its root with equal chances, without tuning rows it is not smoothed by shares.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,18 +45,19 @@ from floeline.sources import scratch
 ORDER = 5
 LEAST = 2
 BITS = 3.0
-WEIGHTS = (0.0, 0.3, 0.5, 0.7, 0.8, 0.9, 0.95, 0.98, 0.99, 0.995, 0.999)
-K = 4.0
+WEIGHTS = (0.0, 0.2, 0.4, 0.6, 0.8, 0.9, 0.97)
+K = 8.0
+TUNED = 16
 #: Tokens of a block at most (one text may exceed it alone).
-BLOCK = 2_000_000
+BLOCK = 5_000_000
 END = b"\n"
 #: Tokens whose byte sequences are sorted together.
 COUNTED = 400_000
 _TAG = 56
 
-_PARTS = "kind int, block string, at long, word binary, n long, ids binary, doc_id long, held_out boolean"
-_NAMES = ["kind", "block", "at", "word", "n", "ids", "doc_id", "held_out"]
-_KINDS = [pa.int32(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.bool_()]
+_PARTS = "kind int, block long, at long, word binary, n long, ids binary, doc_id long, held_out boolean, tuned boolean"
+_NAMES = ["kind", "block", "at", "word", "n", "ids", "doc_id", "held_out", "tuned"]
+_KINDS = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.bool_(), pa.bool_()]
 DOC, WORD, WINDOW = 0, 1, 2
 
 
@@ -61,6 +66,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(remainder == 2, F.lit(False))
 
 
+def tuning(doc_id: Column) -> Column:
+    """One in TUNED of the training rows."""
+    return ~held_out(doc_id) & doc_id.isNotNull() & (F.pmod(F.xxhash64(doc_id), F.lit(TUNED)) == 0)
+
+
 def _batch(count: int, kind: int, **columns) -> pa.RecordBatch:
     columns["kind"] = np.full(count, kind, dtype=np.int32)
     made = [pa.array(columns[n], k) if n in columns else pa.nulls(count, k) for n, k in zip(_NAMES, _KINDS, strict=True)]
@@ -113,39 +123,42 @@ class _Block:
     def __init__(self):
         self.numbers: defaultdict[bytes, int] = defaultdict()
         self.numbers.default_factory = self.numbers.__len__
-        self.docs, self.held, self.ids, self.tokens = [], [], [], 0
-        #: of training and of other texts: those not counted yet, their tokens, and counts of windows
+        self.docs, self.held, self.tuned, self.ids, self.tokens = [], [], [], [], 0
+        #: of texts that the tree counts and of others: those not counted yet, their tokens, and counts of windows
         self.waiting, self.size, self.counts = ([], []), [0, 0], [NONE, NONE]
 
-    def add(self, doc, held: bool, words: list[bytes]) -> None:
+    def add(self, doc, held: bool, tuned: bool, words: list[bytes]) -> None:
         words.append(END)
         self.ids.append(np.fromiter(map(self.numbers.__getitem__, words), dtype=np.int32, count=len(words)))
         words.pop()
         self.docs.append(doc)
         self.held.append(held)
+        self.tuned.append(tuned)
         self.tokens += len(words) + 1
-        self.waiting[held].append(words)
-        self.size[held] += len(words)
-        if self.size[held] >= COUNTED:
-            self.count(held)
+        unseen = held or tuned
+        self.waiting[unseen].append(words)
+        self.size[unseen] += len(words)
+        if self.size[unseen] >= COUNTED:
+            self.count(unseen)
 
-    def count(self, held: bool) -> None:
-        self.counts[held] = merged(self.counts[held], count_windows(self.waiting[held]))
-        self.waiting[held].clear()
-        self.size[held] = 0
+    def count(self, unseen: bool) -> None:
+        self.counts[unseen] = merged(self.counts[unseen], count_windows(self.waiting[unseen]))
+        self.waiting[unseen].clear()
+        self.size[unseen] = 0
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
-        """Windows of all texts, with their counts in the training texts."""
-        for held in (False, True):
-            self.count(held)
+        """Windows of all texts, with their counts in the texts that the tree counts."""
+        for unseen in (False, True):
+            self.count(unseen)
         others = self.counts[True][0]
         return merged(self.counts[False], (others, np.zeros(len(others), dtype=np.int64)))
 
-    def rows(self, name: str) -> Iterator[pa.RecordBatch]:
+    def rows(self, name: int) -> Iterator[pa.RecordBatch]:
         train = [i for h, i in zip(self.held, self.ids, strict=True) if not h]
         counts = np.bincount(np.concatenate([*train, np.zeros(0, dtype=np.int32)]), minlength=len(self.numbers))
-        blobs = [i.tobytes() for i in self.ids]
-        yield _batch(len(blobs), DOC, block=[name] * len(blobs), ids=blobs, doc_id=self.docs, held_out=self.held)
+        pack = zstandard.ZstdCompressor(level=1).compress
+        blobs = [pack(i.tobytes()) for i in self.ids]
+        yield _batch(len(blobs), DOC, block=[name] * len(blobs), ids=blobs, doc_id=self.docs, held_out=self.held, tuned=self.tuned)
         at = np.arange(len(counts))
         yield _batch(len(counts), WORD, block=[name] * len(counts), at=at, word=list(self.numbers), n=counts)
         keys, n = self.windows()
@@ -164,20 +177,19 @@ def merged(a, b):
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of numbered words, and of windows with their counts in the training texts."""
+    """Blocks of numbered words, and of windows with their counts in the texts that the tree counts."""
     from pyspark import TaskContext
 
-    context = TaskContext.get()
-    name = f"{context.partitionId()}.{context.taskAttemptId()}"
-    block, number = _Block(), 0
+    name = TaskContext.get().partitionId() << 32
+    block = _Block()
     for batch in batches:
-        for doc, held, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            block.add(doc, held, (text or "").encode().lower().split())
+        for doc, held, tuned, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            block.add(doc, held, tuned, (text or "").encode().lower().split())
             if block.tokens >= BLOCK:
-                yield from block.rows(f"{name}.{number}")
-                block, number = _Block(), number + 1
+                yield from block.rows(name)
+                block, name = _Block(), name + 1
     if block.docs:
-        yield from block.rows(f"{name}.{number}")
+        yield from block.rows(name)
 
 
 @dataclass
@@ -247,6 +259,160 @@ def _mask(length: Column) -> Column:
     return F.element_at(F.array(*[F.lit((1 << (8 * d)) - 1) for d in range(ORDER + 2)]), length + 1)
 
 
+def _bytes_mask(count: int) -> np.uint64:
+    return np.uint64((1 << (8 * count)) - 1)
+
+
+@dataclass
+class Level:
+    """Sequences of one length: sorted pairs (context and next byte) with counts, sorted contexts with totals."""
+
+    pairs: np.ndarray
+    n: np.ndarray
+    contexts: np.ndarray
+    owner: np.ndarray  # of each pair its context
+    total: np.ndarray
+    different: np.ndarray
+
+    @classmethod
+    def of(cls, pairs: np.ndarray, n: np.ndarray) -> Level:
+        contexts, owner = np.unique(pairs >> np.uint64(8), return_inverse=True)
+        total = np.bincount(owner, weights=n, minlength=len(contexts))
+        return cls(pairs, n.astype(np.float64), contexts, owner, total, np.bincount(owner, weights=n > 0, minlength=len(contexts)))
+
+    def cut(self, length: int) -> tuple[Level, np.ndarray]:
+        """The level of contexts of `length` bytes, one less, and of each pair its place there."""
+        pairs, place = np.unique(self.pairs & _bytes_mask(length + 1), return_inverse=True)
+        return Level.of(pairs, np.bincount(place, weights=self.n, minlength=len(pairs))), place
+
+    def diverging(self, shorter: Level, place: np.ndarray) -> np.ndarray:
+        """Which contexts differ enough from those one byte shorter."""
+        met = np.flatnonzero(self.n > 0)
+        n, inner = self.n[met], place[met]
+        gain = n * np.log2(n * shorter.total[shorter.owner[inner]] / (self.total[self.owner[met]] * shorter.n[inner]))
+        sums = np.bincount(self.owner[met], weights=gain, minlength=len(self.contexts))
+        return (self.total >= LEAST) & (sums > BITS * self.different)
+
+
+def _with_suffixes(state: np.ndarray, longer: Level, longer_state: np.ndarray, own: Level, length: int) -> np.ndarray:
+    """States of a level and the suffixes of longer ones."""
+    out = state.copy()
+    out[np.searchsorted(own.contexts, longer.contexts[longer_state] & _bytes_mask(length))] = True
+    return out
+
+
+class Short:
+    """Contexts of two bytes and less over all training texts."""
+
+    def __init__(self, pairs: np.ndarray, n: np.ndarray):
+        order = np.argsort(pairs)
+        two = Level.of(pairs[order], n[order])
+        one, self.to_one = two.cut(1)
+        root, self.to_root = one.cut(0)
+        self.two, self.one, self.root = two, one, root
+
+    def chances(self, ends: np.ndarray) -> np.ndarray:
+        """P(byte | longest state of at most two bytes) of each pair of the second level; `ends` of longer states are states."""
+        two, one, root = self.two, self.one, self.root
+        second = two.diverging(one, self.to_one)
+        second[np.searchsorted(two.contexts, ends)] = True
+        first = _with_suffixes(one.diverging(root, self.to_root), two, second, one, 1)
+        found = (root.n + K / 256) / (root.total[root.owner] + K)
+        for level, state, place in ((one, first, self.to_root), (two, second, self.to_one)):
+            below = found[place]
+            own = (level.n + K * below) / (level.total[level.owner] + K)
+            found = np.where(state[level.owner], own, below)
+        return found
+
+
+def linear_chances(grams: np.ndarray, n: np.ndarray, short: Level) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of whole groups of sorted windows: offset and slope of their chances over those under two bytes of context,
+    and the last two bytes of the states."""
+    levels, places = {ORDER: Level.of(grams, n)}, {}
+    for d in range(ORDER - 1, 2, -1):
+        levels[d], places[d + 1] = levels[d + 1].cut(d)
+    places[3] = np.searchsorted(short.pairs, levels[3].pairs & _bytes_mask(3))
+    state, longer = {}, None
+    for d in range(ORDER, 2, -1):
+        state[d] = levels[d].diverging(levels[d - 1] if d > 3 else short, places[d])
+        if longer is not None:
+            state[d] = _with_suffixes(state[d], longer, state[d + 1], levels[d], d)
+        longer = levels[d]
+    offset, slope = np.zeros(len(levels[3].pairs)), np.ones(len(levels[3].pairs))
+    for d in range(3, ORDER + 1):
+        level = levels[d]
+        if d > 3:
+            offset, slope = offset[places[d]], slope[places[d]]
+        kept = np.where(state[d][level.owner], K / (level.total[level.owner] + K), 1.0)
+        own = np.where(state[d][level.owner], level.n / (level.total[level.owner] + K), 0.0)
+        offset, slope = own + kept * offset, kept * slope
+    return offset, slope, np.unique(levels[3].contexts[state[3]] & _bytes_mask(2))
+
+
+#: Windows of whole groups that are worked on together (a group has 2^24 at most).
+TOGETHER = 500_000
+
+
+def _linear(shared):
+    """(gram, offset, slope) of windows that come in order of the last three bytes of their contexts, and rows of `ends`."""
+
+    def made(grams: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(grams)
+        grams, n = grams[order], n[order]
+        offset, slope, ends = linear_chances(grams, n, shared.value)
+        none = np.zeros(len(ends))
+        columns = [
+            pa.array(np.concatenate([grams.view(np.int64), np.zeros(len(ends), dtype=np.int64)])),
+            pa.array(np.concatenate([offset, none])),
+            pa.array(np.concatenate([slope, none])),
+            pa.concat_arrays([pa.nulls(len(grams), pa.int64()), pa.array(ends.astype(np.int64))]),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["gram", "offset", "slope", "ends"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, n = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        for batch in batches:
+            grams = np.concatenate([grams, batch.column(0).to_numpy().view(np.uint64)])
+            n = np.concatenate([n, batch.column(1).to_numpy()])
+            if len(grams) >= TOGETHER:
+                group = (grams >> np.uint64(8)) & _bytes_mask(3)
+                whole = int(np.searchsorted(group != group[-1], False)) if group[0] != group[-1] else 0
+                if whole:
+                    yield made(grams[:whole], n[:whole])
+                    grams, n = grams[whole:], n[whole:]
+        if len(grams):
+            yield made(grams, n)
+
+    return run
+
+
+def _logs(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, chance = shared.value
+        for batch in batches:
+            grams, offset, slope = (c.to_numpy() for c in batch.columns[:3])
+            below = chance[np.searchsorted(pairs, grams.view(np.uint64) & _bytes_mask(3))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.log10(offset + slope * below))], names=["gram", "log"])
+
+    return run
+
+
+def priced(grams: DataFrame) -> DataFrame:
+    """(gram, log): log10 P(last byte | longest suffix state before it) of all windows (gram, n)."""
+    spark = grams.sparkSession
+    grams = scratch.stage(grams, "windows")
+    short = grams.groupBy(F.col("gram").bitwiseAND((1 << 24) - 1).alias("pair")).agg(F.sum("n").alias("n")).toPandas()
+    known = Short(short["pair"].to_numpy(dtype=np.int64).view(np.uint64), short["n"].to_numpy(dtype=np.int64))
+    level = spark.sparkContext.broadcast(known.two)
+    group = F.shiftright("gram", 8).bitwiseAND((1 << 24) - 1)
+    dealt = grams.withColumn("_group", group).repartition("_group").sortWithinPartitions("_group").select("gram", "n")
+    found = scratch.stage(dealt.mapInArrow(_linear(level), "gram long, offset double, slope double, ends long"), "linear")
+    # two bytes: 65,536 rows at most
+    ends = np.array([r["ends"] for r in found.where(F.col("ends").isNotNull()).select("ends").distinct().collect()], dtype=np.uint64)
+    shared = spark.sparkContext.broadcast((known.two.pairs, known.chances(ends)))
+    return found.where(F.col("ends").isNull()).mapInArrow(_logs(shared), "gram long, log double")
+
+
 def grow(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(states: length, context, total), (pairs of states: length, context, pair, n) from (gram, n)."""
     states, table = _grown(grams)
@@ -325,7 +491,7 @@ def compiled(states: DataFrame, pairs: DataFrame) -> Tree:
 
 
 _SCORES = (
-    "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
+    "doc_id long, held_out boolean, tuned boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
     "_scores array<double>, _left_out array<double>"
 )
 #: Bytes that are scored at once.
@@ -379,6 +545,7 @@ def _score(train_tokens: int, different: int):
         letters = np.frombuffer(b"".join(spelled), dtype=np.uint8)
         logs = np.log10(count + 1.0)
         rows = [], [], [], [], []
+        tuned = docs.column("tuned").to_numpy()
         held: list[np.ndarray] = []
         size = 0
 
@@ -395,15 +562,22 @@ def _score(train_tokens: int, different: int):
             own = count[ids[token]]
             begin = np.cumsum([0, *map(len, held[:-1])])
             total, plain = max(train_tokens, 1), 10.0**chance
-            mixed = [np.add.reduceat(blended(chance, own / total, w, plain), begin) for w in WEIGHTS]
-            # of a token that is left out of its own count
-            less = np.maximum(own - 1, 0) / total
-            alone = [np.add.reduceat(blended(chance, less, w, plain), begin) for w in WEIGHTS]
+            share = own / total
+            mixed = [np.add.reduceat(blended(chance, share, w, plain), begin) for w in WEIGHTS]
             rows[3].extend(np.array(mixed).T.tolist())
-            rows[4].extend(np.array(alone).T.tolist())
-
+            # of tokens that are left out of their own counts
+            marks = tuned[len(rows[4]) : len(rows[4]) + len(held)]
+            which = np.repeat(marks, [len(i) for i in held])
+            alone = np.zeros((len(WEIGHTS), len(held)))
+            if which.any():
+                starts = np.cumsum([0, *(len(i) for i, t in zip(held, marks, strict=True) if t)])[:-1]
+                less = np.maximum(own[which] - 1, 0) / total
+                alone[:, marks] = [np.add.reduceat(blended(chance[which], less, w, plain[which]), starts) for w in WEIGHTS]
+            rows[4].extend(alone.T.tolist())
+
+        unpack = zstandard.ZstdDecompressor().decompress
         for blob in docs.column("ids").to_pylist():
-            ids = np.frombuffer(blob, dtype=np.int32)
+            ids = np.frombuffer(unpack(blob), dtype=np.int32)
             rows[0].append(len(ids))
             rows[1].append(int((count[ids] > 0).sum()))
             rows[2].append(float(logs[ids].sum() - rarity * len(ids)))
@@ -419,6 +593,7 @@ def _score(train_tokens: int, different: int):
             {
                 "doc_id": docs.column("doc_id"),
                 "held_out": docs.column("held_out"),
+                "tuned": docs.column("tuned"),
                 "n_tokens": pa.array(found["n_tokens"], pa.int64()),
                 "n_known": pa.array(found["n_known"], pa.int64()),
                 "train_tokens": pa.array([train_tokens] * docs.num_rows, pa.int64()),
@@ -436,22 +611,21 @@ def scores(docs: DataFrame, text: str = "text") -> DataFrame:
     spark = docs.sparkSession
     bounded(spark)
     doc = F.col("doc_id").cast("long")
-    rows = docs.select(doc.alias("doc_id"), held_out(doc).alias("held_out"), F.col(text))
+    rows = docs.select(doc.alias("doc_id"), held_out(doc).alias("held_out"), F.coalesce(tuning(doc), F.lit(False)).alias("tuned"), F.col(text))
     parts = scratch.stage(rows.mapInArrow(_split, _PARTS), "blocks")
     words = parts.where(F.col("kind") == WORD).select("block", "at", "word", "n")
     counts = words.where("n > 0").groupBy("word").agg(F.sum("n").alias("c"))
     counts = scratch.stage(counts, "counts")
     train_tokens, different = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     met = parts.where(F.col("kind") == WINDOW).select("block", F.col("at").alias("gram"), "n")
-    states, table = _grown(met.groupBy("gram").agg(F.sum("n").alias("n")))
-    priced = scratch.stage(chances(states, table), "chances")
-    own = met.drop("n").join(priced, "gram").select("block", F.col("gram").alias("at"), F.lit(None).cast("binary").alias("word"), F.lit(0).cast("long").alias("n"), "log")
+    known = priced(met.groupBy("gram").agg(F.sum("n").alias("n")))
+    own = met.drop("n").join(known, "gram").select("block", F.col("gram").alias("at"), F.lit(None).cast("binary").alias("word"), F.lit(0).cast("long").alias("n"), "log")
     looked_up = words.join(counts, "word", "left").select("block", "at", "word", F.coalesce("c", F.lit(0)).alias("n"), F.lit(None).cast("double").alias("log"))
     looked_up = looked_up.unionByName(own)
-    texts = parts.where(F.col("kind") == DOC).select(F.col("block").alias("own"), "doc_id", "held_out", "ids")
+    texts = parts.where(F.col("kind") == DOC).select(F.col("block").alias("own"), "doc_id", "held_out", "tuned", "ids")
     blocks = looked_up.groupBy("block").cogroup(texts.groupBy("own"))
     scored = scratch.stage(blocks.applyInArrow(_score(train_tokens, different), _SCORES), "scores")
     sums = [F.sum(F.get("_left_out", F.lit(i))) for i in range(len(WEIGHTS))]
-    likely = [-np.inf if v is None else v for v in scored.where("not held_out").agg(*sums).first()]
+    likely = [-np.inf if v is None else v for v in scored.where("tuned").agg(*sums).first()]
     best = int(np.argmax(likely))
-    return scored.withColumn("score", F.get("_scores", F.lit(best))).drop("_scores", "_left_out")
+    return scored.withColumn("score", F.get("_scores", F.lit(best))).drop("_scores", "_left_out", "tuned")

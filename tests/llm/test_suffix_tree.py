@@ -116,6 +116,51 @@ def test_chances_by_joins(spark):
     assert np.allclose(st.Known(keys, expected)[keys[::-1]], expected[::-1])
 
 
+@pytest.mark.parametrize("together", [50, 500_000])
+def test_grouped_chances_equal_those_by_joins(spark, monkeypatch, together):
+    monkeypatch.setattr(st, "TOGETHER", together)
+    texts = [[t.encode() for t in tokens(x)[:-1]] for _, x in corpus(150)]
+    keys, n = st.count_windows(texts)
+    n[::7] = 0
+    grams = spark.createDataFrame(list(zip(keys.view(np.int64).tolist(), n.tolist())), "gram long, n long")
+    found = {r.gram: r.log for r in st.priced(grams).collect()}
+    expected = {r.gram: r.log for r in st.chances(*st._grown(grams)).collect()}
+    assert found.keys() == expected.keys()
+    assert max(abs(found[k] - expected[k]) for k in found) < 1e-9
+    assert st.priced(grams.limit(0)).count() == 0
+
+
+def test_score_by_force(spark):
+    """Every text scored token by token with the small tree in memory and the weight of the tuning rows."""
+    docs = [(d, x) for d, x in corpus(200) if d is not None]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    marks = {r.doc_id: r.t for r in frame.select("doc_id", st.tuning(F.col("doc_id")).alias("t")).collect()}
+    counted = [[t.encode() for t in tokens(x)[:-1]] for d, x in docs if not is_held(d) and not marks[d]]
+    keys, n = st.count_windows(counted)
+    tree = st.compiled(*st.grow(spark.createDataFrame(list(zip(keys.view(np.int64).tolist(), n.tolist())), "gram long, n long")))
+    share = Counter(t for d, x in docs if not is_held(d) for t in tokens(x))
+    total = sum(share.values())
+
+    def chances(x):
+        raw, found = st.END * st.ORDER, []
+        for token in tokens(x):
+            spelled = token.encode() if token == "\n" else token.encode() + b" "
+            raw += spelled
+            at = [int.from_bytes(raw[i - st.ORDER : i + 1], "big") for i in range(len(raw) - len(spelled), len(raw))]
+            found.append(tree.log10(np.array(at, dtype=np.uint64)).sum())
+        return np.array(found)
+
+    def score(x, weight, less=0):
+        own = np.array([max(share[t] - less, 0) / total for t in tokens(x)])
+        return st.blended(chances(x), own, weight).sum()
+
+    weight = max(st.WEIGHTS, key=lambda w: sum(score(x, w, 1) for d, x in docs if marks[d]))
+    got = {r.doc_id: r.score for r in st.scores(frame).collect()}
+    assert sum(marks.values()) > 3
+    for d, x in docs:
+        assert math.isclose(got[d], score(x, weight), rel_tol=1e-6, abs_tol=1e-6), d
+
+
 def test_rare_contexts_of_large_texts_are_states(spark):
     # "qzq" is met 40 times among 50 million bytes: a share below one in a million
     far = [(b"ab ab ab", 50_000_000), (b"xqzqv ", 40), (b"yqzqv ", 40)]
