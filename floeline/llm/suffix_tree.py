@@ -376,7 +376,7 @@ def _linear(shared):
             n = np.concatenate([n, batch.column(1).to_numpy()])
             if len(grams) >= TOGETHER:
                 group = (grams >> np.uint64(8)) & _bytes_mask(3)
-                whole = int(np.searchsorted(group != group[-1], False)) if group[0] != group[-1] else 0
+                whole = int((group != group[-1]).sum())  # the last group may go on
                 if whole:
                     yield made(grams[:whole], n[:whole])
                     grams, n = grams[whole:], n[whole:]
