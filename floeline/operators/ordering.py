@@ -18,6 +18,7 @@ from floeline.session import shuffle_width
 from floeline.sources import scratch
 
 _PART_BITS = 33  # monotonically_increasing_id keeps the partition above this bit
+_MOST_BUCKETS = 100_000  # Spark's own limit; the rows of a partition stay narrow
 
 
 _UNKNOWN_BYTES = 2**60
@@ -103,7 +104,7 @@ def windowed(
     """
     if back < 1:
         raise ValueError("at least one row must be looked at")
-    parts = parts or width(df)
+    parts = min(parts or width(df), _MOST_BUCKETS)
     placed = scratch.stage_by(_sorted(df, keys, order, parts), "placed", "_part", parts, "_row")
     handed = _handed_over(placed, keys, back, looked_at)
     on_part = Window.partitionBy(*keys, "_part").orderBy("_row")

@@ -4,8 +4,6 @@ Doubles that depend on summation order or on a maths library are snapped to a fi
 that the same query in another engine gives the same bits. Dates are given as ISO text.
 """
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from floeline import schemas
@@ -329,7 +327,7 @@ def trend_card(spark, sf):
 
 def _frame_store(spark, sf) -> tuple[DataFrame, DataFrame]:
     """The frame table by day and camera, and the times of its partitions; the second half of the month comes late and first."""
-    database, middle = _database(), F.lit("2024-01-16").cast("date")
+    database, middle = scratch.database(spark), F.lit("2024-01-16").cast("date")
     tables.create_tables(spark, database, scratch.folder(spark, "warehouse"))
     raw = _as_raw(derived.raw_frames(spark, sf))
     etl.store_frames(raw.where(F.col("dt") >= middle), database)
@@ -574,7 +572,7 @@ def danger_model_sweep(spark, sf):
     `reached` is the accuracy, but at most that share: the two are equal where the classifier is no worse.
     """
     hourly, frames = _model_tables(spark, sf)
-    database = _database()
+    database = scratch.database(spark)
     tables.create_tables(spark, database, scratch.folder(spark, "warehouse"))
     result = model.danger_sweep(hourly, frames, key="frame_id")
     for part in (result.where("fraction < 0.5"), result):
@@ -595,10 +593,6 @@ def danger_model_sweep(spark, sf):
 # --- tables and streams -------------------------------------------------------
 
 
-def _database() -> str:
-    return f"floeline_{uuid.uuid4().hex[:12]}"
-
-
 def _as_raw(df: DataFrame) -> DataFrame:
     return df.withColumn("ts", F.col("ts").cast("timestamp"))
 
@@ -614,7 +608,7 @@ def _raw_folders(spark, sf) -> str:
 
 
 def _etl(spark, sf) -> tuple[str, str]:
-    base, database = _raw_folders(spark, sf), _database()
+    base, database = _raw_folders(spark, sf), scratch.database(spark)
     etl.run(spark, f"{base}/frames", f"{base}/ice_detections", database, scratch.folder(spark, "warehouse"))
     return base, database
 
@@ -651,7 +645,7 @@ def incremental_refresh(spark, sf):
     Detections come after the frames of their day. The content of all three tables ends up as after
     one full run.
     """
-    base, whole, database = scratch.folder(spark, "raw"), _raw_folders(spark, sf), _database()
+    base, whole, database = scratch.folder(spark, "raw"), _raw_folders(spark, sf), scratch.database(spark)
     folder, middle = scratch.folder(spark, "warehouse"), F.lit("2024-01-16").cast("date")
 
     def arrive(name: str, late: bool) -> None:

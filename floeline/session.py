@@ -47,6 +47,16 @@ def cluster_session(app: str = "floeline", input_bytes: int = 0, **extra: str) -
     return session(app, None, **{**width, **extra})
 
 
+def streaming_session(app: str = "floeline-stream", state_partitions: int | None = None, **extra: str) -> SparkSession:
+    """Session for the streams.
+
+    The partitions of a stream's state stay what they are when its checkpoint is made: the session's
+    shuffle width, or `state_partitions` where the keyed state is small (two are enough for a few cameras).
+    """
+    width = {"spark__sql__shuffle__partitions": str(state_partitions)} if state_partitions else {}
+    return session(app, None, **{**width, **extra})
+
+
 def local_session(app: str = "floeline", cpus: int | None = None, **extra: str) -> SparkSession:
     """One-machine session for tests and the bench."""
     cpus = cpus or os.cpu_count() or 1

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 _own_roots: dict[str, str] = {}
 _used: dict[str, list[str]] = {}
 _tables: dict[str, list[str]] = {}
+_databases: dict[str, list[str]] = {}
 
 
 def root(spark: SparkSession) -> str:
@@ -60,6 +61,13 @@ def stage_by(df: DataFrame, label: str, by: str, parts: int, order: str) -> Data
     return spark.table(table)
 
 
+def database(spark: SparkSession) -> str:
+    """A fresh name for a database that `release` drops."""
+    name = f"floeline_{uuid.uuid4().hex[:12]}"
+    _databases.setdefault(spark.sparkContext.applicationId, []).append(name)
+    return name
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Delete one folder before the application ends."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -70,9 +78,11 @@ def drop(spark: SparkSession, path: str) -> None:
 
 
 def release(spark: SparkSession) -> int:
-    """Delete the folders this application made; results built on them must be done."""
+    """Delete the folders, staged tables and databases this application made; results built on them must be done."""
     for table in _tables.pop(spark.sparkContext.applicationId, []):
         spark.sql(f"DROP TABLE IF EXISTS {table}")
+    for name in _databases.pop(spark.sparkContext.applicationId, []):
+        spark.sql(f"DROP DATABASE IF EXISTS {name} CASCADE")
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     paths = _used.pop(spark.sparkContext.applicationId, [])

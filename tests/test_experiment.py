@@ -125,6 +125,16 @@ def test_shuffle_width():
     assert session.shuffle_width(1000 * 128 * 1024**2 + 1) == 1001
 
 
+def test_streaming_session_sets_the_state_partitions(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        made = session.streaming_session(state_partitions=2)
+        assert made.conf.get("spark.sql.shuffle.partitions") == "2"
+        assert made.conf.get("spark.sql.streaming.minBatchesToRetain") == "10"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_fleet_without_data(spark):
     empty = spark.createDataFrame(
         [],
