@@ -40,6 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from floeline.llm.batches import bounded
+from floeline.operators.ordering import width
 from floeline.sources import scratch
 
 ORDER = 5
@@ -531,13 +532,13 @@ def _score(train_tokens: int, different: int):
     rarity = np.log10(float(train_tokens + different + 1))
 
     def run(parts: pa.Table, docs: pa.Table) -> pa.Table:
-        is_word = pc.is_null(parts.column("log"))
+        is_word = pc.is_valid(parts.column("word"))
         words, priced = parts.filter(is_word), parts.filter(pc.invert(is_word))
         keys = priced.column("at").to_numpy().view(np.uint64)
         order = np.argsort(keys)
-        tree = Known(keys[order], priced.column("log").to_numpy()[order])
+        tree = Known(keys[order], priced.column("value").to_numpy()[order])
         order = np.argsort(words.column("at").to_numpy())
-        count = words.column("n").to_numpy()[order]
+        count = words.column("value").to_numpy()[order].astype(np.int64)
         spelled = words.column("word").take(pa.array(order)).to_pylist()
         spelled = [w if w == END else w + b" " for w in spelled] + [END * ORDER]
         lead, sizes = len(spelled) - 1, np.array([len(w) for w in spelled])
@@ -612,16 +613,24 @@ def scores(docs: DataFrame, text: str = "text") -> DataFrame:
     bounded(spark)
     doc = F.col("doc_id").cast("long")
     rows = docs.select(doc.alias("doc_id"), held_out(doc).alias("held_out"), F.coalesce(tuning(doc), F.lit(False)).alias("tuned"), F.col(text))
-    parts = scratch.stage(rows.mapInArrow(_split, _PARTS), "blocks")
-    words = parts.where(F.col("kind") == WORD).select("block", "at", "word", "n")
+    path = scratch.folder(spark, "blocks")
+    rows.mapInArrow(_split, _PARTS).write.partitionBy("kind").parquet(path)
+    parts = spark.read.schema(_PARTS).parquet(path)
+    wide = width(docs)
+    # each is dealt by its key once, for the sums as well as for the way back to the blocks
+    words = parts.where(F.col("kind") == WORD).select("block", "at", "word", "n").repartition(wide, "word")
+    words = scratch.stage_by(words, "words", "word", wide, "word")
+    scratch.drop(spark, f"{path}/kind={WORD}")
+    met = parts.where(F.col("kind") == WINDOW).select("block", F.col("at").alias("gram"), "n").repartition(wide, "gram")
+    met = scratch.stage_by(met, "windows", "gram", wide, "gram")
+    scratch.drop(spark, f"{path}/kind={WINDOW}")
     counts = words.where("n > 0").groupBy("word").agg(F.sum("n").alias("c"))
-    counts = scratch.stage(counts, "counts")
     train_tokens, different = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    met = parts.where(F.col("kind") == WINDOW).select("block", F.col("at").alias("gram"), "n")
     known = priced(met.groupBy("gram").agg(F.sum("n").alias("n")))
-    own = met.drop("n").join(known, "gram").select("block", F.col("gram").alias("at"), F.lit(None).cast("binary").alias("word"), F.lit(0).cast("long").alias("n"), "log")
-    looked_up = words.join(counts, "word", "left").select("block", "at", "word", F.coalesce("c", F.lit(0)).alias("n"), F.lit(None).cast("double").alias("log"))
-    looked_up = looked_up.unionByName(own)
+    nothing = F.lit(None).cast("binary").alias("word")
+    own = met.join(known, "gram").select("block", F.col("gram").alias("at"), nothing, F.col("log").alias("value"))
+    found = words.join(counts, "word", "left").select("block", "at", "word", F.coalesce("c", F.lit(0)).cast("double").alias("value"))
+    looked_up = found.unionByName(own)
     texts = parts.where(F.col("kind") == DOC).select(F.col("block").alias("own"), "doc_id", "held_out", "tuned", "ids")
     blocks = looked_up.groupBy("block").cogroup(texts.groupBy("own"))
     scored = scratch.stage(blocks.applyInArrow(_score(train_tokens, different), _SCORES), "scores")
