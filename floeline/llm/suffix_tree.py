@@ -53,7 +53,7 @@ TUNED = 16
 BLOCK = 5_000_000
 END = b"\n"
 #: Tokens whose byte sequences are sorted together.
-COUNTED = 400_000
+COUNTED = 200_000
 _TAG = 56
 
 _PARTS = "kind int, block long, at long, word binary, n long, ids binary, doc_id long, held_out boolean, tuned boolean"
@@ -496,7 +496,7 @@ _SCORES = (
     "_scores array<double>, _left_out array<double>"
 )
 #: Bytes that are scored at once.
-PIECE = 2_000_000
+PIECE = 500_000
 
 
 def blended(tree: np.ndarray, share: np.ndarray, weight: float, chance: np.ndarray | None = None) -> np.ndarray:
@@ -528,22 +528,37 @@ class Known:
         return self.values[at]
 
 
+def spelled(words: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All words as they stand in a text, each with the blank behind it (none behind an end), then the signs in front of
+    a text; where each begins, and its bytes."""
+    plain = pa.concat_arrays(words.chunks) if words.num_chunks else pa.array([], pa.binary())
+    _, at, data = plain.buffers()
+    at = np.frombuffer(at, dtype=np.int32)[plain.offset : plain.offset + len(plain) + 1] if len(plain) else np.zeros(1, dtype=np.int32)
+    data = np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]] if data is not None and at[-1] > at[0] else np.zeros(0, dtype=np.uint8)
+    lengths = np.diff(at).astype(np.int64)
+    is_end = (lengths == 1) & (data[np.minimum(at[:-1] - at[0], max(len(data) - 1, 0))] == END[0]) if len(plain) else lengths == 1
+    sizes = np.append(lengths + ~is_end, ORDER)
+    begins = np.cumsum(sizes) - sizes
+    letters = np.full(sizes.sum(), ord(" "), dtype=np.uint8)
+    letters[begins[-1] :] = END[0]
+    letters[np.repeat(begins[:-1] - (np.cumsum(lengths) - lengths), lengths) + np.arange(len(data))] = data
+    return letters, begins, sizes
+
+
 def _score(train_tokens: int, different: int):
     rarity = np.log10(float(train_tokens + different + 1))
 
     def run(parts: pa.Table, docs: pa.Table) -> pa.Table:
         is_word = pc.is_valid(parts.column("word"))
-        words, priced = parts.filter(is_word), parts.filter(pc.invert(is_word))
-        keys = priced.column("at").to_numpy().view(np.uint64)
+        words, known = parts.filter(is_word), parts.filter(pc.invert(is_word))
+        keys = known.column("at").to_numpy().view(np.uint64)
         order = np.argsort(keys)
-        tree = Known(keys[order], priced.column("value").to_numpy()[order])
+        tree = Known(keys[order], known.column("value").to_numpy()[order])
         order = np.argsort(words.column("at").to_numpy())
         count = words.column("value").to_numpy()[order].astype(np.int64)
-        spelled = words.column("word").take(pa.array(order)).to_pylist()
-        spelled = [w if w == END else w + b" " for w in spelled] + [END * ORDER]
-        lead, sizes = len(spelled) - 1, np.array([len(w) for w in spelled])
-        begins = np.cumsum(sizes) - sizes
-        letters = np.frombuffer(b"".join(spelled), dtype=np.uint8)
+        letters, begins, sizes = spelled(words.column("word").take(pa.array(order)))
+        lead = len(sizes) - 1
+        del keys, order, words, known, is_word
         logs = np.log10(count + 1.0)
         rows = [], [], [], [], []
         tuned = docs.column("tuned").to_numpy()

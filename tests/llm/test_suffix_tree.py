@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,6 +68,13 @@ def test_blended():
     assert np.allclose(st.blended(tree, share, 0.0), tree)
 
 
+def test_spelled():
+    for words in ([b"ab", b"\n", b"c", "é".encode(), b"x" * 300], [b"\n"], []):
+        letters, begins, sizes = st.spelled(pa.chunked_array([pa.array(words[:2], pa.binary()), pa.array(words[2:], pa.binary())]))
+        want = [w if w == st.END else w + b" " for w in words] + [st.END * st.ORDER]
+        assert [bytes(letters[b : b + n]) for b, n in zip(begins, sizes, strict=True)] == want
+
+
 def test_tree(spark):
     docs = corpus(120)
     texts = [[t.encode() for t in tokens(x)[:-1]] for _, x in docs]
