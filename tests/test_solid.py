@@ -5,7 +5,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from floeline.functions import solid
 from floeline.operators import surface, zones
