@@ -59,16 +59,41 @@ def inside(x: Column, y: Column, edges: Column) -> Column:
     return F.coalesce(parity, F.lit(False))
 
 
-def near(x: Column, y: Column, edges: Column, width: float, height: float, reach: float) -> Column:
-    """Whether a normalised point lies within `reach` pixels of an edge in a frame of width x height; no edges means no."""
+def outline(edges: Column, width: float, height: float, reach: float) -> Column:
+    """What `near` needs of (x1, y1, x2, y2) edges in a frame of width x height; made once for each outline, not for each point.
+
+    Beside start, direction and squared length of an edge it has the box outside which nothing is within `reach` pixels,
+    drawn a pixel wider than that, so that rounding can't matter.
+    """
+    w, h, margin = F.lit(float(width)), F.lit(float(height)), F.lit(float(reach + 1))
+
+    def prepared(edge: Column) -> Column:
+        x1, y1, x2, y2 = edge["x1"] * w, edge["y1"] * h, edge["x2"] * w, edge["y2"] * h
+        dx, dy = x2 - x1, y2 - y1
+        parts = {
+            "x1": x1, "y1": y1, "dx": dx, "dy": dy, "square": dx * dx + dy * dy,
+            "left": F.least(x1, x2) - margin, "right": F.greatest(x1, x2) + margin,
+            "top": F.least(y1, y2) - margin, "bottom": F.greatest(y1, y2) + margin,
+        }
+        return F.struct(*[part.alias(name) for name, part in parts.items()])
+
+    return F.transform(edges, prepared)
+
+
+def near(x: Column, y: Column, outline: Column, width: float, height: float, reach: float) -> Column:
+    """Whether a normalised point lies within `reach` pixels of an edge of the `outline` of the same frame; no edges means no."""
     px, py = x * F.lit(float(width)), y * F.lit(float(height))
 
-    def within(edge: Column) -> Column:
-        x1, y1 = edge["x1"] * F.lit(float(width)), edge["y1"] * F.lit(float(height))
-        dx, dy = edge["x2"] * F.lit(float(width)) - x1, edge["y2"] * F.lit(float(height)) - y1
-        along = F.try_divide((px - x1) * dx + (py - y1) * dy, dx * dx + dy * dy)
+    def beside(edge: Column) -> Column:
+        return (px >= edge["left"]) & (px <= edge["right"]) & (py >= edge["top"]) & (py <= edge["bottom"])
+
+    def offset(edge: Column) -> Column:
+        along = F.try_divide((px - edge["x1"]) * edge["dx"] + (py - edge["y1"]) * edge["dy"], edge["square"])
         at = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(along, F.lit(0.0))))
-        ox, oy = px - (x1 + at * dx), py - (y1 + at * dy)
-        return ox * ox + oy * oy <= F.lit(float(reach * reach))
+        return F.struct(
+            (px - (edge["x1"] + at * edge["dx"])).alias("x"), (py - (edge["y1"] + at * edge["dy"])).alias("y")
+        )
 
-    return F.coalesce(F.exists(edges, within), F.lit(False))
+    offsets = F.transform(F.filter(outline, beside), offset)
+    found = F.exists(offsets, lambda o: o["x"] * o["x"] + o["y"] * o["y"] <= F.lit(float(reach * reach)))
+    return F.coalesce(found, F.lit(False))

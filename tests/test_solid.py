@@ -102,6 +102,30 @@ def test_widened_zone(spark):
     assert any(r.in_widened and not r.in_zone for r in got.values()) and not any(r.in_widened for r in got.values() if r.cam_id == "b")
 
 
+def test_points_are_not_dealt_by_camera(spark):
+    """Two cameras would be two tasks; the zones are known to be small without running anything."""
+    points = spark.range(1000).selectExpr("id", "if(id % 2 = 0, 'cam_a', 'cam_b') AS cam_id", "id / 1000 AS x", "id % 7 / 7 AS y")
+    edges = zones.zone_edges(spark)
+    for marked in (zones.mark_zone(points, edges), zones.mark_widened(points, edges, 1280, 720)):
+        plan = marked._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan, plan
+    assert zones.zone_edges(spark, {}).collect() == []
+
+
+def test_edge_of_the_widened_zone(spark):
+    """Just within, at and just beyond the reach of sides, corners and a slanted edge; NULL and missing numbers are outside."""
+    corners = [(0.25, 0.25), (0.75, 0.25), (0.5, 0.75)]
+    edges = zones.zone_edges(spark, {"a": corners})
+    places = [(400 + a * d, y + b * d) for d in (29.99, 30.0, 30.01, 31.01) for a, b in ((-1, 0), (0, -1), (-0.6, -0.8)) for y in (200, 300)]
+    points = [(i, "a", x / 1600, y / 800) for i, (x, y) in enumerate(places)] + [(99, "a", None, 0.5), (98, "a", float("nan"), 0.5)]
+    df = spark.createDataFrame(points, "id int, cam_id string, x double, y double")
+    got = {r.id: r for r in zones.mark_widened(df, edges, 1600, 800, 60).collect()}
+    outline = [((ax * 1600, ay * 800), (bx * 1600, by * 800)) for (ax, ay), (bx, by) in zip(corners, [*corners[1:], corners[0]], strict=True)]
+    for i, _, x, y in points[:-2]:
+        assert got[i].in_widened == (got[i].in_zone or min(distance(x * 1600, y * 800, e) for e in outline) <= 30), places[i]
+    assert not got[99].in_widened and not got[98].in_widened
+
+
 def test_blocked_pixels_are_those_in_the_zone(spark):
     edges = zones.zone_edges(spark)
     found = {r.cam_id: r.blocked for r in zones.blocked_pixels(edges, 12, 9).collect()}
