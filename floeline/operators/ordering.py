@@ -24,11 +24,11 @@ _MOST_BUCKETS = 100_000  # Spark's own limit; the rows of a partition stay narro
 _UNKNOWN_BYTES = 2**60
 
 
-def width(df: DataFrame) -> int:
-    """Partitions for a full shuffle of `df`: by the size of the files it reads, at least the session's number."""
+def width(df: DataFrame, least: int | None = None) -> int:
+    """Partitions for a full shuffle of `df`: by the size of the files it reads, at least `least` or the session's number."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = least or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # a leaf without files has no size of its own
     return shuffle_width(sum(s for s in sizes if s < _UNKNOWN_BYTES), least=least)
 

@@ -571,14 +571,15 @@ def danger_model_sweep(spark, sf):
 
     `reached` is the accuracy, but at most that share: the two are equal where the classifier is no worse.
     """
-    hourly, frames = _model_tables(spark, sf)
+    _, frames = _model_tables(spark, sf)
     database = scratch.database(spark)
     tables.create_tables(spark, database, scratch.folder(spark, "warehouse"))
-    result = model.danger_sweep(hourly, frames, key="frame_id")
+    rows, features, source = model.choose_rows("frames", frames=frames, key="frame_id")
+    dealt = model.dealt_rows(rows, features, "frame_id")
+    result = model.sweep_dealt(dealt, features, source)
     for part in (result.where("fraction < 0.5"), result):
         model.save(part, database)
-    rows, _, _ = model.choose_rows("frames", frames=frames, key="frame_id")
-    found = spark.table(f"{database}.model_scaling_experiment").join(model.majority_shares(model.bucketed(rows, "frame_id")), "fraction")
+    found = spark.table(f"{database}.model_scaling_experiment").join(model.majority_shares(dealt), "fraction")
     return found.select(
         "fraction",
         "rows",

@@ -110,6 +110,22 @@ def test_model_sources_and_sweep(spark, small):
     assert 300 < result[1].rows + result[1].test_rows < 700
 
 
+def test_fits_use_all_cores_whatever_the_files(spark, tmp_path, monkeypatch):
+    """Training rows that come from one file are read by as many even tasks as there are cores, none lost."""
+    one = spark.range(0, 4000, 1, 1).selectExpr("id", "id % 97 / 97 AS a", "id % 13 / 13 AS b", "if(id % 3 = 0, 'safe', 'danger') AS danger_level")
+    one.write.parquet(str(tmp_path / "one"))
+    seen = []
+    monkeypatch.setattr(model, "_fitted", lambda dealt, features, fraction: seen.append(dealt) or (0.0, 1.0))
+    rows = spark.read.parquet(str(tmp_path / "one"))
+    assert rows.rdd.getNumPartitions() == 1
+    model.sweep(rows, ["a", "b"], "made", fractions=(1.0,), key="id")
+    (dealt,) = seen
+    parts = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(parts) >= spark.sparkContext.defaultParallelism and max(parts) < 2 * min(parts)
+    expected = model.bucketed(rows, "id").drop("id")
+    assert sum(parts) == 4000 and dealt.exceptAll(expected).isEmpty()
+
+
 def test_sweep_is_saved(spark, tmp_path):
     spark.sql(f"CREATE DATABASE IF NOT EXISTS sweeps LOCATION '{tmp_path}/sweeps'")
     row = spark.createDataFrame([(0.5, 80, 20, 1.5, 0.9, "frames", None)], schemas.SWEEP_RESULT)
