@@ -10,13 +10,18 @@ Texts are UTF-8 bytes; a repeat has at least LENGTH bytes and never crosses docu
    shuffle, so that a passage in a third of all documents is a row per task. A class whose anchor no
    other class shares together with HALF bytes to its left or right ends here; most do, a common short
    line among them.
-3. The contexts of the other classes go, by anchor, to one group. An enhanced suffix array (suffixes
-   sorted, common prefixes of neighbours) of the group is scanned with a stack; each interval of the
-   tree of common prefixes whose places differ in the byte to the left (or start a context) is a
-   maximal repeat, given out with all its places (those of the longer repeats inside it by reference). A repeat that is longer than a context comes out as
-   a chain of such groups, one for each anchor along it.
-4. Groups of more than HOT classes (a common line between ever different neighbours) are dealt by the
-   LENGTH bytes at each start instead, again settled within the task first.
+3. The other classes are joined with their texts, which gives their contexts; these go, by anchor, to
+   one group. An enhanced suffix array (suffixes sorted, common prefixes of neighbours) of the group is
+   scanned with a stack; each interval of the tree of common prefixes whose places differ in the byte to
+   the left (or start a context) is a maximal repeat, given out with all its places (those of the longer
+   repeats inside it by reference). A repeat that is longer than a context comes out as a chain of such
+   groups, one for each anchor along it.
+4. Groups of more than HOT classes (a common line between ever different neighbours) are parted by the
+   bytes that lie before the anchor in a string of LENGTH bytes, 0 to BEFORE: all strings of a range of
+   these share a core around the anchor, and a class goes on in a range only with the classes of the
+   same core. Cores of more than HOT classes are parted again, down to single strings. Only counts of
+   cores are shuffled for that; a class that shares no core ends here, and places that are equal over
+   all strings of a range are settled within the task first.
 
 Order is that of (doc_id, start). Hashes that decide have 128 bits; inside groups bytes are compared.
 
@@ -30,6 +35,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +56,11 @@ HALF = (LENGTH - GRAM) // 2
 BEFORE = LENGTH - GRAM
 CONTEXT = BEFORE + LENGTH
 HOT = 8_000
+#: Ranges into which that of a hot group is parted.
+FAN = 3
+#: A class has the bytes before and behind its anchor in so many bits, above them bits of a hash of its text.
+REACH_BITS = 15
+TEXT_BITS = 16
 #: Bytes that are hashed at once, and anchors that a task holds before it settles them.
 PIECE = 1_000_000
 HELD = 1_000_000
@@ -145,15 +156,16 @@ def _halves(grams: np.ndarray, at: np.ndarray, before: np.ndarray, after: np.nda
     return ((left << np.uint64(32)) | right).view(np.int64)
 
 
-def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[bytes]]]:
-    """(ids, texts) of a batch, about PIECE bytes at a time."""
-    ids, texts, held, size = batch.column(0).to_pylist(), batch.column(1).to_pylist(), [], 0
+def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    """(ids, bits of the hashes of the texts, texts) of a batch, about PIECE bytes at a time."""
+    ids, texts, held, size = batch.column(0).to_numpy(), batch.column(2).to_pylist(), [], 0
+    bits = batch.column(1).to_numpy()
     start = 0
     for i, text in enumerate(texts):
         held.append((text or "").encode())
         size += len(held[-1])
         if size >= PIECE or i == len(texts) - 1:
-            yield np.array([NO_ID if d is None else d for d in ids[start : i + 1]], dtype=np.int64), held
+            yield ids[start : i + 1], bits[start : i + 1], held
             held, size, start = [], 0, i + 1
 
 
@@ -188,6 +200,7 @@ def _class_batch(*columns) -> pa.RecordBatch:
 
 
 def _span(place: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    reach = reach & ((1 << REACH_BITS) - 1)
     before = reach // 256
     return place - before, before + reach % 256
 
@@ -226,9 +239,9 @@ def _settle(held: list[tuple]) -> Iterator[pa.RecordBatch]:
 def _find_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
     for batch in batches:
-        for ids, texts in _pieces(batch):
-            text, *found = anchors(texts)
-            held.append((ids[text], *found))
+        for ids, bits, texts in _pieces(batch):
+            text, place, anchor, context, reach, halves = anchors(texts)
+            held.append((ids[text], place, anchor, context, reach | (bits[text] << REACH_BITS), halves))
             size += len(text)
             if size >= HELD:
                 yield from _settle(held)
@@ -237,16 +250,11 @@ def _find_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield from _settle(held)
 
 
-def _row_key(anchor: np.ndarray, context: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
-    total = anchor.astype(np.uint64) * _STEP + context.astype(np.uint64)
-    return mix((total * _STEP + doc.view(np.uint64)) * _STEP + place.view(np.uint64))
-
-
-_MEETING = "anchor long, key long, doc long, place long, length long"
+_MEETING = "anchor long, doc long, place long, reach int, length long"
 
 
 def _meeting(*columns) -> pa.RecordBatch:
-    return _table(["anchor", "key", "doc", "place", "length"], *columns)
+    return _table(["anchor", "doc", "place", "reach", "length"], *columns)
 
 
 def _shared(group: np.ndarray, half: np.ndarray) -> np.ndarray:
@@ -282,17 +290,16 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         goes_on = _shared(group[at], packed >> np.uint64(32)) | _shared(group[at], packed & np.uint64(0xFFFFFFFF))
         out = at if part else at[goes_on]
         carried = (anchor[-1], context[-1], head_doc[-1], head_place[-1])
-        key = _row_key(anchor[out].view(np.uint64), context[out].view(np.uint64), doc[out], place[out])
-        yield _meeting(anchor[out], _signed(key), doc[out], place[out], np.zeros(len(out), dtype=np.int64))
+        yield _meeting(anchor[out], doc[out], place[out], reach[out], pa.nulls(len(out), pa.int64()))
         where, start, length = _united(doc[again], *_span(place[again], reach[again].astype(np.int64)))
-        none = pa.nulls(len(where), pa.int64())
-        yield _meeting(none, np.zeros(len(where), dtype=np.int64), where, start, length)
+        yield _meeting(pa.nulls(len(where), pa.int64()), where, start, pa.nulls(len(where), pa.int32()), length)
 
     held: list[np.ndarray] | None = None
     for batch in batches:
         gone = batch.filter(pa.compute.is_null(batch.column(0)))
         if gone.num_rows:  # spans on their way
-            yield _meeting(pa.nulls(gone.num_rows, pa.int64()), *(gone.column(i) for i in (1, 2, 3, 5)))
+            none = pa.nulls(gone.num_rows, pa.int64()), pa.nulls(gone.num_rows, pa.int32())
+            yield _meeting(none[0], gone.column(2), gone.column(3), none[1], gone.column(5))
         batch = batch.filter(pa.compute.is_valid(batch.column(0)))
         if not batch.num_rows:
             continue
@@ -308,6 +315,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from look(held, False)
 
 
+#: Without an anchor a row is a span of `before` bytes, without a body the start of a string of LENGTH bytes.
 _CONTEXTS = "anchor long, window long, doc long, place long, before int, body binary"
 
 
@@ -319,46 +327,113 @@ def _passes(field: np.ndarray, bits: int, key: np.ndarray) -> np.ndarray:
     return found
 
 
-def _contexts(wanted, wanted_bits: int, hot, hot_bits: int):
-    """Contexts of the wanted places; for hot anchors the strings of LENGTH bytes at each start, settled within the task."""
+def _ranges(low: int, high: int) -> list[tuple[int, int]]:
+    """The ranges into which that of low to high is parted."""
+    ends = [low + (high - low + 1) * i // FAN for i in range(FAN + 1)]
+    return [(a, b - 1) for a, b in zip(ends, ends[1:]) if a < b]
+
+
+def _hashed(bodies: list[bytes], start: np.ndarray, stop: np.ndarray, seed: int) -> np.ndarray:
+    found = (xxhash.xxh3_64_intdigest(b[i:j], seed=seed) for b, i, j in zip(bodies, start.tolist(), stop.tolist(), strict=True))
+    return np.fromiter(found, dtype=np.uint64, count=len(bodies))
+
+
+def _cores(anchor: np.ndarray, before: np.ndarray, bodies: list[bytes], hot: np.ndarray) -> Iterator[tuple]:
+    """(depth, rows, keys of the cores, keys of all bytes, bytes before the anchor in the first and last string) of each range.
+
+    Rows are those whose core in the range around is hot and which have a string of the range.
+    """
+    after = np.array([len(b) for b in bodies], dtype=np.int64) - before
+
+    def run(rows: np.ndarray, low: int, high: int, depth: int) -> Iterator[tuple]:
+        for a, b in _ranges(low, high):
+            least, most = np.maximum(a, LENGTH - after[rows]), np.minimum(b, before[rows])
+            some = least <= most
+            inner, least, most = rows[some], least[some], most[some]
+            if not len(inner):
+                continue
+            own, mid, seed = [bodies[i] for i in inner.tolist()], before[inner], a * 256 + b
+            core = mix(_hashed(own, mid - a, mid - b + LENGTH, seed) * _STEP + anchor[inner])
+            common = np.isin(core, hot) if a < b else np.zeros(len(inner), dtype=bool)
+            ends = ~common
+            # places with other strings of the range are not equal
+            whole = _hashed(own, mid - most, mid - least + LENGTH, ~seed % 2**64)
+            whole = mix(whole * _STEP + (least * 256 + most).astype(np.uint64))
+            yield depth, inner[ends], core[ends], whole[ends], least[ends], most[ends]
+            if common.any():
+                yield from run(inner[common], a, b, depth + 1)
+
+    yield from run(np.arange(len(bodies)), 0, BEFORE, 1)
+
+
+def _hot_batches(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[tuple]:
+    """(doc, place, before, bodies, ranges) of batches of _CONTEXTS; rows and the rest of each range as in _cores."""
+    for batch in batches:
+        anchor, doc, place, before = (np.asarray(batch.column(i)) for i in (0, 2, 3, 4))
+        before, bodies = before.astype(np.int64), batch.column(5).to_pylist()
+        yield doc, place, before, bodies, _cores(anchor.view(np.uint64), before, bodies, hot)
 
-    def dealt(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        anchor, window, doc, place = (np.concatenate(c) for c in zip(*rows, strict=True))
-        order = np.lexsort((place, doc, window, anchor))
-        anchor, window, doc, place = (v[order] for v in (anchor, window, doc, place))
-        first = _new(anchor, window)
-        again = _repeated(first, doc, place)
-        yield _context_batch(_signed(anchor[first]), window[first], doc[first], place[first], None, None)
-        yield _context_batch(None, window[again], doc[again], place[again], None, None)
+
+def _count_cores(hot, depth: int):
+    """Per core at a depth, and rows held at once: how many classes have it, and how many of these differ in the range."""
+
+    def settled(rows: list[tuple]) -> pa.RecordBatch:
+        core, whole = (np.concatenate(c) for c in zip(*rows, strict=True))
+        order = np.lexsort((whole, core))
+        core, whole = core[order], whole[order]
+        at = np.flatnonzero(_new(core))
+        other = np.add.reduceat(_new(core, whole).astype(np.int64), at)
+        return _table(["key", "classes", "different"], _signed(core[at]), np.diff([*at, len(core)]), other)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        field, common = (np.frombuffer(f.value, dtype=np.uint64) for f in (wanted, hot))
         held, size = [], 0
-        for batch in batches:
-            for ids, texts in _pieces(batch):
-                text, place, anchor, context, reach, _ = anchors(texts)
-                doc = ids[text]
-                ok = np.flatnonzero(_passes(field, wanted_bits, _row_key(anchor, context, doc, place)))
-                text, place, anchor, reach, doc = text[ok], place[ok], anchor[ok], reach[ok], doc[ok]
-                start, length = _span(place, reach)
-                bodies = [texts[t][s : s + n] for t, s, n in zip(text.tolist(), start.tolist(), length.tolist(), strict=True)]
-                many = _passes(common, hot_bits, anchor)
-                few = np.flatnonzero(~many)
-                yield _context_batch(
-                    _signed(anchor[few]), np.zeros(len(few), dtype=np.uint64), doc[few], place[few], reach[few] // 256, [bodies[i] for i in few]
-                )
-                for i in np.flatnonzero(many).tolist():
-                    hashes = window_hashes(np.frombuffer(bodies[i], dtype=np.uint8), LENGTH)
-                    count = len(hashes)
-                    starts = start[i] + np.arange(count)
-                    # the place of the string within the context is part of its key
-                    held.append((np.full(count, anchor[i]), mix(hashes + (place[i] - starts).astype(np.uint64) * _STEP), np.full(count, doc[i]), starts))
-                    size += count
-                    if size >= HELD:
-                        yield from dealt(held)
-                        held, size = [], 0
+        for _, _, _, _, ranges in _hot_batches(batches, hot.value):
+            for level, _, core, whole, _, _ in ranges:
+                if level == depth:
+                    held.append((core, whole))
+                    size += len(core)
+            if size >= HELD:
+                yield settled(held)
+                held, size = [], 0
+        if held:
+            yield settled(held)
+
+    return run
+
+
+def _parted(hot, shared, shared_bits: int):
+    """Contexts of the classes of hot anchors within each range whose core other classes share, settled within the task."""
+
+    def settled(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        *columns, bodies = zip(*rows, strict=True)
+        core, whole, doc, place, least, most = (np.concatenate(c) for c in columns)
+        bodies = [b for part in bodies for b in part]
+        order = np.lexsort((place, doc, whole, core))
+        core, whole, doc, place, least, most = (v[order] for v in (core, whole, doc, place, least, most))
+        first = _new(core, whole)
+        again = _repeated(first, doc, place)
+        some, one = np.flatnonzero(first & (least < most)), np.flatnonzero(first & (least == most))
+        none = np.zeros(len(some), dtype=np.uint64)
+        yield _context_batch(_signed(core[some]), none, doc[some], place[some], most[some], [bodies[i] for i in order[some].tolist()])
+        yield _context_batch(_signed(core[one]), whole[one], doc[one], place[one] - most[one], None, None)
+        where, start, length = _united(doc[again], (place - most)[again], (LENGTH + most - least)[again])
+        yield _context_batch(None, np.zeros(len(where), dtype=np.uint64), where, start, length, None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        field, held, size = np.frombuffer(shared.value, dtype=np.uint64), [], 0
+        for doc, place, before, bodies, ranges in _hot_batches(batches, hot.value):
+            for _, rows, core, whole, least, most in ranges:
+                ok = np.flatnonzero(_passes(field, shared_bits, core))
+                rows, core, whole, least, most = (v[ok] for v in (rows, core, whole, least, most))
+                start, stop = before[rows] - most, before[rows] - least + LENGTH
+                own = [bodies[r][i:j] for r, i, j in zip(rows.tolist(), start.tolist(), stop.tolist(), strict=True)]
+                held.append((core, whole, doc[rows], place[rows], least, most, own))
+                size += len(rows)
+            if size >= HELD // 4:
+                yield from settled(held)
+                held, size = [], 0
         if held:
-            yield from dealt(held)
+            yield from settled(held)
 
     return run
 
@@ -496,37 +571,74 @@ def _find_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out(found + list(_group_rows(held) if held else []))
 
 
+def _parts_of_hot(contexts: DataFrame, paths: list[str]) -> DataFrame:
+    """Contexts of hot anchors as _parted gives them out."""
+    context = contexts.sparkSession.sparkContext
+    hot, counted, depth = np.zeros(0, dtype=np.uint64), [], 0
+    while True:
+        depth += 1
+        cores = contexts.mapInArrow(_count_cores(context.broadcast(hot), depth), "key long, classes long, different long")
+        sums = cores.groupBy("key").agg(F.sum("classes").alias("classes"), F.sum("different").alias("different"))
+        shared, path = scratch.stage_alone(sums.where("classes > 1"), "cores")
+        paths.append(path)
+        counted.append(shared)
+        found = [row["key"] for row in shared.where(F.col("different") > HOT).select("key").collect()]
+        if not found:
+            break
+        hot = np.concatenate([hot, np.array(found, dtype=np.int64).view(np.uint64)])
+    field, bits = bit_field(reduce(DataFrame.unionByName, counted), "key")
+    return contexts.mapInArrow(_parted(context.broadcast(hot), context.broadcast(field), bits), _CONTEXTS)
+
+
+def _groups_and_copies(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Those of maximal_repeats, and the folders that they are read from."""
+    bounded(docs.sparkSession)
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc")
+    bits = F.xxhash64(F.col(text)).bitwiseAND(F.lit(2**TEXT_BITS - 1)).cast("int").alias("bits")
+    rows = docs.select(doc, bits, F.col(text).alias("text"))
+    # spans without an anchor travel along, dealt by document
+    spread = F.coalesce("anchor", F.xxhash64("doc", "place"))
+    classes = rows.mapInArrow(_find_classes, _CLASSES).repartition(spread)
+    sorted_ = classes.sortWithinPartitions("anchor", "context", "doc", "place")
+    meeting, path = scratch.stage_alone(sorted_.mapInArrow(_meet, _MEETING), "meeting")
+    paths = [path]
+    several = meeting.where("anchor is not null")
+    # texts of one id are told apart by their bits
+    places = several.select("doc", F.shiftright("reach", REACH_BITS).alias("bits"), F.struct("anchor", "place", "reach").alias("place"))
+    wanted = places.groupBy("doc", "bits").agg(F.collect_list("place").alias("places"))
+    joined = rows.withColumn("text", F.col("text").cast("binary")).join(wanted, ["doc", "bits"])
+    one = joined.select("doc", "text", F.explode("places").alias("one")).select("doc", "text", "one.anchor", "one.place", "one.reach")
+    before = F.shiftright("reach", 8).bitwiseAND(F.lit(2 ** (REACH_BITS - 8) - 1))
+    body = F.substring("text", (F.col("place") - before + 1).cast("int"), before + F.col("reach").bitwiseAND(F.lit(255)))
+    cut_out = one.select("anchor", F.lit(0).cast("long").alias("window"), "doc", "place", before.alias("before"), body.alias("body"))
+    contexts, path = scratch.stage_alone(cut_out.where(F.length("body") >= LENGTH), "contexts")
+    paths.append(path)
+    hot, path = scratch.stage_alone(several.groupBy("anchor").count().where(F.col("count") > HOT).select("anchor"), "hot")
+    paths.append(path)
+    grouped, copies = contexts, meeting.where("anchor is null").select("doc", "place", "length")
+    if not hot.isEmpty():
+        often, path = scratch.stage_alone(contexts.join(F.broadcast(hot), "anchor", "left_semi"), "often")
+        paths.append(path)
+        parts, path = scratch.stage_alone(_parts_of_hot(often, paths), "parts")
+        paths.append(path)
+        grouped = contexts.join(F.broadcast(hot), "anchor", "left_anti").unionByName(parts.where("anchor is not null"))
+        copies = copies.unionByName(parts.where("anchor is null").select("doc", "place", F.col("before").cast("long").alias("length")))
+    dealt = grouped.repartition("anchor", "window").sortWithinPartitions("anchor", "window", "doc", "place")
+    return dealt.mapInArrow(_find_groups, _GROUPS), copies, paths
+
+
 def maximal_repeats(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(groups, copies).
 
     groups: length, docs, starts - a maximal repeat among the contexts of an anchor: its earliest place
     in front, then one place of each part of it. A part that is more than one place is a longer repeat
     and has a row of its own that begins with that place, so all places of a repeat are found by
-    following these, and the rows together grow with the places only. copies: doc, place, length - places that repeat a whole context of an
-    earlier place; they are not listed again in the groups of that place.
+    following these, and the rows together grow with the places only. Those of an anchor of more than
+    HOT classes are maximal among the strings of a range only. copies: doc, place, length - places that
+    repeat a whole context of an earlier place, or for such an anchor all strings of a range; they are not
+    listed again in the groups of that place.
     """
-    spark = docs.sparkSession
-    bounded(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col(text))
-    # spans without an anchor travel along, dealt by document
-    spread = F.coalesce("anchor", F.xxhash64("doc", "place"))
-    classes = rows.mapInArrow(_find_classes, _CLASSES).repartition(spread)
-    sorted_ = classes.sortWithinPartitions("anchor", "context", "doc", "place")
-    meeting = scratch.stage(sorted_.mapInArrow(_meet, _MEETING), "meeting")
-    several = meeting.where("anchor is not null")
-    hot = several.groupBy("anchor").count().where(F.col("count") > HOT).select("anchor")
-    wanted, wanted_bits = bit_field(several, "key")
-    common, hot_bits = bit_field(hot, "anchor")
-    context = spark.sparkContext
-    found = rows.mapInArrow(_contexts(context.broadcast(wanted), wanted_bits, context.broadcast(common), hot_bits), _CONTEXTS)
-    contexts = scratch.stage(found, "contexts")
-    dealt = contexts.where("anchor is not null").repartition("anchor", "window").sortWithinPartitions("anchor", "window", "doc", "place")
-    groups = dealt.mapInArrow(_find_groups, _GROUPS)
-    copies = (
-        meeting.where("anchor is null")
-        .select("doc", "place", "length")
-        .unionByName(contexts.where("anchor is null").select("doc", "place", F.lit(LENGTH).cast("long").alias("length")))
-    )
+    groups, copies, _ = _groups_and_copies(docs, text)
     return groups, copies
 
 
@@ -570,12 +682,14 @@ def _join_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def removed(docs: DataFrame, text: str = "text") -> DataFrame:
     """Per row what is left when every byte goes that a string of LENGTH bytes covers which starts earlier as well."""
-    groups, copies = maximal_repeats(docs, text)
+    groups, copies, paths = _groups_and_copies(docs, text)
     later = groups.select("length", F.explode(F.slice(F.arrays_zip("docs", "starts"), 2, 2**31 - 1)).alias("o"))
     spans = copies.select("doc", "place", "length").unionByName(
         later.select(F.col("o.docs").alias("doc"), F.col("o.starts").alias("place"), "length")
     )
-    spans = spans.mapInArrow(_join_spans, "doc long, place long, length long")
+    spans, _ = scratch.stage_alone(spans.mapInArrow(_join_spans, "doc long, place long, length long"), "spans")
+    for path in paths:
+        scratch.drop(docs.sparkSession, path)
     lists = spans.groupBy("doc").agg(
         F.collect_list(F.struct(F.col("place").alias("start"), (F.col("place") + F.col("length")).alias("stop"))).alias("_spans")
     )

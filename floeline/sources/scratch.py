@@ -11,6 +11,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Whether the shuffle files of a query go when it ends.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _own_roots: dict[str, str] = {}
 _used: dict[str, list[str]] = {}
 _tables: dict[str, list[str]] = {}
@@ -48,6 +51,24 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stage_alone(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """As `stage`, with the path for `drop`; the shuffle files of the write go when it ends.
+
+    Otherwise Spark keeps them until the driver happens to collect its garbage.
+    """
+    conf, path = df.sparkSession.conf, folder(df.sparkSession, label)
+    before = conf.get(FREED, None)
+    conf.set(FREED, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            conf.unset(FREED)
+        else:
+            conf.set(FREED, before)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def stage_by(df: DataFrame, label: str, by: str, parts: int, order: str) -> DataFrame:
     """Write `df` once in `parts` buckets of the column `by`; what later groups by it needs no shuffle.
 

@@ -5,8 +5,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrameWriter
 
-from floeline.llm import repeats
+from floeline.llm import decontamination, repeats
+from floeline.sources import scratch
 
 
 def by_force(docs):
@@ -76,6 +78,56 @@ def test_odd_ids(spark):
     assert repeats.removed(frame.limit(0)).count() == 0
 
 
+@pytest.fixture
+def written(spark, monkeypatch):
+    """Rows of the staged tables by label; in tables with anchors those that have one."""
+    rows, write = {}, DataFrameWriter.parquet
+
+    def spy(self, path, *args, **kwargs):
+        write(self, path, *args, **kwargs)
+        frame, label = spark.read.parquet(path), path.rsplit("/", 1)[1].rsplit("-", 1)[0]
+        rows[label] = rows.get(label, 0) + (frame.where("anchor is not null") if "anchor" in frame.columns else frame).count()
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", spy)
+    return rows
+
+
+def test_contexts_of_meeting_classes_only(spark, monkeypatch, written):
+    monkeypatch.setattr(decontamination, "FIELD_BITS", 1 << 12)  # as if there were more classes than any field holds
+    pick = random.Random(4)
+    text = lambda n: "".join(pick.choices("abcdefgh ", k=n))
+    passages = [text(140) for _ in range(1500)]
+    docs = [(d, "".join(text(250) + p for p in pick.sample(passages, 20))) for d in range(200)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    assert sorted(tuple(r) for r in repeats.removed(frame).collect()) == by_force(docs)
+    assert written["meeting"] > 5_000
+    assert written["contexts"] == written["meeting"]
+
+
+def test_hot_anchors_grow_with_their_classes(spark, monkeypatch, written):
+    monkeypatch.setattr(repeats, "HOT", 40)
+    pick = random.Random(5)
+    text = lambda n: "".join(pick.choices("abcdefgh ", k=n))
+    short, long_, cut = text(85), text(130), text(400)
+    docs = [(d, text(200) + short + text(200) + long_ + text(200)) for d in range(300)]
+    docs += [(d, text(90) + cut[a:] + text(90)) for d, a in zip(range(300, 400), pick.choices(range(300), k=100))]
+    docs += [(d + 1000, t[150:450]) for d, t in docs[:30]]  # one neighbour of the line is copied as well
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    assert sorted(tuple(r) for r in repeats.removed(frame).collect()) == by_force(docs)
+    assert written["hot"] > 0
+    assert written["contexts"] + written.get("parts", 0) < 4 * written["meeting"]
+
+
+def test_shuffle_files_go_with_the_write(spark):
+    held = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").count("shuffle_")
+    before = held()
+    staged, path = scratch.stage_alone(spark.range(1000).repartition(3, "id"), "test")
+    assert held() <= before
+    assert staged.count() == 1000
+    assert spark.conf.get(scratch.FREED, "false") == "false"
+    scratch.drop(spark, path)
+
+
 def test_intervals_are_the_maximal_repeats():
     pick = random.Random(6)
     for _ in range(200):
